@@ -295,13 +295,20 @@ for _rule in (
     register_extractor(_rule.__name__, _rule)
 
 
-def extract_signals(observations: DataFrame, rules: list[str] | None = None) -> DataFrame:
-    """All signals of the observations; ``rules`` picks rules by name (default: all registered)."""
+def extract_signals(
+    observations: DataFrame, rules: list[str] | None = None, keep: list[str] | None = None
+) -> DataFrame:
+    """All signals of the observations.
+
+    ``rules`` picks rules by name (default: all registered); ``keep`` names further
+    observation columns to carry along, such as an event time.
+    """
+    carried = keep or []
     extra = {"sig_text_org": sig_text_org}
     chosen = [{**extra, **_extractors}[name] for name in (rules or list(_extractors))]
     matches = F.concat(*[rule() for rule in chosen])
     rows = observations.select(
-        "case_id", "evidence_id", "artifact_id", "observation_id", "job_id", F.explode(matches).alias("m")
+        "case_id", "evidence_id", "artifact_id", "observation_id", "job_id", *carried, F.explode(matches).alias("m")
     )
     ready = F.col("m.text_key")
     normalized = F.coalesce(ready, text.norm_dispatch(F.col("m.entity_type"), F.col("m.observed")))
@@ -330,6 +337,7 @@ def extract_signals(observations: DataFrame, rules: list[str] | None = None) ->
         F.col("m.row_index").alias("row_index"),
         F.col("m.position").alias("position"),
         F.col("m.next_blank").alias("next_blank"),
+        *carried,
     )
 
 
