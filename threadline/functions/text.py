@@ -132,5 +132,5 @@ def dms_to_decimal(degrees: Column, minutes: Column, seconds: Column, ref: Colum
 def phone_digits_ok(value: Column) -> Column:
     """10 to 15 digits, more than two of them different."""
     digits = F.regexp_replace(value, r"[^0-9]", "")
-    distinct = F.size(F.array_distinct(F.split(digits, "(?!^)")))
+    distinct = F.size(F.array_distinct(F.regexp_extract_all(digits, F.lit("[0-9]"), F.lit(0))))
     return F.length(digits).between(10, 15) & (distinct > 2)

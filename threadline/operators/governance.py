@@ -32,32 +32,25 @@ def _needs_grant() -> Column:
     return (F.col("role") == OFFICER) | F.coalesce(court, F.lit(False))
 
 
-def case_access_filter(rows: DataFrame, users: DataFrame, grants: DataFrame) -> DataFrame:
-    """Rows (with case_id) each user may see, as (user_id, row columns).
+def access_scope(users: DataFrame, grants: DataFrame) -> DataFrame:
+    """Cases each user may see as (user_id, case_id); ``*`` stands for all cases.
 
-    ``users`` has (user_id, role, court_level), ``grants`` (user_id, case_id), where
-    ``*`` grants all.  Users who see everything are joined to the list of cases, so
-    the row table is joined once, on case_id.
+    ``users`` has (user_id, role, court_level), ``grants`` (user_id, case_id).
     """
-    cases = rows.select("case_id").distinct()
-    star = grants.filter("case_id = '*'").select("user_id").distinct()
     needing = users.filter(_needs_grant()).select("user_id")
-    everything = users.filter(_sees_all()).select("user_id").unionByName(needing.join(star, "user_id", "left_semi"))
-    listed = grants.filter("case_id <> '*'").join(needing, "user_id", "left_semi").select("user_id", "case_id")
-    # One row per unrestricted user and existing case; both lists are key lists, not data.
-    all_cases = everything.withColumn("_k", F.lit(1)).join(cases.withColumn("_k", F.lit(1)), "_k").drop("_k")
-    visible = listed.unionByName(all_cases.select("user_id", "case_id")).distinct()
-    return rows.join(visible, "case_id")
-
-
-def visible_cases(cases: DataFrame, user: dict, granted: Sequence[str]) -> DataFrame:
-    """Case rows one user may see."""
-    role, court = user.get("role"), user.get("court_level")
-    if role == AUTHORITY or (role == JUDGE and court in (SUPREME, HIGH)):
-        return cases
-    if role == OFFICER or (role == JUDGE and court == SPECIFIC):
-        return cases if "*" in granted else cases.filter(F.col("case_id").isin(list(granted)))
-    return cases.limit(0)
+    listed = grants.select("user_id", "case_id").join(needing, "user_id", "left_semi")
+    whole = listed.filter("case_id = '*'").select("user_id")
+    free = users.filter(_sees_all()).select("user_id").unionByName(whole).distinct()
+    named = listed.filter("case_id <> '*'").join(free, "user_id", "left_anti").distinct()
+    return named.unionByName(free.withColumn("case_id", F.lit("*")))
+
+
+def case_access_filter(rows: DataFrame, users: DataFrame, grants: DataFrame, user_id: str) -> DataFrame:
+    """Rows (with case_id) one user may see: all, or a semi-join on the user's cases."""
+    scope = access_scope(users.filter(F.col("user_id") == user_id), grants)
+    if not scope.filter("case_id = '*'").isEmpty():
+        return rows
+    return rows.join(scope.select("case_id"), "case_id", "left_semi")
 
 
 def owner_resolution(requests: DataFrame, bindings: DataFrame, evidence: DataFrame, artifacts: DataFrame) -> DataFrame:

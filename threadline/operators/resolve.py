@@ -95,8 +95,8 @@ def _letter_keys(values: DataFrame, threshold: float) -> DataFrame:
     """
     shrink = threshold / (2.0 - threshold)
     sized = values.withColumn("text", F.lower("value")).withColumn("size", F.length("text"))
-    letters = sized.select("*", F.posexplode(F.array_sort(F.split("text", "(?!^)"))).alias("at", "letter"))
-    first = F.array_position(F.array_sort(F.split("text", "(?!^)")), F.col("letter")).cast("int")
+    letters = sized.select("*", F.posexplode(F.array_sort(F.regexp_extract_all("text", F.lit("(?s)."), F.lit(0)))).alias("at", "letter"))
+    first = F.array_position(F.array_sort(F.regexp_extract_all("text", F.lit("(?s)."), F.lit(0))), F.col("letter")).cast("int")
     tokens = letters.withColumn("part", F.concat_ws("#", "letter", (F.col("at") - first).cast("string")))
     frequency = tokens.groupBy(*GROUP, "part").agg(F.count(F.lit(1)).alias("uses"))
     ranked = tokens.join(frequency, [*GROUP, "part"]).groupBy(*GROUP, "value", "seq", "text", "size").agg(
