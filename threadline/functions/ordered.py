@@ -22,11 +22,11 @@ SLICE = "_slice"
 def sliced(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """Range-partition on (keys, order) and tag each row with its slice number.
 
-    The checkpoint pins the range borders: both uses of a slice (its rows and its
-    border values) must see the same split, also after a task is re-run.
+    The written copy pins the slices: both uses of a slice (its rows and its border
+    values) must see the same split, also after a task is re-run.
     """
     ranged = df.repartitionByRange(*[F.col(k) for k in keys], *order)
-    return cut_lineage(ranged).withColumn(SLICE, F.spark_partition_id())
+    return cut_lineage(ranged.withColumn(SLICE, F.spark_partition_id()))
 
 
 def _same(left: str, right: str, columns: Sequence[str]) -> Column:

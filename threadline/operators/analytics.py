@@ -137,9 +137,7 @@ def pagerank(
             )
         )
         change = F.sum(F.abs(F.col("rank") - F.col("before")))
-        cases = cut_lineage(
-            state.groupBy("case_id").agg(lost, (change < F.max("n") * F.lit(tolerance)).alias("done"))
-        )
+        cases = state.groupBy("case_id").agg(lost, (change < F.max("n") * F.lit(tolerance)).alias("done"))
         if cases.filter("not done").isEmpty():
             break
     return state.select(*NODE, F.col("rank").alias("pagerank"))

@@ -1,6 +1,6 @@
 """Loads every query module, so that the registry is complete."""
 
-from threadline.plans import text_queries  # noqa: F401
+from threadline.plans import graph_queries, source_queries, text_queries  # noqa: F401
 from threadline.plans.registry import all_queries, all_sql
 
 __all__ = ["all_queries", "all_sql"]
