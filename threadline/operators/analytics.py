@@ -93,6 +93,31 @@ def weighted_frequency(pairs: DataFrame) -> DataFrame:
 
 # --- PageRank ------------------------------------------------------------------
 
+# Rounds between two looks at convergence.
+ROUNDS_PER_CHECK = 5
+
+# One round: per case, the rank held by nodes without a way out and whether the case
+# had settled; then each node's inflow and its own row meet in one aggregation.
+_RANK_STEP = """
+    WITH cases AS (
+      SELECT case_id, sum(CASE WHEN dangling THEN rank ELSE 0D END) AS lost,
+        {step} > 1 AND sum(abs(rank - before)) < max(n) * {tolerance} AS settled
+      FROM {state} GROUP BY case_id),
+    flows AS (
+      SELECT l.case_id, l.tgt_id AS id, s.rank * l.share AS flow, CAST(NULL AS BIGINT) AS n,
+        CAST(NULL AS BOOLEAN) AS dangling, CAST(NULL AS DOUBLE) AS rank, CAST(NULL AS DOUBLE) AS before
+      FROM {links} l JOIN {state} s ON l.case_id = s.case_id AND l.id = s.id
+      UNION ALL SELECT case_id, id, 0D, n, dangling, rank, before FROM {state}),
+    summed AS (
+      SELECT case_id, id, sum(flow) AS flow, max(n) AS n, max(dangling) AS dangling, max(rank) AS rank, max(before) AS before
+      FROM flows GROUP BY case_id, id)
+    SELECT m.case_id, m.id, m.n, m.dangling,
+      CASE WHEN c.settled THEN m.rank
+        ELSE {damping} * (m.flow + c.lost / m.n) + (1 - {damping}) / m.n END AS rank,
+      CASE WHEN c.settled THEN m.before ELSE m.rank END AS before,
+      c.settled AS done
+    FROM summed m JOIN cases c ON m.case_id = c.case_id"""
+
 
 def pagerank(
     pairs: DataFrame,
@@ -112,33 +137,16 @@ def pagerank(
     state = cut_lineage(
         state.select(
             *NODE, "n", F.col("total").isNull().alias("dangling"),
-            (F.lit(1.0) / F.col("n")).alias("rank"), F.lit(0.0).alias("before"),
+            (F.lit(1.0) / F.col("n")).alias("rank"), F.lit(0.0).alias("before"), F.lit(False).alias("done"),
         )
     )
-    # Per case: rank held by nodes without a way out, and whether the case has settled.
-    lost = F.sum(F.when(F.col("dangling"), F.col("rank")).otherwise(0.0)).alias("lost")
-    cases = state.groupBy("case_id").agg(lost, F.lit(False).alias("done"))
-    for _ in range(max_iterations):
-        flows = links.join(state.select(*NODE, "rank"), NODE).select(
-            "case_id", F.col("tgt_id").alias("id"), (F.col("rank") * F.col("share")).alias("flow"),
-            F.lit(None).cast("long").alias("n"), F.lit(None).cast("boolean").alias("dangling"),
-            F.lit(None).cast("double").alias("rank"),
-        )
-        kept = state.select(*NODE, F.lit(0.0).alias("flow"), "n", "dangling", "rank")
-        summed = flows.unionByName(kept).groupBy(*NODE).agg(
-            F.sum("flow").alias("flow"), F.max("n").alias("n"),
-            F.max("dangling").alias("dangling"), F.max("rank").alias("before"),
-        )
-        fresh = F.lit(damping) * (F.col("flow") + F.col("lost") / F.col("n"))
-        fresh = fresh + F.lit(1.0 - damping) / F.col("n")
+    spark = pairs.sparkSession
+    for step in range(1, max_iterations + 1):
         state = cut_lineage(
-            summed.join(cases, "case_id").select(
-                *NODE, "n", "dangling", F.when(F.col("done"), F.col("before")).otherwise(fresh).alias("rank"), "before"
-            )
+            spark.sql(_RANK_STEP, state=state, links=links, damping=damping, tolerance=tolerance, step=step)
         )
-        change = F.sum(F.abs(F.col("rank") - F.col("before")))
-        cases = state.groupBy("case_id").agg(lost, (change < F.max("n") * F.lit(tolerance)).alias("done"))
-        if cases.filter("not done").isEmpty():
+        # A settled case is frozen inside the step, so looking every few rounds is enough.
+        if step % ROUNDS_PER_CHECK == 0 and state.filter("not done").isEmpty():
             break
     return state.select(*NODE, F.col("rank").alias("pagerank"))
 

@@ -34,38 +34,48 @@ def modularity(links: DataFrame, labels: DataFrame) -> DataFrame:
     return per.join(whole, "case_id").groupBy("case_id").agg(F.sum(share).alias("modularity"))
 
 
+# One round of moves.  ``stay`` is the gain of the own community without oneself.
+_MOVE_STEP = """
+    WITH sizes AS (
+      SELECT l.case_id, l.community, sum(n.k) AS tot FROM {labels} l JOIN {nodes} n ON l.case_id = n.case_id AND l.id = n.id
+      GROUP BY l.case_id, l.community),
+    near AS (
+      SELECT w.case_id, w.a AS id, l.community, sum(w.weight) AS w
+      FROM {ways} w JOIN {labels} l ON w.case_id = l.case_id AND w.b = l.id WHERE w.a <> w.b GROUP BY w.case_id, w.a, l.community),
+    scored AS (
+      SELECT e.case_id, e.id, e.community, o.community AS own, n.k, n.m2,
+        e.w - n.k * (s.tot - CASE WHEN e.community = o.community THEN n.k ELSE 0 END) / n.m2 AS gain
+      FROM near e JOIN sizes s ON e.case_id = s.case_id AND e.community = s.community
+        JOIN {labels} o ON e.case_id = o.case_id AND e.id = o.id JOIN {nodes} n ON e.case_id = n.case_id AND e.id = n.id),
+    choice AS (
+      SELECT case_id, id, own, max(k) AS k, max(m2) AS m2, max(struct(gain, community)) AS top,
+        max(CASE WHEN community = own THEN gain END) AS stay
+      FROM scored GROUP BY case_id, id, own)
+    SELECT c.case_id, c.id, c.top.community AS target
+    FROM choice c JOIN sizes h ON c.case_id = h.case_id AND c.own = h.community
+    WHERE pmod(xxhash64(c.id, {turn}), 2) = {side} AND c.top.community <> c.own
+      AND c.top.gain > coalesce(c.stay, -c.k * (h.tot - c.k) / c.m2) + {least}"""
+
+
 def _local_moves(links: DataFrame, max_rounds: int) -> DataFrame:
     """Move nodes to the neighbouring community with the best gain until nothing gains.
 
     Half of the nodes, by hash and round, may move at a time, so two neighbours do not
     swap for ever.  The caller keeps a level only when it raised modularity.
     """
+    spark = links.sparkSession
     ways = cut_lineage(_both_ways(links))
-    strength = ways.groupBy("case_id", F.col("a").alias("id")).agg(F.sum("weight").alias("k"))
+    strength = ways.groupBy("case_id", F.col("a").alias("id")).agg(F.sum("weight").cast("double").alias("k"))
     total = strength.groupBy("case_id").agg(F.sum("k").alias("m2"))
     nodes = cut_lineage(strength.join(total, "case_id"))
     labels = cut_lineage(nodes.select(*NODE, F.col("id").alias("community")))
     calm = 0
     for step in range(max_rounds):
-        sizes = labels.join(nodes, NODE).groupBy("case_id", "community").agg(F.sum("k").alias("tot"))
-        other = labels.select("case_id", F.col("id").alias("b"), "community")
-        near = ways.filter("a <> b").join(other, ["case_id", "b"]).groupBy("case_id", F.col("a").alias("id"), "community").agg(F.sum("weight").alias("w"))
-        own = labels.select(*NODE, F.col("community").alias("own"))
-        scored = near.join(sizes, ["case_id", "community"]).join(own, NODE).join(nodes, NODE)
-        # Leaving one's own community takes one's strength out of its total.
-        rest = F.col("tot") - F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0)
-        scored = scored.withColumn("gain", F.col("w") - F.col("k") * rest / F.col("m2"))
-        # A node alone in its community, or with no link into it, stays for gain 0 - k * rest.
-        choice = scored.groupBy(*NODE, "own").agg(
-            F.max(F.struct("gain", F.col("community"))).alias("top"),
-            F.max(F.when(F.col("community") == F.col("own"), F.col("gain"))).alias("stay"),
+        moves = cut_lineage(
+            spark.sql(
+                _MOVE_STEP, labels=labels, nodes=nodes, ways=ways, turn=step // 2, side=step % 2, least=MIN_GAIN
+            )
         )
-        home = sizes.select("case_id", F.col("community").alias("own"), F.col("tot").alias("own_tot"))
-        choice = choice.join(home, ["case_id", "own"]).join(nodes, NODE)
-        stay = F.coalesce("stay", -F.col("k") * (F.col("own_tot") - F.col("k")) / F.col("m2"))
-        turn = F.pmod(F.xxhash64("id", F.lit(step // 2)), F.lit(2)) == step % 2
-        moves = choice.filter(turn & (F.col("top.gain") > stay + F.lit(MIN_GAIN)) & (F.col("top.community") != F.col("own")))
-        moves = cut_lineage(moves.select(*NODE, F.col("top.community").alias("target")))
         if moves.isEmpty():
             calm += 1
             if calm == 2:
@@ -82,7 +92,7 @@ def _score(links: DataFrame, labels: DataFrame) -> float:
     return float(value or 0.0)
 
 
-def community_labels(pairs: DataFrame, nodes: DataFrame | None = None, max_levels: int = 10, max_rounds: int = 30) -> DataFrame:
+def community_labels(pairs: DataFrame, nodes: DataFrame | None = None, max_levels: int = 10, max_rounds: int = 16) -> DataFrame:
     """Community of every node: local moves, then contraction, until modularity stops rising."""
     everyone = project_nodes(nodes, pairs).select(*NODE)
     links = cut_lineage(undirected_weights(pairs))
