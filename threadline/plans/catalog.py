@@ -1,6 +1,12 @@
 """Loads every query module, so that the registry is complete."""
 
-from threadline.plans import case_queries, graph_queries, source_queries, text_queries  # noqa: F401
+from threadline.plans import (  # noqa: F401
+    case_queries,
+    graph_queries,
+    source_queries,
+    stream_queries,
+    text_queries,
+)
 from threadline.plans.registry import all_queries, all_sql
 
 __all__ = ["all_queries", "all_sql"]

@@ -9,7 +9,9 @@ from threadline.functions import ids, text
 from threadline.operators import relations as rel
 from threadline.operators import resolve
 from threadline.operators.signals import byte_signals, extract_signals, image_signals
+from threadline.operators.ingest import build_case_graph
 from threadline.plans.registry import Inputs, query
+from threadline.session import cut_lineage
 
 # Title case in the SQL engine: every run of letters starts upper case.
 _TITLE = (
@@ -319,7 +321,7 @@ _REL = ["observation_id", "source_label", "target_label", "rel_label", "extracti
 
 def _related(t: Inputs, binding: str, rule, *rules: str) -> DataFrame:
     """Relationships of a binding, with the signals' values in place of their ids."""
-    signals = extract_signals(t.bound(binding), list(rules) or None)
+    signals = cut_lineage(extract_signals(t.bound(binding), list(rules) or None))
     found = rule(signals)
     value = signals.select("signal_key", "normalized_value").distinct()
     named = found.join(value.select(F.col("signal_key").alias("source_signal_key"), F.col("normalized_value").alias("source")), "source_signal_key")
@@ -416,7 +418,7 @@ def _(t: Inputs) -> DataFrame:
 @query("rel_no_cooccurrence", "SELECT CAST(0 AS BIGINT) AS associated FROM region WHERE r_regionkey = 0")
 def _(t: Inputs) -> DataFrame:
     """Two people in one text (every card names two) are never linked."""
-    found = rel.extract_relationships(extract_signals(t.bound("cards")))
+    found = rel.extract_relationships(cut_lineage(extract_signals(t.bound("cards"))))
     return found.agg(F.count_if(F.col("rel_label") == "ASSOCIATED_WITH").alias("associated"))
 
 
@@ -514,12 +516,17 @@ def _(t: Inputs) -> DataFrame:
 
 
 def _canonical(t: Inputs) -> DataFrame:
-    signals = extract_signals(t.bound("comm_obs"), ["sig_comm_pair"])
+    signals = cut_lineage(extract_signals(t.bound("comm_obs"), ["sig_comm_pair"]))
     values = resolve.resolve_values(resolve.distinct_values(signals, "signal_key"), fuzzy_types=["Person"])
     return resolve.canonicalize_relationships(rel.rel_account_comm(signals), resolve.signal_to_entity(signals, values))
 
 
-@query("canonicalize_relationships")
+def _mail_can(value: str) -> str:
+    return f"'CAN-EMA-' || upper(sha256(case_id || ':EMA:' || {value})[1:6])"
+
+
+@query("canonicalize_relationships", f"""SELECT case_id, {_mail_can("lower(trim(value->>'$.from_account'))")} AS src_id, {_mail_can("lower(trim(value->>'$.to_account'))")} AS tgt_id,
+    'COMMUNICATED_WITH' AS rel_label, observation_id, 1e0 AS confidence FROM comm_obs""", "comm_obs")
 def _(t: Inputs) -> DataFrame:
     return _canonical(t).select("case_id", "src_id", "tgt_id", "rel_label", "observation_id", "confidence")
 
@@ -543,3 +550,18 @@ def _(t: Inputs) -> DataFrame:
         "true_matches", "false_matches", "missed_matches",
         *[F.round(name, 6).alias(name) for name in ("precision", "recall", "f1_score")],
     )
+
+
+@query("case_graph_ingest", f"""SELECT kind, label, count(*) AS rows FROM (
+      SELECT DISTINCT 'NODE' AS kind, 'Email' AS label, case_id || m AS k FROM (SELECT case_id, {_FROM_MAIL} AS m FROM {_MAIL} UNION SELECT case_id, {_TO_MAIL} FROM {_MAIL} UNION SELECT case_id, lower(et[2]) FROM {_MAIL}) a
+      UNION ALL SELECT DISTINCT 'NODE', 'Person', case_id || n FROM (SELECT case_id, {_FROM_NAME} AS n FROM {_MAIL} UNION SELECT case_id, {_TO_NAME} FROM {_MAIL}) b
+      UNION ALL SELECT DISTINCT 'EDGE', r, case_id || s || '>' || t || '>' || evidence_id FROM (
+        SELECT case_id, evidence_id, 'USED_EMAIL' AS r, {_FROM_NAME} AS s, {_FROM_MAIL} AS t FROM {_MAIL} UNION SELECT case_id, evidence_id, 'USED_EMAIL', {_TO_NAME}, {_TO_MAIL} FROM {_MAIL}
+        UNION SELECT case_id, evidence_id, 'COMMUNICATED_WITH', {_FROM_MAIL}, {_TO_MAIL} FROM {_MAIL} UNION SELECT case_id, evidence_id, 'COMMUNICATED_WITH', {_FROM_MAIL}, lower(et[2]) FROM {_MAIL}
+        UNION SELECT case_id, evidence_id, 'COMMUNICATED_WITH', {_FROM_NAME}, {_TO_NAME} FROM {_MAIL}) e) g GROUP BY 1, 2""", "mail_obs")
+def _(t: Inputs) -> DataFrame:
+    """Messages to a case graph, fuzzy merging off so that SQL can check it."""
+    built = build_case_graph(t.bound("mail_obs"), fuzzy_types=["Organization"])
+    nodes = built.nodes.groupBy(F.lit("NODE").alias("kind"), F.col("entity_type").alias("label")).agg(F.count(F.lit(1)).alias("rows"))
+    edges = built.edges.groupBy(F.lit("EDGE").alias("kind"), F.col("rel_label").alias("label")).agg(F.count(F.lit(1)).alias("rows"))
+    return nodes.unionByName(edges)
