@@ -5,6 +5,8 @@ Patterns carry ``(?U)`` where letters and spaces of every script count.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,6 +26,11 @@ ACCOUNT_TYPES = ["BANKACCOUNT", "ACCOUNT", "FINANCIAL", "IFSC", "UPI"]
 COORDINATES = r"^(?U)\s*([\-+]?\d+(?:\.\d+)?)\s*,\s*([\-+]?\d+(?:\.\d+)?)\s*$"
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(value: Column) -> Column:
     return F.regexp_replace(value, r"(?U)^\s+|\s+$", "")
 
@@ -52,17 +59,18 @@ def norm_person(value: Column) -> Column:
 
 
 def norm_phone(value: Column) -> Column:
-    digits = F.regexp_replace(value, r"(?U)[^\d]", "")
-    size = F.length(digits)
-    normalized = (
-        F.when(size == 0, F.lit(""))
-        .when(size == 10, F.concat(F.lit("+91"), digits))
-        .when((size == 12) & digits.startswith("91"), F.concat(F.lit("+"), digits))
-        .when((size == 11) & digits.startswith("0"), F.concat(F.lit("+91"), digits.substr(2, 10)))
-        .when(value.startswith("+"), F.concat(F.lit("+"), digits))
-        .otherwise(digits)
-    )
-    return _or_empty(value, normalized)
+    def by_length(digits: Column) -> Column:
+        size = F.length(digits)
+        return (
+            F.when(size == 0, F.lit(""))
+            .when(size == 10, F.concat(F.lit("+91"), digits))
+            .when((size == 12) & digits.startswith("91"), F.concat(F.lit("+"), digits))
+            .when((size == 11) & digits.startswith("0"), F.concat(F.lit("+91"), digits.substr(2, 10)))
+            .when(value.startswith("+"), F.concat(F.lit("+"), digits))
+            .otherwise(digits)
+        )
+
+    return _or_empty(value, bind(F.regexp_replace(value, r"(?U)[^\d]", ""), by_length))
 
 
 def norm_email(value: Column) -> Column:

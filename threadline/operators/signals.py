@@ -67,12 +67,27 @@ def _place() -> Column:
     return F.coalesce(F.nullif(F.col("location_reference"), F.lit("")), F.lit("Unknown Location"))
 
 
+# Fields of the structured observations, parsed once per row.
+FIELDS = (
+    "row_id string, account_type string, account_unique_identifier string, from_account string, to_account string, "
+    "email_from string, email_to string, latitude string, longitude string, user_name string"
+)
+STRUCTURED = [
+    "IMAGE_GPS", "FORENSIC_ACCOUNT", "FORENSIC_COMMUNICATION", "FORENSIC_EMAIL_MESSAGE", "FORENSIC_EXIF_GPS",
+    "FORENSIC_WEB_HISTORY",
+]
+
+
+def _raw_field(name: str) -> Column:
+    return F.col(f"_fields.{name}")
+
+
 def _field(name: str) -> Column:
-    return text.strip(F.coalesce(F.get_json_object("value", f"$.{name}"), F.lit("")))
+    return text.strip(F.coalesce(_raw_field(name), F.lit("")))
 
 
 def _only(condition: Column, matches: Column) -> Column:
-    return F.when(condition, matches.cast(MATCH)).otherwise(F.array().cast(MATCH))
+    return F.when(condition, matches).otherwise(F.array().cast(MATCH))
 
 
 def _is(observation_type: str) -> Column:
@@ -186,11 +201,10 @@ def sig_row_columns() -> Column:
 
 
 def sig_gps() -> Column:
-    latitude = F.get_json_object("value", "$.latitude")
-    longitude = F.get_json_object("value", "$.longitude")
+    latitude, longitude = _raw_field("latitude"), _raw_field("longitude")
     complete = latitude.try_cast("double").isNotNull() & longitude.try_cast("double").isNotNull()
     shown = F.concat(F.lit("Lat: "), latitude, F.lit(", Lon: "), longitude)
-    row = F.coalesce(F.get_json_object("value", "$.row_id"), F.lit("0"))
+    row = _row_id()
     pair = text.coordinate_pair(latitude.try_cast("double"), longitude.try_cast("double"))
     image = _match("Location", shown, "IMAGE_EXIF_GPS", 1.0, text_key=pair)
     forensic = _match(
@@ -202,7 +216,7 @@ def sig_gps() -> Column:
 
 
 def _row_id() -> Column:
-    return F.coalesce(F.get_json_object("value", "$.row_id"), F.lit("0"))
+    return F.coalesce(_raw_field("row_id"), F.lit("0"))
 
 
 def sig_account() -> Column:
@@ -210,7 +224,7 @@ def sig_account() -> Column:
     match = _match(
         "Email", identifier, "AUTOPSY_ACCOUNTS_TABLE", 1.0, trace=F.concat(F.lit("accounts:"), _row_id())
     )
-    is_email = F.get_json_object("value", "$.account_type") == "EMAIL"
+    is_email = _raw_field("account_type") == "EMAIL"
     return _only(_is("FORENSIC_ACCOUNT") & is_email & (identifier != ""), F.array(match))
 
 
@@ -306,18 +320,30 @@ def extract_signals(
     carried = keep or []
     extra = {"sig_text_org": sig_text_org}
     chosen = [{**extra, **_extractors}[name] for name in (rules or list(_extractors))]
-    matches = F.concat(*[rule() for rule in chosen])
-    rows = observations.select(
-        "case_id", "evidence_id", "artifact_id", "observation_id", "job_id", *carried, F.explode(matches).alias("m")
+    matches = F.concat(*[rule() for rule in chosen]) if len(chosen) > 1 else chosen[0]()
+
+    def normalise(match: Column) -> Column:
+        value = text.norm_dispatch(match.getField("entity_type"), match.getField("observed"))
+        return F.struct(match.alias("m"), F.coalesce(match.getField("text_key"), value).alias("normalized_value"))
+
+    def identify(item: Column) -> Column:
+        match, value = item.getField("m"), item.getField("normalized_value")
+        source = F.concat(F.col("observation_id"), match.getField("id_suffix"))
+        key = ids.digest(F.col("case_id"), source, match.getField("entity_type"), value)
+        return F.struct(match.alias("m"), value.alias("normalized_value"), key.alias("signal_key"))
+
+    # Values and keys are computed inside the arrays, so that each is computed once and
+    # the columns after the explode are plain fields.
+    long_enough = F.filter(
+        F.transform(matches, normalise),
+        lambda item: F.length(item.getField("normalized_value")) >= item.getField("m").getField("min_length"),
     )
-    ready = F.col("m.text_key")
-    normalized = F.coalesce(ready, text.norm_dispatch(F.col("m.entity_type"), F.col("m.observed")))
-    keyed = rows.withColumn("normalized_value", normalized).filter(
-        F.length("normalized_value") >= F.col("m.min_length")
+    fields = F.when(F.col("observation_type").isin(STRUCTURED), F.from_json("value", FIELDS))
+    rows = observations.withColumn("_fields", fields).select(
+        "case_id", "evidence_id", "artifact_id", "observation_id", "job_id", *carried,
+        F.inline(F.transform(long_enough, identify)),
     )
-    source = F.concat(F.col("observation_id"), F.col("m.id_suffix"))
-    key = ids.digest(F.col("case_id"), source, F.col("m.entity_type"), F.col("normalized_value"))
-    return keyed.withColumn("signal_key", key).select(
+    return rows.select(
         ids.signal_id(F.col("m.entity_type"), F.col("signal_key")).alias("signal_id"),
         "signal_key",
         "case_id",

@@ -43,7 +43,7 @@ _DEGREE = """SELECT case_id, id, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o
 
 
 def _pairs(t: Inputs, binding: str = "links") -> DataFrame:
-    return analytics.project_graph(t.bound(binding))
+    return analytics.project_graph(t.spread(binding))
 
 
 # --- flagship ------------------------------------------------------------------
@@ -55,7 +55,7 @@ def _pairs(t: Inputs, binding: str = "links") -> DataFrame:
     JOIN ({_DEGREE}) a ON a.case_id = s.case_id AND a.id = s.src_id JOIN ({_DEGREE}) b ON b.case_id = s.case_id AND b.id = s.tgt_id WHERE rank <= 100""", "links")
 def _(t: Inputs) -> DataFrame:
     """Best-scored links of every ring with both ends' degrees."""
-    links = t.bound("links")
+    links = t.spread("links")
     best = scoring.ring_queue(scoring.ccc_score_edges(graph.case_edges(links)), 100)
     degrees = analytics.degree_metrics(analytics.project_graph(links)).select("case_id", "id", "total_degree")
     source = degrees.select("case_id", F.col("id").alias("src_id"), F.col("total_degree").alias("src_degree"))
@@ -87,7 +87,7 @@ def _(t: Inputs) -> DataFrame:
     WHERE NOT EXISTS (SELECT 1 FROM links x WHERE x.job_id = 'JOB-R' AND x.case_id = l.case_id AND x.src_id = l.src_id AND x.rel_label = l.rel_label AND x.tgt_id = l.tgt_id AND x.evidence_id = l.evidence_id)
     GROUP BY ALL""", "links")
 def _(t: Inputs) -> DataFrame:
-    links = t.bound("links")
+    links = t.spread("links")
     fresh = graph.edge_dedupe(links, links.filter("job_id = 'JOB-R'"))
     return fresh.select("case_id", "src_id", "rel_label", "tgt_id", "evidence_id", "rel_id")
 
@@ -97,7 +97,7 @@ def _(t: Inputs) -> DataFrame:
     FROM (SELECT *, CASE job_id WHEN 'JOB-N' THEN 'CALLED' ELSE rel_label END AS lab FROM links) l
     LEFT JOIN part s ON 'P-' || s.p_partkey = l.src_id LEFT JOIN part g ON 'P-' || g.p_partkey = l.tgt_id""", "links")
 def _(t: Inputs) -> DataFrame:
-    links = t.bound("links").withColumn("rel_label", F.when(F.col("job_id") == "JOB-N", "CALLED").otherwise(F.col("rel_label")))
+    links = t.spread("links").withColumn("rel_label", F.when(F.col("job_id") == "JOB-N", "CALLED").otherwise(F.col("rel_label")))
     known = t.bound("nodes").filter("id like 'S-%' or observed_count <= 40")
     return graph.edge_schema_check(links, known).select("rel_id", "reject_reason")
 
@@ -108,7 +108,7 @@ def _(t: Inputs) -> DataFrame:
       UNION ALL SELECT 'RELATIONSHIP_PAIR', case_id, 'PAIR:' || src_id || '->' || tgt_id FROM (SELECT DISTINCT case_id, src_id, tgt_id FROM links)) r GROUP BY 1""", "links nodes")
 def _(t: Inputs) -> DataFrame:
     entities = t.bound("nodes").withColumnRenamed("id", "canonical_entity_id")
-    found = graph.provenance_records(entities, t.bound("links"))
+    found = graph.provenance_records(entities, t.spread("links"))
     return found.groupBy("resource_type").agg(
         F.count(F.lit(1)).alias("records"), F.count_distinct(F.concat("case_id", "resource_id")).alias("resources")
     )
@@ -118,7 +118,7 @@ def _(t: Inputs) -> DataFrame:
 def _(t: Inputs) -> DataFrame:
     """First relationship of every pair."""
     entities = t.bound("nodes").withColumnRenamed("id", "canonical_entity_id")
-    found = graph.provenance_records(entities, t.bound("links")).filter("resource_type = 'RELATIONSHIP_PAIR'")
+    found = graph.provenance_records(entities, t.spread("links")).filter("resource_type = 'RELATIONSHIP_PAIR'")
     return found.select("case_id", "resource_id", F.get_json_object("provenance", "$.rel_id").alias("rel_id"))
 
 
@@ -134,7 +134,7 @@ def _(t: Inputs) -> DataFrame:
       CASE WHEN types > 1 THEN types || ' Link Types (' || n || ' Connections)' WHEN n > 1 THEN first_type || ' (' || n || 'x)' ELSE first_type END AS relationship,
       CAST(types AS INT) AS type_count, n AS interaction_count, confidence, evidence_count, first_evidence_id, rel_id FROM ({_CASE_EDGES}) e""", "links")
 def _(t: Inputs) -> DataFrame:
-    return graph.case_edges(t.bound("links")).select(
+    return graph.case_edges(t.spread("links")).select(
         "case_id", "src_id", "tgt_id", "first_type", "relationship_type", "relationship", F.size("distinct_types").alias("type_count"),
         "interaction_count", "confidence", "evidence_count", "first_evidence_id", "rel_id",
     )
@@ -142,7 +142,7 @@ def _(t: Inputs) -> DataFrame:
 
 @query("edge_breakdown", "SELECT case_id, src_id, tgt_id, rel_label, evidence_id, count(*) AS connections, max(confidence) AS confidence FROM links GROUP BY 1, 2, 3, 4, 5", "links")
 def _(t: Inputs) -> DataFrame:
-    return graph.edge_breakdown(t.bound("links"))
+    return graph.edge_breakdown(t.spread("links"))
 
 
 _NEAR = "(src_id = 'S-7' OR tgt_id = 'S-7')"
@@ -151,7 +151,7 @@ _NEAR = "(src_id = 'S-7' OR tgt_id = 'S-7')"
 @query("edge_overview", f"""SELECT case_id, src_id, tgt_id, {_score(f'CASE WHEN {_NEAR} THEN 15 ELSE 5 END', f'CASE WHEN {_NEAR} THEN 2e0 ELSE 14e0 END', 'CASE WHEN confidence >= 0.9 THEN 3 ELSE 1 END', 'confidence', 'first_type')} AS ccc_score,
       n > 1 AS is_consolidated FROM ({_CASE_EDGES}) e""", "links")
 def _(t: Inputs) -> DataFrame:
-    return graph.edge_overview(t.bound("links"), "S-7").select("case_id", "src_id", "tgt_id", "ccc_score", "is_consolidated")
+    return graph.edge_overview(t.spread("links"), "S-7").select("case_id", "src_id", "tgt_id", "ccc_score", "is_consolidated")
 
 
 # --- layers, neighbours, paths -------------------------------------------------
@@ -210,7 +210,7 @@ def _(t: Inputs) -> DataFrame:
 
 @query("entity_detail", "SELECT case_id, id, canonical_name, observed_count, 'UNDER_REVIEW' AS human_verification_status FROM nodes WHERE case_id = 'CASE-O' AND id = 'P-7'", "nodes")
 def _(t: Inputs) -> DataFrame:
-    facts = t.bound("links").groupBy("case_id", F.col("src_id").alias("canonical_entity_id")).agg(
+    facts = t.spread("links").groupBy("case_id", F.col("src_id").alias("canonical_entity_id")).agg(
         F.min("evidence_id").alias("evidence_id"), F.count_distinct("evidence_id").alias("evidence_count"),
         F.count_distinct("artifact_id").alias("artifact_count"), F.count_distinct("observation_id").alias("observation_count"),
     )
@@ -221,7 +221,7 @@ def _(t: Inputs) -> DataFrame:
 @query("relationship_detail", """SELECT case_id, rel_id, src_id, tgt_id, rel_label, evidence_id, artifact_id, observation_id, job_id FROM links
     WHERE case_id = 'CASE-O' AND rel_id = (SELECT min(rel_id) FROM links WHERE case_id = 'CASE-O' AND src_id = 'S-3' AND tgt_id = (SELECT min(tgt_id) FROM links WHERE case_id = 'CASE-O' AND src_id = 'S-3'))""", "links")
 def _(t: Inputs) -> DataFrame:
-    links = t.bound("links")
+    links = t.spread("links")
     consolidated = graph.case_edges(links)
     edge = consolidated.filter("case_id = 'CASE-O' and src_id = 'S-3'").agg(F.min(F.struct("tgt_id", "edge_id")).alias("e")).first()
     wanted = edge["e"]["edge_id"] if edge["e"] else ""
@@ -230,7 +230,7 @@ def _(t: Inputs) -> DataFrame:
 
 @query("evidence_trace", "SELECT case_id, src_id, tgt_id, rel_label, confidence FROM links WHERE evidence_id = 'EV-77'", "links")
 def _(t: Inputs) -> DataFrame:
-    return graph.evidence_trace(t.bound("links"), "EV-77").drop("evidence_id")
+    return graph.evidence_trace(t.spread("links"), "EV-77").drop("evidence_id")
 
 
 _DECISIONS = """SELECT CASE WHEN event_id % 3 = 0 THEN 'CASE-O' ELSE 'CASE-F' END AS case_id, 'S-' || (user_id % 40) AS target_id,
@@ -253,7 +253,7 @@ def _(t: Inputs) -> DataFrame:
 @query("label_counts", """SELECT entity_type AS label, count(*) AS count, 'NODE' AS kind FROM nodes GROUP BY 1
     UNION ALL SELECT 'Person-' || rel_label || '->Person', count(*), 'EDGE' FROM links GROUP BY rel_label""", "links nodes")
 def _(t: Inputs) -> DataFrame:
-    return graph.label_counts(t.bound("nodes"), t.bound("links"))
+    return graph.label_counts(t.bound("nodes"), t.spread("links"))
 
 
 @query("anchor_link", """SELECT case_id, 'A-' || case_id AS src_id, id AS tgt_id, CASE WHEN starts_with(id, 'P') THEN 'USED_PHONE' ELSE 'USED_EMAIL' END AS rel_label FROM nodes WHERE starts_with(id, 'P') OR observed_count > 5""", "nodes")
@@ -291,20 +291,20 @@ def _(t: Inputs) -> DataFrame:
 
 @query("ccc_score_edges", f"SELECT case_id, src_id, tgt_id, score AS ccc_score, {_ring('score')} AS ccc_ring FROM ({_SCORED}) s", "links")
 def _(t: Inputs) -> DataFrame:
-    scored = scoring.ccc_score_edges(graph.case_edges(t.bound("links")))
+    scored = scoring.ccc_score_edges(graph.case_edges(t.spread("links")))
     return scored.select("case_id", "src_id", "tgt_id", "ccc_score", "ccc_ring")
 
 
 @query("ccc_score_edges_observed", f"SELECT case_id, src_id, tgt_id, {_score('n', 'greatest(0e0, (epoch(TIMESTAMP ' + chr(39) + '2002-01-01' + chr(39) + ') - epoch(last_seen)) / 86400e0)', 'greatest(evidence_count, 1)', 'confidence', 'first_type')} AS ccc_score FROM ({_CASE_EDGES}) e", "links")
 def _(t: Inputs) -> DataFrame:
-    scored = scoring.ccc_score_edges(graph.case_edges(t.bound("links")), "observed", F.lit("2002-01-01").cast("timestamp"))
+    scored = scoring.ccc_score_edges(graph.case_edges(t.spread("links")), "observed", F.lit("2002-01-01").cast("timestamp"))
     return scored.select("case_id", "src_id", "tgt_id", "ccc_score")
 
 
 @query("ring_queue", f"""SELECT case_id, src_id, tgt_id, ring AS ccc_ring, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY case_id, ring ORDER BY score DESC, src_id, tgt_id) AS rank
     FROM (SELECT *, {_ring('score')} AS ring FROM ({_SCORED}) x) y) z WHERE rank <= 25""", "links")
 def _(t: Inputs) -> DataFrame:
-    scored = scoring.ccc_score_edges(graph.case_edges(t.bound("links")))
+    scored = scoring.ccc_score_edges(graph.case_edges(t.spread("links")))
     return scoring.ring_queue(scored, 25).select("case_id", "src_id", "tgt_id", "ccc_ring", "rank")
 
 
@@ -474,4 +474,4 @@ def _(t: Inputs) -> DataFrame:
     LEFT JOIN (SELECT case_id, count(*) AS e, count(DISTINCT src_id || '>' || tgt_id) AS p FROM links GROUP BY 1) e ON e.case_id = c.case_id""", "links nodes")
 def _(t: Inputs) -> DataFrame:
     cases = t.sql("SELECT 'CASE-' || x AS case_id FROM (VALUES ('O'), ('F'), ('NONE')) v(x)")
-    return analytics.empty_case_summary(cases, t.bound("nodes"), t.bound("links"))
+    return analytics.empty_case_summary(cases, t.bound("nodes"), t.spread("links"))
