@@ -31,7 +31,7 @@ GROUP = ["case_id", "entity_type"]
 SEGMENT_FLOOR = 0.75
 
 
-def distinct_values(signals: DataFrame, order: str) -> DataFrame:
+def distinct_values(signals: DataFrame, order: Column | str) -> DataFrame:
     """One row per value: first position in input order and multiplicity."""
     return (
         signals.filter(F.length("normalized_value") > 0)
@@ -43,45 +43,58 @@ def distinct_values(signals: DataFrame, order: str) -> DataFrame:
 def _segment_keys(values: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """Index keys of the shorter value and probe keys of the longer one.
 
-    A value of length a is cut into budget + 1 pieces.  Each insertion or deletion
-    breaks at most one piece, so a similar value holds one piece unchanged, shifted
-    by no more than the edits before it.
+    For lengths a <= b with an edit budget, the shorter value is cut into budget + 2
+    pieces.  An edit breaks at most one piece, so two pieces stand unchanged in any
+    similar longer value, shifted by no more than the edits before them.  Each value
+    can therefore leave its most common piece (a dialling code, a mail domain) out of
+    the index and still meet every partner.  Values too short for that are cut into
+    budget + 1 pieces and keep them all.
     """
     stretch = (2.0 - threshold) / threshold
 
-    def pieces(length: Column) -> Column:
-        longest = F.floor(length * F.lit(stretch) + F.lit(1e-9))
-        return edit_budget(length, longest, threshold) + 1
+    def pieces(length: Column, budget: Column) -> Column:
+        roomy = (budget >= 1) & (length >= 2 * (budget + 2))
+        return F.when(roomy, budget + 2).otherwise(budget + 1)
 
     def start(length: Column, count: Column, index: Column) -> Column:
         return F.floor(length * index / count).cast("int")
 
     sized = values.withColumn("text", F.lower("value")).withColumn("size", F.length("text"))
-    index = sized.withColumn("count", pieces(F.col("size"))).withColumn(
-        "piece", F.explode(F.sequence(F.lit(0), F.col("count") - 1))
-    )
+    longest = F.greatest(F.floor(F.col("size") * F.lit(stretch) + F.lit(1e-9)).cast("int"), F.col("size"))
+    index = sized.withColumn("long", F.explode(F.sequence(F.col("size"), longest)))
+    index = index.withColumn("budget", edit_budget(F.col("size"), F.col("long"), threshold))
+    index = index.filter("budget >= long - size").withColumn("count", pieces(F.col("size"), F.col("budget")))
+    index = index.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("count") - 1)))
     begin = start(F.col("size"), F.col("count"), F.col("piece"))
     end = start(F.col("size"), F.col("count"), F.col("piece") + 1)
     index = index.select(
-        *GROUP, "value", "seq", "text", "size",
-        F.col("size").alias("short"), "piece", F.col("text").substr(begin + 1, end - begin).alias("part"),
+        *GROUP, "value", "seq", "text", "size", F.col("size").alias("short"), "long", "budget", "count", "piece",
+        F.col("text").substr(begin + 1, end - begin).alias("part"),
     )
-    smallest = F.greatest(F.ceil(F.col("size") / F.lit(stretch) - F.lit(1e-9)), F.lit(1)).cast("int")
-    probe = sized.withColumn("short", F.explode(F.sequence(smallest, F.col("size"))))
-    probe = probe.withColumn("count", pieces(F.col("short"))).withColumn(
-        "piece", F.explode(F.sequence(F.lit(0), F.col("count") - 1))
+    key = [*GROUP, "short", "long", "piece", "part"]
+    uses = index.groupBy(*key).agg(F.count(F.lit(1)).alias("uses"))
+    # The array holds the pieces of one value, never more than its length.
+    ranked = index.join(uses, key).groupBy(*GROUP, "value", "seq", "text", "size", "short", "long", "budget", "count").agg(
+        F.array_sort(F.collect_list(F.struct("uses", "piece", "part"))).alias("parts")
     )
-    budget = edit_budget(F.col("short"), F.col("size"), threshold)
-    gap = F.col("size") - F.col("short")
-    back = F.floor((budget - gap) / 2).cast("int")
-    ahead = F.floor((budget + gap) / 2).cast("int")
+    kept = F.slice("parts", F.lit(1), F.col("budget") + 1)
+    index = ranked.select(*GROUP, "value", "seq", "text", "size", "short", "long", F.inline(kept)).drop("uses")
+
+    smallest = F.greatest(F.ceil(F.col("size") / F.lit(stretch) - F.lit(1e-9)), F.lit(1)).cast("int")
+    probe = sized.withColumn("long", F.col("size")).withColumn("short", F.explode(F.sequence(smallest, F.col("size"))))
+    probe = probe.withColumn("budget", edit_budget(F.col("short"), F.col("long"), threshold))
+    gap = F.col("long") - F.col("short")
+    probe = probe.filter(F.col("budget") >= gap).withColumn("count", pieces(F.col("short"), F.col("budget")))
+    probe = probe.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("count") - 1)))
+    back = F.floor((F.col("budget") - gap) / 2).cast("int")
+    ahead = F.floor((F.col("budget") + gap) / 2).cast("int")
     begin = start(F.col("short"), F.col("count"), F.col("piece"))
     width = start(F.col("short"), F.col("count"), F.col("piece") + 1) - begin
     low = F.greatest(begin - back, F.lit(0))
     high = F.least(begin + ahead, F.col("size") - width)
-    probe = probe.filter((budget >= gap) & (low <= high)).withColumn("at", F.explode(F.sequence(low, high)))
+    probe = probe.filter(low <= high).withColumn("at", F.explode(F.sequence(low, high)))
     probe = probe.select(
-        *GROUP, "value", "seq", "text", "size", "short", "piece",
+        *GROUP, "value", "seq", "text", "size", "short", "long", "piece",
         F.col("text").substr(F.col("at") + 1, width).alias("part"),
     ).distinct()
     return index, probe
@@ -116,7 +129,7 @@ def candidate_pairs(values: DataFrame, threshold: float, against: DataFrame | No
     earlier_side = against if against is not None else values
     if threshold > SEGMENT_FLOOR:
         index, probe = _segment_keys(values, threshold)
-        keys = [*GROUP, "short", "piece", "part"]
+        keys = [*GROUP, "short", "long", "piece", "part"]
         tie = (F.col("x.size") < F.col("y.size")) | (F.col("x.value") < F.col("y.value"))
     else:
         index = probe = _letter_keys(values, threshold)
