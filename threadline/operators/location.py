@@ -36,10 +36,13 @@ def image_stops(images: DataFrame) -> DataFrame:
 
 def observation_stops(observations: DataFrame) -> DataFrame:
     """Stops of position observations; numeric times become UTC text, missing ones stay null."""
+    names = ["latitude", "longitude", "datetime_created", "city", "country", "device_make", "device_model"]
+
     def field(name: str) -> Column:
-        return F.nullif(F.get_json_object("value", f"$.{name}"), F.lit(""))
+        return F.nullif(F.col(f"_f.{name}"), F.lit(""))
 
-    rows = observations.filter(F.col("observation_type").isin(POSITION_TYPES)).withColumns(
+    rows = observations.filter(F.col("observation_type").isin(POSITION_TYPES))
+    rows = rows.withColumn("_f", F.from_json("value", ", ".join(f"{name} string" for name in names))).withColumns(
         {"_lat": field("latitude").try_cast("double"), "_lon": field("longitude").try_cast("double"), "_t": field("datetime_created")}
     )
     rows = rows.filter("_lat is not null and _lon is not null")

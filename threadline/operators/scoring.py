@@ -89,13 +89,13 @@ def ccc_score(df: DataFrame) -> DataFrame:
     return scored.withColumn("priority_label", priority_label(F.col("concentric_ring")))
 
 
-def ccc_score_edges(case_edges: DataFrame, mode: str = "reference", as_of: Column | None = None) -> DataFrame:
+def ccc_score_edges(case_edges: DataFrame, mode: str = "fixed", as_of: Column | None = None) -> DataFrame:
     """Score consolidated edges.
 
-    ``reference`` uses four times the count (at most 60) and seven days; ``observed``
+    ``fixed`` uses four times the count (at most 60) and seven days; ``observed``
     uses the real count and the days between ``as_of`` and the edge's last_seen.
     """
-    if mode == "reference":
+    if mode == "fixed":
         frequency = F.least(F.col("interaction_count") * 4, F.lit(60))
         days = F.lit(7.0)
     elif mode == "observed":
