@@ -87,17 +87,17 @@ class Gaps:
             yield a, total - a
             both &= ~(1 << a)
 
-    def exact(self, anchor: int) -> tuple[int, ...] | None:
-        """Lengths that fill the gap beside ``anchor`` exactly: none, a single, a pair or a triple."""
+    def exact(self, anchor: int, most: int) -> tuple[int, ...] | None:
+        """At most ``most`` lengths that fill the gap beside ``anchor`` exactly: none, a single, a pair or a triple."""
         gap = self.capacity - anchor
         if gap == 0:
             return ()
         if self.last(anchor, gap):
             return (gap,)
-        for a, b in self.pairs(gap):
+        for a, b in self.pairs(gap) if most > 1 else ():
             if self.last(anchor, a, b):
                 return a, b
-        below = self.bits & ((1 << gap) - 1)
+        below = self.bits & ((1 << gap) - 1) if most > 2 else 0
         while below and 3 * (a := below.bit_length() - 1) >= gap:
             below &= ~(1 << a)
             for b, c in self.pairs(gap - a):
@@ -106,17 +106,27 @@ class Gaps:
         return None
 
 
-def plan_patterns(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """[(lengths of one sequence, number of such sequences)] that use every piece of the histogram."""
+def fill_exactly(counts: dict[int, int], capacity: int, most: int) -> list[tuple[tuple[int, ...], int]]:
+    """Exact fills of at most ``most`` pieces beside the longest ones, then best fit for what is left."""
     gaps, patterns = Gaps(counts, capacity), []
     for n in sorted(gaps.left, reverse=True):
-        while n in gaps.left and (found := gaps.exact(n)) is not None:
+        while n in gaps.left and (found := gaps.exact(n, most)) is not None:
             times = gaps.last(n, *found)
             gaps.use((n, *found), times)
             patterns.append(((n, *found), times))
     return patterns + best_fit(gaps.left, capacity)
 
 
+def plan_patterns(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
+    """[(lengths of one sequence, number of such sequences)] that use every piece of the histogram.
+
+    Pairs and triples can use up small pieces that best fit would need later; of the plans
+    with triples, with pairs and with singles only, the one with the fewest sequences is taken.
+    """
+    plans = [fill_exactly(counts, capacity, most) for most in (3, 2, 1)]
+    return min(plans, key=lambda plan: sum(times for _, times in plan))
+
+
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Best-fit decreasing over a histogram; equal sequences are filled in bulk."""
     open_: dict[int, list[tuple[tuple[int, ...], int]]] = defaultdict(list)

@@ -41,8 +41,8 @@ from threadline.session import cut_lineage
 FIT_ROWS = 20_000
 #: Most marks kept for a head, the most significant first.
 MARKS = 20_000
-#: A mark counts if its rates differ by so many standard errors.
-SIGNIFICANT = 5.0
+#: A word counts if its rates differ by so many standard errors; bins are few and need less.
+SIGNIFICANT, BIN_SIGNIFICANT = 5.0, 3.0
 #: Largest log-likelihood ratio of one mark and of one document.
 MARK_BOUND, DOC_BOUND = 6.0, 12.0
 #: Weight of an unlabelled document in its site's counts.
@@ -128,7 +128,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
         both = (F.col("n") + 1.0) / F.lit(sizes["n"] + 2.0)
         z = F.abs(p1 - p0) / F.sqrt(both * (F.lit(1.0) - both) * F.lit(1 / n1 + 1 / n0))
         ratio = F.greatest(F.lit(-MARK_BOUND), F.least(F.lit(MARK_BOUND), F.log(p1 / p0)))
-        best = counts.select("mark", z.alias("z"), ratio.alias("ratio")).filter(F.col("z") >= SIGNIFICANT)
+        best = counts.select("mark", z.alias("z"), ratio.alias("ratio")).filter(
+            F.col("z") >= F.when(F.col("mark").startswith(" "), F.lit(BIN_SIGNIFICANT)).otherwise(F.lit(SIGNIFICANT))
+        )
         best = best.orderBy(F.desc("z"), "mark").limit(MARKS)
         ratios[h] = {row["mark"]: row["ratio"] for row in best.collect()}
     return Model(ratios, rates)
