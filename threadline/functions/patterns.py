@@ -35,6 +35,5 @@ NAME_COLUMNS = [
 ]
 ACCOUNT_COLUMNS = ["account_no", "account_number", "acc_no", "ifsc", "upi_id", "bank_account"]
 LOCATION_COLUMNS = ["location", "city", "address", "state", "gps_coords"]
-ORG_COLUMNS = ["org", "organization", "company", "agency", "department"]
 
 SYSTEM_USERS = ["SYSTEM", "LOCAL SERVICE", "NETWORK SERVICE", "ROOT", "DEFAULT", "ALL USERS"]

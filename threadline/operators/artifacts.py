@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadline.functions import ids, text
+from threadline.functions.ordered import with_row_number
 from threadline.schemas import ALLOCATION_STATUSES, EXPLORER_BUCKETS, RECOVERY_STATUSES
 
 # Extension groups of the classifier.
@@ -24,8 +25,6 @@ SHORTLIST_EXTENSIONS = [
     ".png", ".jpg", ".jpeg", ".bmp", ".gif", ".webp", ".pdf", ".txt", ".docx", ".doc", ".xlsx", ".xls", ".csv",
     ".db", ".sqlite", ".log", ".eml", ".msg", ".bin", ".json", ".md",
 ]
-PARSE_BUDGET = 150
-PARSE_SIZE_LIMIT = 50 * 1024 * 1024
 
 
 def extension(name: Column) -> Column:
@@ -252,11 +251,11 @@ def explorer_counts(artifacts: DataFrame) -> DataFrame:
 # --- text and image rows -------------------------------------------------------
 
 
-def text_bounds(pages: DataFrame, max_pages: int | None = 20, max_chars: int | None = 5000, snippet: int = 300) -> DataFrame:
-    """Bounded page text with counts and a snippet.
+def text_bounds(pages: DataFrame, max_pages: int | None = None, max_chars: int | None = None, snippet: int = 300) -> DataFrame:
+    """Page text with counts over the whole text and a snippet.
 
-    ``pages`` has (artifact_id, page_number, text).  The limits are the feature: they
-    describe what a reader is shown.  Pass None for whole texts.
+    ``pages`` has (artifact_id, page_number, text).  A caller may bound the pages and the
+    characters counted, to describe what a reader is shown.
     """
     kept = pages if max_pages is None else pages.filter(F.col("page_number") <= max_pages)
     whole = F.coalesce("text", F.lit(""))
@@ -307,11 +306,12 @@ def image_gps(images: DataFrame) -> DataFrame:
 # --- shortlist, priority, format, triage ---------------------------------------
 
 
-def extraction_shortlist(files: DataFrame, targets: list[str], max_size: int, keep: int | None = 250) -> DataFrame:
-    """Files of each image worth extracting: named targets, then known suffixes, then the rest.
+def extraction_shortlist(files: DataFrame, targets: list[str], max_size: int | None = None, keep: int | None = None) -> DataFrame:
+    """Files of each image in order of extraction: named targets, then known suffixes, then the rest.
 
-    ``files`` has (image_id, position, path, size).  The first ``keep`` per image stay;
-    the rank bound is applied before the shuffle.
+    ``files`` has (image_id, position, path, size).  Files above ``max_size`` are ranked
+    like others and marked ``too_large``.  ``keep`` is a caller's bound per image; without
+    it all files are ranked, large images in slices.
     """
     low = F.lower("path")
     targeted = F.lit(False)
@@ -324,9 +324,10 @@ def extraction_shortlist(files: DataFrame, targets: list[str], max_size: int, ke
         .when(extension(F.col("path")).isin(SHORTLIST_EXTENSIONS) & ~orphan, 1)
         .otherwise(2)
     )
-    usable = files.filter((F.col("size") > 0) & (F.col("size") <= max_size) & ~system).withColumn("tier", rank)
+    large = F.lit(False) if max_size is None else F.col("size") > max_size
+    usable = files.filter((F.col("size") > 0) & ~system).withColumn("tier", rank).withColumn("too_large", large)
     if keep is None:
-        return usable
+        return with_row_number(usable, ["image_id"], ["tier", "position"], "rank")
     order = Window.partitionBy("image_id").orderBy("tier", "position")
     return usable.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= keep)
 
@@ -372,28 +373,34 @@ def format_sniff(content: Column) -> Column:
     return result.otherwise("UNSUPPORTED")
 
 
-def parse_triage(files: DataFrame, budget: int = PARSE_BUDGET, size_limit: int = PARSE_SIZE_LIMIT) -> DataFrame:
+def parse_triage(files: DataFrame, budget: int | None = None, size_limit: int | None = None) -> DataFrame:
     """Outcome of every file of a parse job.
 
     ``files`` has (job_id, artifact_id, priority, position, on_disk, size, supported,
-    parses).  Only successful parses use the budget, and the budget is tested before
-    the size, so a job closes at its budget-th good file: that file is found with a
-    bounded rank, and everything on disk after it is over budget.
+    parses).  Budget and size limit are a caller's bounds.  Only successful parses use
+    the budget, and the budget is tested before the size, so a job closes at its
+    budget-th good file: that file is found with a bounded rank, and everything on disk
+    after it is over budget.
     """
-    good = F.col("on_disk") & (F.col("size") <= size_limit) & F.col("supported") & F.col("parses")
+    large = F.lit(False) if size_limit is None else F.col("size") > size_limit
+    good = F.col("on_disk") & ~large & F.col("supported") & F.col("parses")
     place = F.struct("priority", "position", "artifact_id")
     rank = F.row_number().over(Window.partitionBy("job_id").orderBy("priority", "position", "artifact_id"))
-    first = files.filter(good).select("job_id", "priority", "position", "artifact_id").withColumn("rank", rank)
-    closing = first.filter(F.col("rank") <= budget).filter(F.col("rank") == budget).select("job_id", place.alias("closing"))
+    over = F.lit(False)
+    if budget is not None:
+        first = files.filter(good).select("job_id", "priority", "position", "artifact_id").withColumn("rank", rank)
+        closing = first.filter(F.col("rank") <= budget).filter(F.col("rank") == budget).select("job_id", place.alias("closing"))
+        files = files.join(closing, "job_id", "left")
+        over = F.col("closing").isNotNull() & (place > F.col("closing"))
     outcome = (
         F.when(~F.col("on_disk"), "FILE_NOT_ON_DISK")
-        .when(F.col("closing").isNotNull() & (place > F.col("closing")), "BUDGET_EXCEEDED")
-        .when(F.col("size") > size_limit, "EXCEEDS_SIZE_LIMIT")
+        .when(over, "BUDGET_EXCEEDED")
+        .when(large, "EXCEEDS_SIZE_LIMIT")
         .when(~F.col("supported"), "UNSUPPORTED_FORMAT")
         .when(~F.col("parses"), "PARSER_ERROR")
         .otherwise("PROCESSED")
     )
-    return files.join(closing, "job_id", "left").withColumn("outcome", outcome).drop("closing")
+    return files.withColumn("outcome", outcome).drop("closing")
 
 
 def parse_status(

@@ -93,10 +93,10 @@ def provenance_records(entities: DataFrame, relationships: DataFrame) -> DataFra
 
 def case_nodes(nodes: DataFrame, bindings: DataFrame) -> DataFrame:
     """Nodes bound to their case by the resource table (resource_id, case_id)."""
-    owners = bindings.select(F.col("resource_id").alias("id"), F.col("case_id").alias("owner")).distinct()
-    owned = nodes.join(owners, "id").filter(F.col("owner") == F.col("case_id"))
+    owners = bindings.select(F.col("resource_id").alias("id"), "case_id")
+    owned = nodes.join(owners, ["id", "case_id"], "left_semi")
     role = F.when(F.col("entity_type") == "Person", "Contact Lead").otherwise(F.col("entity_type"))
-    return owned.drop("owner").withColumn("role", role)
+    return owned.withColumn("role", role)
 
 
 def relation_rank(relation: Column, source: Column, target: Column) -> Column:

@@ -113,10 +113,14 @@ def cluster_members(stops: DataFrame, clusters: DataFrame, size: float = 5.0) ->
 
 
 def manual_stop(stops: DataFrame, requests: DataFrame, default_time: str) -> DataFrame:
-    """Requested stops (case_id, city, country, lat, lng, stop_time) with the next free manual id."""
+    """Requested stops (case_id, city, country, lat, lng, stop_time) with the next free manual ids.
+
+    Requests of one case are numbered by time, city and place.
+    """
     counts = stops.groupBy("case_id").agg(F.count(F.lit(1)).alias("n"))
-    numbered = requests.join(counts, "case_id", "left")
-    ident = F.concat(F.lit("LOC-MANUAL-"), (F.coalesce("n", F.lit(0).cast("long")) + 1).cast("string"))
+    ordered = with_row_number(requests, ["case_id"], ["stop_time", "city", "lat", "lng"], "request")
+    numbered = ordered.join(counts, "case_id", "left")
+    ident = F.concat(F.lit("LOC-MANUAL-"), (F.coalesce("n", F.lit(0).cast("long")) + F.col("request")).cast("string"))
     return numbered.select(
         "case_id", ident.alias("stop_id"), "city", F.coalesce("country", F.lit("India")).alias("country"),
         "lat", "lng", F.coalesce("stop_time", F.lit(default_time)).alias("stop_time"),

@@ -59,11 +59,12 @@ def _(t: Inputs) -> DataFrame:
     return members.join(clusters.select("case_id", "cluster_id", "lat_cell", "lng_cell"), ["case_id", "cluster_id"]).drop("cluster_id")
 
 
-@query("manual_stop", f"""SELECT 'CASE-' || r AS case_id, 'LOC-MANUAL-' || (coalesce(n, 0) + 1) AS stop_id, 'India' AS country, '2026-01-01' AS stop_time FROM (SELECT n_nationkey AS r FROM nation) q
+@query("manual_stop", f"""SELECT 'CASE-' || r AS case_id, 'LOC-MANUAL-' || (coalesce(n, 0) + k) AS stop_id, city, 'India' AS country, '2026-01-01' AS stop_time
+    FROM (SELECT n_nationkey % 9 AS r, n_name AS city, row_number() OVER (PARTITION BY n_nationkey % 9 ORDER BY n_name) AS k FROM nation) q
     LEFT JOIN (SELECT case_id, count(*) AS n FROM ({_STOPS}) s GROUP BY 1) c ON c.case_id = 'CASE-' || r""")
 def _(t: Inputs) -> DataFrame:
-    asked = t.sql("SELECT 'CASE-' || n_nationkey AS case_id, n_name AS city, CAST(NULL AS STRING) AS country, 1D AS lat, 2D AS lng, CAST(NULL AS STRING) AS stop_time FROM {nation}")
-    return location.manual_stop(_stops(t), asked, "2026-01-01").select("case_id", "stop_id", "country", "stop_time")
+    asked = t.sql("SELECT 'CASE-' || (n_nationkey % 9) AS case_id, n_name AS city, CAST(NULL AS STRING) AS country, 1D AS lat, 2D AS lng, CAST(NULL AS STRING) AS stop_time FROM {nation}")
+    return location.manual_stop(_stops(t), asked, "2026-01-01").select("case_id", "stop_id", "city", "country", "stop_time")
 
 
 @query("timeline_events", """SELECT 'CASE-' || l_linestatus AS case_id, 'CALL' AS event_kind, 'L-' || l_orderkey AS event_id, epoch_us(l_shipdate) // 1000000 AS at FROM lineitem

@@ -34,16 +34,6 @@ class Inputs:
         """A binding, run by Spark."""
         return self.sql(BINDINGS[name])
 
-    def spread(self, name: str) -> DataFrame:
-        """A binding for work that costs far more than its scan.
-
-        A table in fewer files than there are cores would leave cores idle, so only
-        such a small one is spread out; larger ones keep their scan splits.
-        """
-        bound = self.bound(name)
-        cores = self.spark.sparkContext.defaultParallelism
-        return bound.repartition(cores) if len(bound.inputFiles()) < cores else bound
-
     def sql(self, text: str) -> DataFrame:
         """Spark SQL over driver tables named in braces."""
         return self.spark.sql(text, **self._named(text))

@@ -125,11 +125,12 @@ def _(t: Inputs) -> DataFrame:
     return relational.extraction_summary(rows)
 
 
-@query("table_profile", """SELECT column_name, least(n, 10000) AS row_count, n > 10000 AS is_estimate
-    FROM (SELECT count(*) AS n FROM lineitem) c, (SELECT unnest(['l_orderkey', 'l_partkey', 'l_suppkey', 'l_linenumber', 'l_quantity', 'l_extendedprice',
-      'l_discount', 'l_tax', 'l_returnflag', 'l_linestatus', 'l_shipdate']) AS column_name) k""")
+@query("table_profile", """SELECT d.column_name, CASE d.column_type WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'BIGINT' THEN 'bigint' WHEN 'DOUBLE' THEN 'double' ELSE
+      CASE WHEN d.column_type LIKE 'TIMESTAMP%' THEN 'timestamp' ELSE lower(d.column_type) END END AS column_type, d."null" = 'YES' AS nullable, n AS row_count, false AS is_estimate
+    FROM (SELECT count(*) AS n FROM lineitem) c, (DESCRIBE SELECT * FROM lineitem) d""")
 def _(t: Inputs) -> DataFrame:
-    return relational.table_profile(t.table("lineitem")).select("column_name", "row_count", "is_estimate")
+    profile = relational.table_profile(t.table("lineitem"))
+    return profile.withColumn("column_type", F.regexp_replace("column_type", "timestamp.*", "timestamp"))
 
 
 # --- contracts and observations ------------------------------------------------
@@ -240,11 +241,14 @@ def _(t: Inputs) -> DataFrame:
 # --- keyed tables --------------------------------------------------------------
 
 
-@query("keyed_upsert", "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id")
+@query("keyed_upsert", """SELECT user_id, max(event_id) AS event_id, CASE WHEN max(event_id) % 3 = 0 THEN 'again' ELSE arg_max(event_type, event_id) END AS event_type,
+      arg_max(value, event_id) AS value FROM events GROUP BY user_id""")
 def _(t: Inputs) -> DataFrame:
+    """Two halves, and some rows that come in again with the same version and another, smaller text."""
     events = t.table("events").select("user_id", "event_id", "event_type", "value")
-    old = events.filter("event_type in ('view', 'click')")
-    new = events.filter("event_type not in ('view', 'click')")
+    old = events.filter("event_type in ('view', 'click') or event_id % 3 = 0")
+    again = events.filter("event_id % 3 = 0").withColumn("event_type", F.lit("again"))
+    new = events.filter("event_type not in ('view', 'click') and event_id % 3 <> 0").unionByName(again)
     return keyed.keyed_upsert(old, new, ["user_id"], "event_id")
 
 
@@ -266,9 +270,10 @@ def _(t: Inputs) -> DataFrame:
     return left.unionByName(kept["observations"].select(F.lit("observations").alias("table_name"), F.col("observation_id").alias("row_id")))
 
 
-@query("delete_by_job", "SELECT artifact_id, processing_job_id FROM artifacts WHERE processing_job_id <> 'JOB-src5'", "artifacts")
+@query("delete_by_job", "SELECT artifact_id, nullif(processing_job_id, 'JOB-src6') AS processing_job_id FROM artifacts WHERE processing_job_id <> 'JOB-src5'", "artifacts")
 def _(t: Inputs) -> DataFrame:
-    return keyed.delete_by_job(t.bound("artifacts"), "JOB-src5").select("artifact_id", "processing_job_id")
+    rows = t.bound("artifacts").withColumn("processing_job_id", F.nullif("processing_job_id", F.lit("JOB-src6")))
+    return keyed.delete_by_job(rows, "JOB-src5").select("artifact_id", "processing_job_id")
 
 
 @query("newest_first_list", "SELECT o_orderkey, o_custkey, strftime(o_orderdate, '%Y-%m-%d') AS placed FROM orders WHERE o_custkey = 7")
@@ -317,11 +322,25 @@ def _(t: Inputs) -> DataFrame:
     return files.segment_gap_check(rows).select("directory", "name", "previous", "segment")
 
 
-@query("evidence_register", "SELECT 'EV-' || doc_id AS evidence_id, CAST(octet_length(encode(text)) AS BIGINT) AS size_bytes, sha256(text) AS sha256, md5(text) AS md5 FROM documents WHERE lang <> 'fr' AND doc_id % 10 <> 0")
+_INCOMING = """SELECT 'CASE-' || source AS case_id, 'EV-' || doc_id AS evidence_id, 'f' || (doc_id - doc_id % 40) AS filename,
+    CAST(CASE WHEN doc_id % 9 = 0 THEN '' ELSE text END AS BINARY) AS content FROM {documents}"""
+_STORED = "SELECT 'CASE-' || source AS case_id, 'f' || (doc_id - doc_id % 40) AS filename FROM {documents} WHERE doc_id % 7 = 0"
+_NEW_FILES = """(SELECT d.*, s.doc_id IS NOT NULL AS stored, row_number() OVER (PARTITION BY d.source, d.doc_id - d.doc_id % 40 ORDER BY d.doc_id % 9 = 0, 'EV-' || d.doc_id) AS n
+    FROM documents d LEFT JOIN (SELECT source, doc_id - doc_id % 40 AS k, min(doc_id) AS doc_id FROM documents WHERE doc_id % 7 = 0 GROUP BY 1, 2) s
+      ON s.source = d.source AND s.k = d.doc_id - d.doc_id % 40) f"""
+
+
+@query("evidence_register", f"""SELECT 'EV-' || doc_id AS evidence_id, CAST(octet_length(encode(text)) AS BIGINT) AS size_bytes, sha256(text) AS sha256, md5(text) AS md5
+    FROM {_NEW_FILES} WHERE NOT stored AND doc_id % 9 <> 0 AND n = 1""")
+def _(t: Inputs) -> DataFrame:
+    """Several new files share a name, some are empty, some names are stored already."""
+    return files.evidence_register(t.sql(_INCOMING), t.sql(_STORED)).select("evidence_id", "size_bytes", "sha256", "md5")
+
+
+@query("evidence_rejects", f"""SELECT 'EV-' || doc_id AS evidence_id, CASE WHEN doc_id % 9 = 0 THEN 'EMPTY' WHEN stored THEN 'ALREADY_STORED' ELSE 'SAME_NAME_IN_BATCH' END AS reason
+    FROM {_NEW_FILES} WHERE stored OR doc_id % 9 = 0 OR n > 1""")
 def _(t: Inputs) -> DataFrame:
-    incoming = t.sql("SELECT 'CASE-' || source AS case_id, 'EV-' || doc_id AS evidence_id, 'f' || doc_id AS filename, CAST(CASE WHEN doc_id % 10 = 0 THEN '' ELSE text END AS BINARY) AS content FROM {documents}")
-    stored = t.sql("SELECT 'CASE-' || source AS case_id, 'f' || doc_id AS filename FROM {documents} WHERE lang = 'fr'")
-    return files.evidence_register(incoming, stored).select("evidence_id", "size_bytes", "sha256", "md5")
+    return files.evidence_rejects(t.sql(_INCOMING), t.sql(_STORED)).select("evidence_id", "reason")
 
 
 @query("candidate_sets", """SELECT 'cand_set_' || p_name_u AS candidate_id, directory, segment_count, total_size_bytes, format FROM (
@@ -407,10 +426,10 @@ def _(t: Inputs) -> DataFrame:
 
 
 @query("text_bounds", """SELECT artifact_id, CAST(page_number AS INT) AS page_number, CAST(length(b) AS INT) AS character_count,
-      CAST(len(list_filter(regexp_split_to_array(b, '\\s+'), lambda w: w <> '')) AS INT) AS word_count, length(text) > 5000 AS truncated,
+      CAST(len(list_filter(regexp_split_to_array(b, '\\s+'), lambda w: w <> '')) AS INT) AS word_count, false AS truncated,
       b[1:300] || CASE WHEN length(b) > 300 THEN '...' ELSE '' END AS text_snippet
-    FROM (SELECT 'CONV-' || conv_id AS artifact_id, turn + 1 AS page_number, text, text[1:5000] AS b FROM conversations WHERE turn < 20
-      UNION ALL SELECT 'DOC-' || doc_id, 1, text, text[1:5000] FROM documents) p""")
+    FROM (SELECT 'CONV-' || conv_id AS artifact_id, turn + 1 AS page_number, text AS b FROM conversations
+      UNION ALL SELECT 'DOC-' || doc_id, 1, text FROM documents) p""")
 def _(t: Inputs) -> DataFrame:
     pages = t.sql("""SELECT 'CONV-' || conv_id AS artifact_id, CAST(turn + 1 AS INT) AS page_number, text FROM {conversations}
         UNION ALL SELECT 'DOC-' || doc_id, 1, text FROM {documents}""")
@@ -421,7 +440,7 @@ def _(t: Inputs) -> DataFrame:
       CAST(sum(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''))) AS BIGINT) AS total_words_extracted FROM conversations GROUP BY 1""")
 def _(t: Inputs) -> DataFrame:
     pages = t.sql("SELECT 'CONV-' || conv_id AS artifact_id, CAST(turn + 1 AS INT) AS page_number, text FROM {conversations}")
-    return art.text_totals(art.text_bounds(pages, max_pages=None, max_chars=None))
+    return art.text_totals(art.text_bounds(pages))
 
 
 @query("exif_explode", """SELECT 'IMG-' || p_partkey || '-OBS-EXIF-' || k.t AS observation_id, 'EXIF:' || k.t AS location_reference, CASE k.t WHEN 'Make' THEN p_brand ELSE p_type END AS value
@@ -438,13 +457,13 @@ def _(t: Inputs) -> DataFrame:
     return art.image_summary(images).select("artifact_id", "aspect_ratio", "exif_tag_count", "has_exif")
 
 
-@query("extraction_shortlist", """SELECT image_id, path, CAST(tier AS INT) AS tier, CAST(rank AS INT) AS rank FROM (
-      SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY tier, doc_id) AS rank FROM (
+@query("extraction_shortlist", """SELECT image_id, path, CAST(tier AS INT) AS tier, too_large, rank FROM (
+      SELECT *, n_chars > 10000 AS too_large, row_number() OVER (PARTITION BY image_id ORDER BY tier, doc_id) AS rank FROM (
         SELECT 'IMG-' || source AS image_id, doc_id, '/d' || doc_id || CASE doc_id % 3 WHEN 0 THEN '.pdf' WHEN 1 THEN '.xyz' ELSE '/autopsy.db' END AS path,
-          CASE doc_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END AS tier FROM documents WHERE n_chars > 0 AND n_chars <= 10000) f) r WHERE rank <= 25""")
+          n_chars, CASE doc_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END AS tier FROM documents WHERE n_chars > 0) f) r""")
 def _(t: Inputs) -> DataFrame:
     rows = t.sql("SELECT 'IMG-' || source AS image_id, doc_id AS position, '/d' || doc_id || CASE doc_id % 3 WHEN 0 THEN '.pdf' WHEN 1 THEN '.xyz' ELSE '/autopsy.db' END AS path, n_chars AS size FROM {documents}")
-    return art.extraction_shortlist(rows, ["autopsy.db"], 10000, keep=25).select("image_id", "path", "tier", "rank")
+    return art.extraction_shortlist(rows, ["autopsy.db"], 10000).select("image_id", "path", "tier", "too_large", "rank")
 
 
 @query("parse_priority", f"SELECT artifact_id, CASE WHEN k = 'DATABASE' OR e IN ('.db', '.sqlite') THEN 0 WHEN k = 'IMAGE' OR e IN ('.jpg', '.png', '.webp') THEN 1 WHEN e = '.pdf' THEN 2 ELSE 3 END AS priority FROM {_RAW}", "artifacts_raw")
@@ -463,7 +482,13 @@ _TRIAGE = """SELECT 'JOB-' || event_type AS job_id, event_id AS artifact_id, CAS
     CAST(value * 100 AS BIGINT) AS size, user_id % 7 <> 0 AS supported, event_id % 13 <> 0 AS parses FROM {events}"""
 
 
-@query("parse_triage", f"""SELECT job_id, artifact_id, CASE WHEN NOT on_disk THEN 'FILE_NOT_ON_DISK' WHEN before >= 150 THEN 'BUDGET_EXCEEDED' WHEN size > 5000 THEN 'EXCEEDS_SIZE_LIMIT'
+@query("parse_triage", f"""SELECT job_id, artifact_id, CASE WHEN NOT on_disk THEN 'FILE_NOT_ON_DISK' WHEN NOT supported THEN 'UNSUPPORTED_FORMAT' WHEN NOT parses THEN 'PARSER_ERROR'
+      ELSE 'PROCESSED' END AS outcome FROM ({_plain(_TRIAGE)}) q""")
+def _(t: Inputs) -> DataFrame:
+    return art.parse_triage(t.sql(_TRIAGE)).select("job_id", "artifact_id", "outcome")
+
+
+@query("parse_triage_bounded", f"""SELECT job_id, artifact_id, CASE WHEN NOT on_disk THEN 'FILE_NOT_ON_DISK' WHEN before >= 150 THEN 'BUDGET_EXCEEDED' WHEN size > 5000 THEN 'EXCEEDS_SIZE_LIMIT'
       WHEN NOT supported THEN 'UNSUPPORTED_FORMAT' WHEN NOT parses THEN 'PARSER_ERROR' ELSE 'PROCESSED' END AS outcome
     FROM (SELECT *, coalesce(sum(CASE WHEN on_disk AND size <= 5000 AND supported AND parses THEN 1 ELSE 0 END)
       OVER (PARTITION BY job_id ORDER BY priority, position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ({_plain(_TRIAGE)}) q) r""")

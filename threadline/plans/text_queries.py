@@ -163,7 +163,7 @@ _SIGNAL = ["signal_id", "observation_id", "entity_type", "observed_value", "norm
 
 
 def _signals(t: Inputs, binding: str, *rules: str) -> DataFrame:
-    return extract_signals(t.spread(binding), list(rules)).select(*_SIGNAL)
+    return extract_signals(t.bound(binding), list(rules)).select(*_SIGNAL)
 
 
 def _signal_sql(source: str, entity: str, observed: str, normalized: str, method: str, score: float, suffix: str = "''", where: str = "true") -> str:
@@ -321,7 +321,7 @@ _REL = ["observation_id", "source_label", "target_label", "rel_label", "extracti
 
 def _related(t: Inputs, binding: str, rule, *rules: str) -> DataFrame:
     """Relationships of a binding, with the signals' values in place of their ids."""
-    signals = cut_lineage(extract_signals(t.spread(binding), list(rules) or None))
+    signals = cut_lineage(extract_signals(t.bound(binding), list(rules) or None))
     found = rule(signals)
     value = signals.select("signal_key", "normalized_value").distinct()
     named = found.join(value.select(F.col("signal_key").alias("source_signal_key"), F.col("normalized_value").alias("source")), "source_signal_key")
@@ -357,18 +357,17 @@ def _(t: Inputs) -> DataFrame:
     return _related(t, "row_obs", rel.rel_row_called, "sig_row_columns")
 
 
-@query(
-    "rel_text_proximity",
-    f"""SELECT observation_id, 'Person' AS source_label, 'PhoneNumber' AS target_label, 'USED_PHONE' AS rel_label,
+_PROXIMITY = f"""SELECT observation_id, 'Person' AS source_label, 'PhoneNumber' AS target_label, 'USED_PHONE' AS rel_label,
           'DOCUMENT_STRUCTURED_CONTACT_BLOCK' AS extraction_method, CAST(0.9 AS DOUBLE) AS confidence, {_norm_person('po')} AS source, {_norm_phone('ho')} AS target
         FROM (SELECT *, strpos(value, po) AS pp, strpos(value, ho) AS hp FROM (
           SELECT n.observation_id, n.value, trim(n.raw) AS po, trim(h.raw) AS ho
           FROM {_matches('cards', _NAME_RE, 1)} n
           JOIN {_matches('cards', _PHONE_RE)} h ON n.observation_id = h.observation_id) q) p
         WHERE abs(pp - hp) < 120 AND strpos(substr(value, least(pp, hp), greatest(pp, hp) + length(ho) - least(pp, hp)), chr(10) || chr(10)) = 0
-          AND length({_norm_phone('ho')}) >= 10""",
-    "cards",
-)
+          AND length({_norm_phone('ho')}) >= 10"""
+
+
+@query("rel_text_proximity", _PROXIMITY, "cards")
 def _(t: Inputs) -> DataFrame:
     return _related(t, "cards", rel.rel_text_proximity, "sig_text_phone", "sig_text_name")
 
@@ -415,11 +414,15 @@ def _(t: Inputs) -> DataFrame:
     return _related(t, "mail_obs", rel.rel_message_person_comm, "sig_message_header")
 
 
-@query("rel_no_cooccurrence", "SELECT CAST(0 AS BIGINT) AS associated FROM region WHERE r_regionkey = 0")
+@query(
+    "rel_no_cooccurrence",
+    f"SELECT observation_id, source_label, target_label, rel_label, source, target FROM ({_PROXIMITY}) p",
+    "cards",
+)
 def _(t: Inputs) -> DataFrame:
-    """Two people in one text (every card names two) are never linked."""
-    found = rel.extract_relationships(cut_lineage(extract_signals(t.spread("cards"))))
-    return found.agg(F.count_if(F.col("rel_label") == "ASSOCIATED_WITH").alias("associated"))
+    """Every relationship of texts that name two people each: phones near a name, and no person with a person."""
+    found = _related(t, "cards", rel.extract_relationships)
+    return found.select("observation_id", "source_label", "target_label", "rel_label", "source", "target")
 
 
 # --- resolution ----------------------------------------------------------------
@@ -516,7 +519,7 @@ def _(t: Inputs) -> DataFrame:
 
 
 def _canonical(t: Inputs) -> DataFrame:
-    signals = cut_lineage(extract_signals(t.spread("comm_obs"), ["sig_comm_pair"]))
+    signals = cut_lineage(extract_signals(t.bound("comm_obs"), ["sig_comm_pair"]))
     values = resolve.resolve_values(resolve.distinct_values(signals, "signal_key"), fuzzy_types=["Person"])
     return resolve.canonicalize_relationships(rel.rel_account_comm(signals), resolve.signal_to_entity(signals, values))
 
@@ -561,7 +564,7 @@ def _(t: Inputs) -> DataFrame:
         UNION SELECT case_id, evidence_id, 'COMMUNICATED_WITH', {_FROM_NAME}, {_TO_NAME} FROM {_MAIL}) e) g GROUP BY 1, 2""", "mail_obs")
 def _(t: Inputs) -> DataFrame:
     """Messages to a case graph, fuzzy merging off so that SQL can check it."""
-    built = build_case_graph(t.spread("mail_obs"), fuzzy_types=["Organization"])
+    built = build_case_graph(t.bound("mail_obs"), fuzzy_types=["Organization"])
     nodes = built.nodes.groupBy(F.lit("NODE").alias("kind"), F.col("entity_type").alias("label")).agg(F.count(F.lit(1)).alias("rows"))
     edges = built.edges.groupBy(F.lit("EDGE").alias("kind"), F.col("rel_label").alias("label")).agg(F.count(F.lit(1)).alias("rows"))
     return nodes.unionByName(edges)

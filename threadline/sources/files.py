@@ -49,22 +49,43 @@ def master_digest(manifest: DataFrame, owner: str) -> DataFrame:
     return ordered.mapInPandas(fold, f"`{owner}` string, master_digest string, files bigint")
 
 
+def _digested(files: DataFrame, existing: DataFrame) -> DataFrame:
+    stored = existing.select("case_id", "filename", F.lit(True).alias("stored")).distinct()
+    narrow = files.select(
+        "case_id", "evidence_id", "filename", F.coalesce(F.octet_length("content"), F.lit(0)).cast("long").alias("size_bytes"),
+        F.sha2("content", 256).alias("sha256"), F.md5("content").alias("md5"),
+    )
+    return narrow.join(stored, ["case_id", "filename"], "left")
+
+
 def evidence_register(files: DataFrame, existing: DataFrame) -> DataFrame:
-    """New evidence rows: empty files and already stored names are refused.
+    """New evidence rows: empty files and names already stored are refused.
 
-    ``files`` has (case_id, evidence_id, filename, content).
+    ``files`` has (case_id, evidence_id, filename, content).  Of several new files with
+    one name the smallest evidence id is stored.  Contents are hashed where they are
+    read; only digests are shuffled.
     """
-    fresh = files.filter(F.octet_length("content") > 0).join(
-        existing.select("case_id", "filename"), ["case_id", "filename"], "left_anti"
-    )
-    return fresh.select(
-        "case_id", "evidence_id", "filename",
-        F.octet_length("content").cast("long").alias("size_bytes"),
-        F.sha2("content", 256).alias("sha256"), F.md5("content").alias("md5"),
+    fresh = _digested(files, existing).filter("size_bytes > 0 AND stored IS NULL")
+    row = F.struct("evidence_id", "size_bytes", "sha256", "md5")
+    return fresh.groupBy("case_id", "filename").agg(F.min(row).alias("r")).select(
+        "case_id", "r.evidence_id", "filename", "r.size_bytes", "r.sha256", "r.md5",
         F.lit("PRESERVED").alias("preservation_status"), F.lit("INTACT").alias("integrity_status"),
     )
 
 
+def evidence_rejects(files: DataFrame, existing: DataFrame) -> DataFrame:
+    """(case_id, evidence_id, filename, reason) of the files that ``evidence_register`` refuses."""
+    rows = _digested(files, existing)
+    usable = (F.col("size_bytes") > 0) & F.col("stored").isNull()
+    first = rows.filter(usable).groupBy("case_id", "filename").agg(F.min("evidence_id").alias("first"))
+    reason = (
+        F.when(F.col("size_bytes") == 0, "EMPTY").when(F.col("stored"), "ALREADY_STORED")
+        .when(F.col("evidence_id") != F.col("first"), "SAME_NAME_IN_BATCH")
+    )
+    judged = rows.join(first, ["case_id", "filename"], "left").withColumn("reason", reason)
+    return judged.filter(F.col("reason").isNotNull()).select("case_id", "evidence_id", "filename", "reason")
+
+
 def segment_number(name: Column) -> Column:
     """Number in an ``.E01`` style suffix, null for other names."""
     return F.nullif(F.regexp_extract(F.upper(name), r"\.E(\d{2,})$", 1), F.lit("")).cast("int")

@@ -9,15 +9,17 @@ from pyspark.sql import functions as F
 
 
 def keyed_upsert(existing: DataFrame, incoming: DataFrame, keys: Sequence[str], version: str) -> DataFrame:
-    """Insert or replace by key, highest ``version`` wins.
+    """Insert or replace by key, highest ``version`` wins; of equal versions the incoming row.
 
-    A maximum of (version, row) per key combines on the map side, so a key with very
-    many versions is reduced before the shuffle.
+    Incoming rows with one key and version carry no order; the one with the largest JSON
+    text wins.  The maximum per key combines on the map side, so a key with very many
+    versions is reduced before the shuffle.
     """
     rest = [name for name in existing.columns if name not in keys and name != version]
-    rows = existing.unionByName(incoming)
-    newest = F.max(F.struct(version, *rest))
-    picked = rows.groupBy(*keys).agg(newest.alias("r"))
+    rows = existing.withColumn("_new", F.lit(0)).unionByName(incoming.withColumn("_new", F.lit(1)))
+    body = F.struct(version, *rest)
+    order = F.struct(F.col(version), F.col("_new"), F.to_json(body))
+    picked = rows.groupBy(*keys).agg(F.max_by(body, order).alias("r"))
     return picked.select(*keys, F.col(f"r.{version}"), *[f"r.{name}" for name in rest]).select(*existing.columns)
 
 
@@ -36,7 +38,8 @@ def delete_cascade(tables: dict[str, DataFrame], cases: DataFrame) -> dict[str,
 
 
 def delete_by_job(artifacts: DataFrame, job_id: str) -> DataFrame:
-    return artifacts.filter(F.col("processing_job_id") != job_id)
+    """Rows of other jobs and of none."""
+    return artifacts.filter(~F.col("processing_job_id").eqNullSafe(job_id))
 
 
 def bulk_graph_write(nodes: DataFrame, edges: DataFrame, path: str) -> None:

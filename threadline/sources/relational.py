@@ -131,8 +131,8 @@ def to_observations(
     )
 
 
-def table_profile(df: DataFrame, bound: int = 10000) -> DataFrame:
-    """Name, type and nullability of every column, with the row count bounded at ``bound``."""
+def table_profile(df: DataFrame) -> DataFrame:
+    """Name, type and nullability of every column, with the exact row count."""
     described = [
         F.struct(
             F.lit(field.name).alias("column_name"),
@@ -141,12 +141,10 @@ def table_profile(df: DataFrame, bound: int = 10000) -> DataFrame:
         )
         for field in df.schema.fields
     ]
-    counted = df.limit(bound + 1).agg(F.count(F.lit(1)).alias("n"))
-    return counted.select(
-        F.explode(F.array(*described)).alias("c"),
-        F.least(F.col("n"), F.lit(bound)).alias("row_count"),
-        (F.col("n") > bound).alias("is_estimate"),
-    ).select("c.column_name", "c.column_type", "c.nullable", "row_count", "is_estimate")
+    counted = df.agg(F.count(F.lit(1)).alias("row_count"))
+    return counted.select(F.explode(F.array(*described)).alias("c"), "row_count").select(
+        "c.column_name", "c.column_type", "c.nullable", "row_count", F.lit(False).alias("is_estimate")
+    )
 
 
 def sample_rows(df: DataFrame, rows: int = 10) -> DataFrame:
