@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadline.functions.ordered import with_row_number
-from threadline.session import cut_lineage
+from threadline.session import bucketed, cut_lineage, discard
 
 PAIR = ["case_id", "src_id", "tgt_id"]
 NODE = ["case_id", "id"]
@@ -93,9 +93,6 @@ def weighted_frequency(pairs: DataFrame) -> DataFrame:
 
 # --- PageRank ------------------------------------------------------------------
 
-# Rounds between two looks at convergence.
-ROUNDS_PER_CHECK = 5
-
 # One round: per case, the rank held by nodes without a way out and whether the case
 # had settled; then each node's inflow and its own row meet in one aggregation.
 _RANK_STEP = """
@@ -123,16 +120,22 @@ def pagerank(
     pairs: DataFrame,
     nodes: DataFrame | None = None,
     damping: float = 0.85,
-    max_iterations: int = 100,
     tolerance: float = 1e-6,
 ) -> DataFrame:
-    """Weighted PageRank per case; a case stops once its change is below n times ``tolerance``."""
+    """Weighted PageRank per case; a case stops once its change is below n times ``tolerance``.
+
+    Damping below 1 shrinks the change every round, so every case settles.  Links are
+    written once in buckets of their source and never shuffled again; only ranks and
+    combined inflows move.
+    """
+    if not 0 <= damping < 1:
+        raise ValueError("damping must be at least 0 and below 1")
     everyone = project_nodes(nodes, pairs).select(*NODE)
     sizes = everyone.groupBy("case_id").agg(F.count(F.lit(1)).alias("n"))
     totals = pairs.groupBy("case_id", F.col("src_id").alias("id")).agg(F.sum("weight").alias("total"))
     links = pairs.select("case_id", F.col("src_id").alias("id"), "tgt_id", "weight")
     links = links.join(totals, NODE).select(*NODE, "tgt_id", (F.col("weight") / F.col("total")).alias("share"))
-    links = cut_lineage(links)
+    links = bucketed(links, "case_id", "id")
     state = everyone.join(sizes, "case_id").join(totals, NODE, "left")
     state = cut_lineage(
         state.select(
@@ -141,13 +144,14 @@ def pagerank(
         )
     )
     spark = pairs.sparkSession
-    for step in range(1, max_iterations + 1):
-        state = cut_lineage(
+    step = 0
+    while not state.filter("not done").isEmpty():
+        step += 1
+        before, state = state, cut_lineage(
             spark.sql(_RANK_STEP, state=state, links=links, damping=damping, tolerance=tolerance, step=step)
         )
-        # A settled case is frozen inside the step, so looking every few rounds is enough.
-        if step % ROUNDS_PER_CHECK == 0 and state.filter("not done").isEmpty():
-            break
+        discard(before)
+    discard(links)
     return state.select(*NODE, F.col("rank").alias("pagerank"))
 
 
@@ -176,7 +180,8 @@ def component_labels(pairs: DataFrame, nodes: DataFrame | None = None) -> DataFr
         small = small.select("case_id", F.col("least").alias("a"), F.col("m").alias("b")).unionByName(
             small.select("case_id", F.col("least").alias("a"), F.col("v").alias("b"))
         )
-        links = cut_lineage(small.filter("a <> b").distinct())
+        before, links = links, cut_lineage(small.filter("a <> b").distinct())
+        discard(before)
         mark = links.agg(
             F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("case_id", "a", "b").cast("decimal(38,0)")).alias("h")
         ).first()
@@ -208,11 +213,15 @@ def _spread(seed: DataFrame, links: DataFrame, better: str) -> DataFrame:
         offers = links.join(frontier.select("case_id", F.col("id").alias("from_id"), "label"), ["case_id", "from_id"])
         offers = offers.groupBy("case_id", F.col("to_id").alias("id")).agg(choose("label").alias("offer"))
         beats = F.col("offer") > F.col("label") if better == "max" else F.col("offer") < F.col("label")
-        frontier = cut_lineage(offers.join(state, NODE).filter(beats).select(*NODE, F.col("offer").alias("label")))
+        done, frontier = frontier, cut_lineage(offers.join(state, NODE).filter(beats).select(*NODE, F.col("offer").alias("label")))
+        if done is not state:
+            discard(done)
         if frontier.isEmpty():
             return state
         fresh = frontier.withColumnRenamed("label", "fresh")
-        state = cut_lineage(state.join(fresh, NODE, "left").select(*NODE, F.coalesce("fresh", "label").alias("label")))
+        before, state = state, cut_lineage(state.join(fresh, NODE, "left").select(*NODE, F.coalesce("fresh", "label").alias("label")))
+        if before is not frontier:
+            discard(before)
 
 
 def strong_labels(pairs: DataFrame, nodes: DataFrame | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from threadline.functions.ordered import with_row_number
 from threadline.operators.analytics import NODE, project_nodes, undirected_weights
-from threadline.session import cut_lineage
+from threadline.session import cut_lineage, discard
 
 MIN_GAIN = 1e-7
 
@@ -51,17 +51,35 @@ _MOVE_STEP = """
       SELECT case_id, id, own, max(k) AS k, max(m2) AS m2, max(struct(gain, community)) AS top,
         max(CASE WHEN community = own THEN gain END) AS stay
       FROM scored GROUP BY case_id, id, own)
-    SELECT c.case_id, c.id, c.top.community AS target
+    SELECT c.case_id, c.id, c.own, c.top.community AS target,
+      c.top.gain - coalesce(c.stay, -c.k * (h.tot - c.k) / c.m2) AS lift
     FROM choice c JOIN sizes h ON c.case_id = h.case_id AND c.own = h.community
     WHERE pmod(xxhash64(c.id, {turn}), 2) = {side} AND c.top.community <> c.own
       AND c.top.gain > coalesce(c.stay, -c.k * (h.tot - c.k) / c.m2) + {least}"""
 
 
-def _local_moves(links: DataFrame, max_rounds: int) -> DataFrame:
+def _apart(moves: DataFrame) -> DataFrame:
+    """Moves that are the best of both communities they touch.
+
+    No two of them share a community, so each gains what it promises and together they
+    raise modularity; the best move of a case is always among them.
+    """
+    ends = moves.select("case_id", F.col("own").alias("c"), "lift", "id").unionByName(
+        moves.select("case_id", F.col("target").alias("c"), "lift", "id")
+    )
+    best = ends.groupBy("case_id", "c").agg(F.max(F.struct("lift", "id")).getField("id").alias("id"))
+    for end in ("own", "target"):
+        moves = moves.join(best.withColumnRenamed("c", end), ["case_id", end, "id"], "left_semi")
+    return moves
+
+
+def _local_moves(links: DataFrame) -> DataFrame:
     """Move nodes to the neighbouring community with the best gain until nothing gains.
 
-    Half of the nodes, by hash and round, may move at a time, so two neighbours do not
-    swap for ever.  The caller keeps a level only when it raised modularity.
+    Half of the nodes, by hash and round, may move at a time.  A round in which a case
+    lost modularity, because neighbours moved at once, is taken back for that case; from
+    then on it makes only moves that touch no common community, and these always gain.
+    So modularity only rises and the loop ends by itself.
     """
     spark = links.sparkSession
     ways = cut_lineage(_both_ways(links))
@@ -69,52 +87,72 @@ def _local_moves(links: DataFrame, max_rounds: int) -> DataFrame:
     total = strength.groupBy("case_id").agg(F.sum("k").alias("m2"))
     nodes = cut_lineage(strength.join(total, "case_id"))
     labels = cut_lineage(nodes.select(*NODE, F.col("id").alias("community")))
-    calm = 0
-    for step in range(max_rounds):
-        moves = cut_lineage(
-            spark.sql(
-                _MOVE_STEP, labels=labels, nodes=nodes, ways=ways, turn=step // 2, side=step % 2, least=MIN_GAIN
-            )
-        )
-        if moves.isEmpty():
-            calm += 1
-            if calm == 2:
-                break
-            continue
-        calm = 0
-        moved = labels.join(moves, NODE, "left").select(*NODE, F.coalesce("target", "community").alias("community"))
-        labels = cut_lineage(moved)
+    scores = cut_lineage(modularity(links, labels))
+    # One row per case and round that was taken back; two of them end a case (then gains are below rounding).
+    setbacks = cut_lineage(scores.select("case_id").limit(0))
+    calm = step = 0
+    while calm < 2:
+        found = spark.sql(_MOVE_STEP, labels=labels, nodes=nodes, ways=ways, turn=step // 2, side=step % 2, least=MIN_GAIN)
+        backs = setbacks.groupBy("case_id").agg(F.count(F.lit(1)).alias("backs"))
+        found = cut_lineage(found.join(backs, "case_id", "left").filter("backs is null or backs < 2"))
+        moves = cut_lineage(found.filter("backs is null").unionByName(_apart(found.filter("backs = 1"))))
+        step += 1
+        calm = calm + 1 if moves.isEmpty() else 0
+        if not calm:
+            target = moves.select(*NODE, "target")
+            moved = cut_lineage(labels.join(target, NODE, "left").select(*NODE, F.coalesce("target", "community").alias("community")))
+            labels, scores, worse = _accept(links, labels, moved, scores, moves.select("case_id").distinct())
+            before, setbacks = setbacks, cut_lineage(setbacks.unionByName(worse))
+            discard(before, moved)
+        discard(found, moves)
+    discard(ways, nodes)
     return labels
 
 
-def _score(links: DataFrame, labels: DataFrame) -> float:
-    value = modularity(links, labels).agg(F.sum("modularity")).first()[0]
-    return float(value or 0.0)
+def _accept(
+    links: DataFrame, labels: DataFrame, moved: DataFrame, scores: DataFrame, tried: DataFrame
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Case by case the moved labels where they raised modularity, else the old ones; the scores; the tried cases kept back."""
+    fresh = modularity(links, moved).withColumnRenamed("modularity", "fresh")
+    judged = scores.join(fresh, "case_id").withColumn("better", F.col("fresh") > F.col("modularity") + MIN_GAIN)
+    judged = cut_lineage(judged)
+    better = judged.filter("better").select("case_id")
+    kept = labels.join(better, "case_id", "left_anti").unionByName(moved.join(better, "case_id", "left_semi"))
+    score = F.when(F.col("better"), F.col("fresh")).otherwise(F.col("modularity"))
+    result = cut_lineage(kept), cut_lineage(judged.select("case_id", score.alias("modularity")))
+    worse = cut_lineage(tried.join(better, "case_id", "left_anti"))
+    discard(labels, scores, judged)
+    return *result, worse
 
 
-def community_labels(pairs: DataFrame, nodes: DataFrame | None = None, max_levels: int = 10, max_rounds: int = 16) -> DataFrame:
-    """Community of every node: local moves, then contraction, until modularity stops rising."""
+def community_labels(pairs: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """Community of every node: local moves, then contraction, case by case until modularity stops rising.
+
+    A case whose level brought nothing is frozen and leaves the loop; the answer of a
+    case does not depend on the other cases of the table.
+    """
     everyone = project_nodes(nodes, pairs).select(*NODE)
-    links = cut_lineage(undirected_weights(pairs))
-    base = links
+    base = cut_lineage(undirected_weights(pairs))
+    links = base
     labels = cut_lineage(everyone.select(*NODE, F.col("id").alias("community")))
-    best = _score(base, labels)
-    for _ in range(max_levels):
-        moved = _local_moves(links, max_rounds)
+    scores = cut_lineage(modularity(base, labels))
+    while not links.isEmpty():
+        moved = _local_moves(links)
         lift = moved.select("case_id", F.col("id").alias("community"), F.col("community").alias("up"))
         merged = cut_lineage(
             labels.join(lift, ["case_id", "community"], "left").select(*NODE, F.coalesce("up", "community").alias("community"))
         )
-        score = _score(base, merged)
-        if score <= best + MIN_GAIN:
-            break
-        labels, best = merged, score
+        labels, scores, frozen = _accept(base, labels, merged, scores, links.select("case_id").distinct())
         left = moved.select("case_id", F.col("id").alias("a"), F.col("community").alias("ca"))
         right = moved.select("case_id", F.col("id").alias("b"), F.col("community").alias("cb"))
-        joined = links.join(left, ["case_id", "a"]).join(right, ["case_id", "b"])
-        links = cut_lineage(
+        open_ = links.join(frozen, "case_id", "left_anti")
+        joined = open_.join(left, ["case_id", "a"]).join(right, ["case_id", "b"])
+        before, links = links, cut_lineage(
             joined.groupBy("case_id", F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum("weight").alias("weight"))
         )
+        discard(moved, merged, frozen)
+        if before is not base:
+            discard(before)
     return labels
 
 

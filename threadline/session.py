@@ -40,14 +40,57 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return shared
 
 
+def _state_root(spark: SparkSession) -> str:
+    return f"{ensure_checkpoint_dir(spark)}/threadline/{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` below the checkpoint folder and read it back.
 
     The written copy survives lost executors, the plan of the result is a plain
     column-pruned scan with true sizes, and iterative operators keep plans of
-    constant size.
+    constant size.  ``discard`` deletes a copy that nothing reads any more,
+    ``clear_states`` all copies of the application once its results are consumed.
     """
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/threadline/{uuid.uuid4().hex}"
+    path = f"{_state_root(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written.state_path = path
+    return written
+
+
+def bucketed(df: DataFrame, *keys: str) -> DataFrame:
+    """A written copy of ``df`` in buckets of ``keys``: joins and aggregations on them read it without a shuffle.
+
+    ``discard`` drops it like other copies.
+    """
+    spark = df.sparkSession
+    name = f"threadline_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = f"{_state_root(spark)}/{name}"
+    spread = df.repartition(buckets, *keys)
+    spread.write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+    written = spark.table(name)
+    written.state_path, written.state_table = path, name
+    return written
+
+
+def discard(*states: DataFrame) -> None:
+    """Delete the written copies of states that were replaced; others are left alone."""
+    for state in states:
+        path = getattr(state, "state_path", None)
+        if getattr(state, "state_table", None):
+            state.sparkSession.sql(f"DROP TABLE IF EXISTS {state.state_table}")
+        if path:
+            _delete(state.sparkSession, path)
+
+
+def clear_states(spark: SparkSession) -> None:
+    """Delete every written copy of this application; results that still read one must be consumed before."""
+    _delete(spark, _state_root(spark))
