@@ -2,6 +2,7 @@
 
 from threadline.plans import (  # noqa: F401
     case_queries,
+    extension_queries,
     graph_queries,
     source_queries,
     stream_queries,
