@@ -5,8 +5,8 @@ import pytest
 from threadline.plans import catalog
 from tools.compare import check, connect
 
-# Long loops; the comparison tool runs them at every scale.
-SLOW = {"pagerank", "communities"}
+# Variants without a twin whose loops are long; the comparison tool runs them at every scale.
+SLOW = {"communities_brands", "betweenness_brands"}
 
 
 @pytest.fixture(scope="module")

@@ -409,17 +409,55 @@ def _(t: Inputs) -> DataFrame:
     return labels.join(owner, "id").groupBy("component", "user_id").agg(F.count(F.lit(1)).alias("size")).select("user_id", "size")
 
 
-@query("strong_components")
+@query("strong_components_lines")
 def _(t: Inputs) -> DataFrame:
     return analytics.strong_components(_pairs(t), t.bound("nodes"))
 
 
-@query("betweenness")
+@query("betweenness_brands")
 def _(t: Inputs) -> DataFrame:
     return centrality.betweenness(_pairs(t, "brand_links")).withColumn("betweenness", F.round("betweenness", 6))
 
 
-@query("communities")
+def _steps(t: Inputs, text: str) -> DataFrame:
+    return analytics.project_graph(t.sql(text).selectExpr("*", "'EV-1' AS evidence_id", "concat(src_id, tgt_id) AS rel_id"))
+
+
+@query("strong_components", """SELECT 'CASE-' || c_custkey // 12 % 3 AS case_id, sum(CASE WHEN g % 2 = 0 THEN 1 ELSE n END)::BIGINT AS strongly_connected_count,
+      max(CASE WHEN g % 2 = 0 THEN n ELSE 1 END) AS largest_component_size
+    FROM (SELECT min(c_custkey) AS c_custkey, c_custkey // 12 AS g, count(*) AS n FROM customer GROUP BY 2) c WHERE n > 1 GROUP BY 1""")
+def _(t: Inputs) -> DataFrame:
+    """Chains of up to 12 customers; every other one is closed to a ring, which is one component."""
+    pairs = _steps(t, """SELECT 'CASE-' || (c_custkey DIV 12 % 3) AS case_id, 'C-' || c_custkey AS src_id,
+          CASE WHEN c_custkey % 12 = 11 OR last THEN 'C-' || (c_custkey - c_custkey % 12) ELSE 'C-' || (c_custkey + 1) END AS tgt_id
+        FROM (SELECT c_custkey, c_custkey = (SELECT max(c_custkey) FROM {customer}) AS last FROM {customer}) c
+        WHERE (c_custkey % 12 <> 11 AND NOT last) OR (c_custkey DIV 12) % 2 = 0""")
+    return analytics.strong_components(pairs)
+
+
+@query("betweenness", """SELECT 'CASE-' || c_custkey // 9 AS case_id, 'C-' || c_custkey AS id,
+      CASE WHEN n > 2 THEN round((c_custkey % 9) * (n - 1 - c_custkey % 9)::DOUBLE / ((n - 1) * (n - 2)), 6) ELSE 0 END AS betweenness
+    FROM (SELECT *, count(*) OVER (PARTITION BY c_custkey // 9) AS n FROM customer) c WHERE n > 1""")
+def _(t: Inputs) -> DataFrame:
+    """One-way chains of nine customers: the i-th of n lies on i (n - 1 - i) shortest paths."""
+    pairs = _steps(t, """SELECT 'CASE-' || (a.c_custkey DIV 9) AS case_id, 'C-' || a.c_custkey AS src_id, 'C-' || b.c_custkey AS tgt_id
+        FROM {customer} a JOIN {customer} b ON b.c_custkey = a.c_custkey + 1 AND b.c_custkey DIV 9 = a.c_custkey DIV 9""")
+    return centrality.betweenness(pairs).withColumn("betweenness", F.round("betweenness", 6))
+
+
+@query("communities", """SELECT case_id, id, count(*) OVER (PARTITION BY g) AS size, min(id) OVER (PARTITION BY g) AS head FROM (
+      SELECT 'CASE-' || c_custkey // 40 AS case_id, 'C-' || lpad(c_custkey::VARCHAR, 9, '0') AS id, c_custkey // 5 AS g, count(*) OVER (PARTITION BY c_custkey // 5) AS n FROM customer) c WHERE n > 1""")
+def _(t: Inputs) -> DataFrame:
+    """Eight cliques of five customers in each case: the cliques are the communities."""
+    pairs = _steps(t, """SELECT 'CASE-' || (a.c_custkey DIV 40) AS case_id, 'C-' || lpad(CAST(a.c_custkey AS STRING), 9, '0') AS src_id,
+          'C-' || lpad(CAST(b.c_custkey AS STRING), 9, '0') AS tgt_id
+        FROM {customer} a JOIN {customer} b ON a.c_custkey DIV 5 = b.c_custkey DIV 5 AND a.c_custkey < b.c_custkey""")
+    found = communities.communities(pairs)
+    heads = found.groupBy("case_id", "community_id").agg(F.min("id").alias("head"))
+    return found.join(heads, ["case_id", "community_id"]).select("case_id", "id", "size", "head")
+
+
+@query("communities_brands")
 def _(t: Inputs) -> DataFrame:
     return communities.communities(_pairs(t, "brand_links"))
 

@@ -441,21 +441,21 @@ def _resolved(t: Inputs) -> DataFrame:
     return resolve.resolve_values(resolve.distinct_values(_name_signals(t), "seq"))
 
 
-@query("string_similarity")
+@query("string_similarity_names")
 def _(t: Inputs) -> DataFrame:
     """Similarity of every pair of names close enough to matter, with its exact ratio."""
     values = resolve.distinct_values(_name_signals(t), "seq")
     return resolve.classify_pairs(resolve.candidate_pairs(values, 0.85)).select("case_id", "earlier", "later", F.round("ratio", 6).alias("ratio"))
 
 
-@query("match_classify")
+@query("match_classify_names")
 def _(t: Inputs) -> DataFrame:
     values = resolve.distinct_values(_name_signals(t), "seq")
     pairs = resolve.classify_pairs(resolve.candidate_pairs(values, 0.60))
     return pairs.select("case_id", "earlier", "later", "match_class", "confidence", "rule")
 
 
-@query("initial_match")
+@query("initial_match_names")
 def _(t: Inputs) -> DataFrame:
     """Full names against the same people with the first name cut to its letter."""
     full = _name_signals(t)
@@ -467,11 +467,63 @@ def _(t: Inputs) -> DataFrame:
     return pairs.select("case_id", "earlier", "later", "match_class", "confidence", "rule")
 
 
-@query("resolve_entities")
+@query("resolve_entities_names")
 def _(t: Inputs) -> DataFrame:
     return resolve.resolve_entities(_resolved(t)).drop("canonical_key")
 
 
+# Two values in each case: a name, and the name with k letters that it does not have.  All n
+# letters of the name match, so the ratio is 2n / (2n + k) by definition.
+_GROWN = """SELECT 'CASE-' || c_custkey AS case_id, 'Person' AS entity_type, c_name AS base, c_name || repeat('q', CAST(1 + c_custkey % 30 AS INT)) AS grown, CAST(c_custkey AS BIGINT) AS seq FROM {customer}"""
+_GROWN_SQL = _GROWN.replace("{customer}", "customer")
+_RATIO = "(2e0 * length(base) / (length(base) + length(grown)))"
+
+
+def _grown(t: Inputs) -> DataFrame:
+    both = t.sql(_GROWN).select("case_id", "entity_type", F.explode(F.array("base", "grown")).alias("normalized_value"), "seq")
+    return resolve.distinct_values(both.withColumn("seq", F.col("seq") * 2 + F.length("normalized_value") % 2), F.length("normalized_value"))
+
+
+@query("string_similarity", f"SELECT case_id, base AS earlier, grown AS later, round({_RATIO}, 6) AS ratio FROM ({_GROWN_SQL}) g WHERE {_RATIO} >= 0.85")
+def _(t: Inputs) -> DataFrame:
+    """Similarity of every pair close enough to matter, with its exact ratio."""
+    found = resolve.classify_pairs(resolve.candidate_pairs(_grown(t), 0.85))
+    return found.select("case_id", "earlier", "later", F.round("ratio", 6).alias("ratio"))
+
+
+@query("match_classify", f"""SELECT case_id, base AS earlier, grown AS later, CASE WHEN {_RATIO} >= 0.85 THEN 'HIGH_CONFIDENCE_FUZZY' ELSE 'AMBIGUOUS_CANDIDATE' END AS match_class,
+      round_even({_RATIO}, 2) AS confidence, CASE WHEN {_RATIO} >= 0.85 THEN 'FUZZY_STRING_SIMILARITY' ELSE 'AMBIGUOUS_SIMILARITY_HUMAN_REVIEW_REQUIRED' END AS rule
+    FROM ({_GROWN_SQL}) g WHERE {_RATIO} >= 0.6""")
+def _(t: Inputs) -> DataFrame:
+    found = resolve.classify_pairs(resolve.candidate_pairs(_grown(t), 0.60))
+    return found.select("case_id", "earlier", "later", "match_class", "confidence", "rule")
+
+
+@query("resolve_entities", f"""SELECT case_id, CASE WHEN {_RATIO} >= 0.85 OR k = 0 THEN base ELSE grown END AS canonical_name, CASE WHEN {_RATIO} >= 0.85 THEN 2 ELSE 1 END::BIGINT AS distinct_values,
+      CASE WHEN {_RATIO} >= 0.85 THEN round_even({_RATIO}, 2) ELSE 1e0 END AS match_confidence, CASE WHEN {_RATIO} >= 0.85 THEN 'FUZZY_STRING_SIMILARITY' ELSE 'NEW_CANONICAL_ROOT' END AS match_method
+    FROM ({_GROWN_SQL}) g, (VALUES (0), (1)) v(k) WHERE k = 0 OR {_RATIO} < 0.85""")
+def _(t: Inputs) -> DataFrame:
+    """Clusters with fuzzy merging on: the grown name joins the name where the ratio allows it."""
+    found = resolve.resolve_entities(resolve.resolve_values(_grown(t)))
+    return found.select("case_id", "canonical_name", "distinct_values", "match_confidence", "match_method")
+
+
+@query("review_queue", f"""SELECT case_id, base AS earlier, grown AS later, round_even({_RATIO}, 2) AS confidence, 'AMBIGUOUS_SIMILARITY_HUMAN_REVIEW_REQUIRED' AS rule
+    FROM ({_GROWN_SQL}) g WHERE {_RATIO} >= 0.6 AND {_RATIO} < 0.85""")
+def _(t: Inputs) -> DataFrame:
+    return resolve.review_queue(resolve.resolve_values(_grown(t))).select("case_id", "earlier", "later", "confidence", "rule")
+
+
+@query("initial_match", """SELECT 'CASE-' || c_custkey AS case_id, 'Anna ' || c_name AS earlier, 'A ' || c_name || CASE WHEN c_custkey % 2 = 0 THEN 'q' ELSE '' END AS later,
+      'AMBIGUOUS_CANDIDATE' AS match_class, 0.75e0 AS confidence, 'PERSON_INITIAL_MATCH_HUMAN_REVIEW_REQUIRED' AS rule FROM customer WHERE c_custkey % 3 <> 0""")
+def _(t: Inputs) -> DataFrame:
+    """Full names against initials: the last name equal or nearly so; every third has another initial."""
+    rows = t.sql("""SELECT 'CASE-' || c_custkey AS case_id, 'Person' AS entity_type, 'Anna ' || c_name AS normalized_value, 0L AS seq FROM {customer}
+        UNION ALL SELECT 'CASE-' || c_custkey, 'Person', CASE WHEN c_custkey % 3 = 0 THEN 'B ' ELSE 'A ' END || c_name || CASE WHEN c_custkey % 2 = 0 THEN 'q' ELSE '' END, 1L FROM {customer}""")
+    pairs = resolve.classify_pairs(resolve.initial_pairs(resolve.distinct_values(rows, "seq")))
+    return pairs.select("case_id", "earlier", "later", "match_class", "confidence", "rule")
+
+
 @query("resolve_entities_exact_only",
     f"""SELECT 'CASE-' || p_type AS case_id, 'Person' AS entity_type, {_title('p_name')} AS canonical_name, count(*) AS supporting_observations_count,
           'CAN-PER-' || upper(sha256('CASE-' || p_type || ':PER:' || {_title('p_name')})[1:6]) AS canonical_entity_id
@@ -534,7 +586,7 @@ def _(t: Inputs) -> DataFrame:
     return _canonical(t).select("case_id", "src_id", "tgt_id", "rel_label", "observation_id", "confidence")
 
 
-@query("review_queue")
+@query("review_queue_names")
 def _(t: Inputs) -> DataFrame:
     return resolve.review_queue(_resolved(t)).select("case_id", "earlier", "later", "confidence", "rule")
 
