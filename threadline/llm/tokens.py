@@ -6,6 +6,7 @@ looked up; the library encodes each new one.  The memory of pieces is bounded.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Callable
@@ -39,14 +40,11 @@ class Remembered(dict):
         value = self.old.get(piece)
         if value is None:
             value = self.make(piece)
-        self.make_room(1)
-        self[piece] = value
-        return value
-
-    def make_room(self, n: int) -> None:
-        if len(self) + n > self.limit:
+        if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
+        self[piece] = value
+        return value
 
 
 @lru_cache(maxsize=4)
@@ -98,42 +96,57 @@ class Counter:
         return sum([whole(piece) or merged[piece] for piece in PRETOKEN.findall(text)])
 
 
-class Encoder:
-    """Token ids as little-endian unsigned 32-bit bytes.
+def _byte_letters() -> dict[str, int]:
+    """The letters that byte-level vocabularies write bytes with: printable ones stand for themselves, others follow from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [byte for byte in range(256) if byte not in shown]
+    return {chr(byte): byte for byte in shown} | {chr(256 + i): byte for i, byte in enumerate(hidden)}
+
+
+@lru_cache(maxsize=4)
+def rank_twin(path: str):
+    """The same vocabulary in the rank form of a faster library, or None unless both are proved to agree.
 
-    Where all white space is single blanks and line ends between other characters, every
-    pre-token lies inside one word with the blank before it, so words are looked up whole.
-    Any other text goes to the library as it is.
+    The rank form joins any neighbours whose string is a token, earliest id first; the
+    other form knows pairs.  They agree on every pre-token if ids follow the order of the
+    merges and each token's own string merges to that token: just before two parts become
+    a token, the stretch they cover has seen the same merges as the string alone.
     """
+    import tiktoken
+
+    tokenizer = library(path)
+    form = json.loads(tokenizer.to_str())
+    model, split = form["model"], form["pre_tokenizer"] or {}
+    plain = not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+    if form["normalizer"] or model["type"] != "BPE" or not plain or split.get("type") != "ByteLevel":
+        return None
+    if split.get("add_prefix_space") or not split.get("use_regex"):
+        return None
+    special, letters = set(special_strings(path)), _byte_letters()
+    vocabulary = {s: i for s, i in model["vocab"].items() if s not in special}
+    pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    if [vocabulary.get("".join(pair)) for pair in pairs] != list(range(256, 256 + len(pairs))) or len(vocabulary) != 256 + len(pairs):
+        return None
+    if any([t.id for t in tokenizer.model.tokenize(s)] != [i] for s, i in vocabulary.items()):
+        return None
+    ranks = {bytes(letters[c] for c in s): i for s, i in vocabulary.items()}
+    return tiktoken.Encoding("twin", pat_str=PRETOKEN.pattern, mergeable_ranks=ranks, special_tokens={})
+
+
+class Encoder:
+    """Token ids as little-endian unsigned 32-bit bytes, by the rank form where it is proved equal, else by the library."""
 
     def __init__(self, path: str) -> None:
         self.tokenizer = library(path)
         self.special = special_strings(path)
-        self.bare = Remembered(self._encode)
-        self.spaced = Remembered(lambda word: self._encode(" " + word))
-
-    def _encode(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, words: set[str]) -> None:
-        """Encode the new words of a text together, which costs less than one by one."""
-        new = [word for word in words if word not in self.spaced and word not in self.spaced.old]
-        found = self.tokenizer.encode_batch_fast([" " + word for word in new], add_special_tokens=False)
-        fresh = {word: np.asarray(e.ids, "<u4").tobytes() for word, e in zip(new, found, strict=True)}
-        self.spaced.make_room(len(fresh))
-        self.spaced.update(fresh)
+        self.twin = rank_twin(path)
 
     def encode(self, text: str) -> bytes:
-        if not text or " ".join(text.split()) != text.replace("\n", " ") or any(s in text for s in self.special):
-            return self._encode(text)
-        bare, spaced, parts = self.bare, self.spaced, []
-        lines = [line.split(" ") for line in text.split("\n")]
-        self._learn({word for _, *rest in lines for word in rest})
-        for first, *rest in lines:
-            parts.append(bare["\n"])
-            parts.append(bare[first])
-            parts.extend(map(spaced.__getitem__, rest))
-        return b"".join(parts[1:])
+        if self.twin is None or UNSURE.search(text) or any(s in text for s in self.special):
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        else:
+            ids = self.twin.encode_ordinary(text)
+        return np.asarray(ids, "<u4").tobytes()
 
 
 @lru_cache(maxsize=4)
