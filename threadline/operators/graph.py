@@ -6,7 +6,7 @@ evidence_id, confidence, rel_id), a multigraph that is never pre-deduplicated.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadline.functions import ids
@@ -234,7 +234,10 @@ def anchor_fallback(cases: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def k_hop_undirected(pairs: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
-    """Nodes within ``hops`` of each case's start node, with the distance, start excluded."""
+    """Nodes within ``hops`` of each case's start node, with the distance, start excluded.
+
+    Every step joins edges with the last level only; ``pairs`` may be raw edges.
+    """
     links = undirected(pairs)
     reached = starts.select("case_id", F.col("id").alias("node")).withColumn("distance", F.lit(0))
     frontier = reached
@@ -248,7 +251,7 @@ def k_hop_undirected(pairs: DataFrame, starts: DataFrame, hops: int) -> DataFram
 
 
 def k_hop_directed(pairs: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
-    """Nodes at the end of a directed walk of exactly ``hops`` steps."""
+    """Nodes at the end of a directed walk of exactly ``hops`` steps; ``pairs`` may be raw edges."""
     frontier = starts.select("case_id", F.col("id").alias("src_id"))
     for _ in range(hops):
         step = pairs.select(*PAIR_KEY).join(frontier, ["case_id", "src_id"], "left_semi")
@@ -256,28 +259,38 @@ def k_hop_directed(pairs: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
     return frontier.select("case_id", F.col("src_id").alias("id"))
 
 
+def _one(spark: SparkSession, node: str) -> DataFrame:
+    return spark.range(1).select(F.lit(node).alias("node"), F.array(F.lit(node)).alias("path"))
+
+
 def shortest_path_unweighted(pairs: DataFrame, source: str, target: str, case_id: str) -> DataFrame:
-    """Fewest-hop path, direction ignored; length -1 when there is none."""
-    links = undirected(pairs.filter(F.col("case_id") == case_id)).select("node", "other").distinct()
-    links = cut_lineage(links)
+    """Fewest-hop path, direction ignored; length -1 when there is none.
+
+    The search grows from both ends, a whole level at a time on the smaller side, and
+    joins edges with that level only; ``pairs`` may be raw edges.
+    """
+    links = undirected(pairs.filter(F.col("case_id") == case_id)).select("node", "other")
     spark = pairs.sparkSession
-    frontier = spark.range(1).select(F.lit(source).alias("node"), F.array(F.lit(source)).alias("path"))
-    visited = frontier.select("node")
-    found = frontier.filter(F.col("node") == target)
-    while found.isEmpty():
-        stepped = links.join(frontier, "node").groupBy(F.col("other").alias("node")).agg(F.min("path").alias("path"))
-        stepped = stepped.join(visited, "node", "left_anti")
-        frontier = cut_lineage(stepped.select("node", F.array_append("path", F.col("node")).alias("path")))
-        if frontier.isEmpty():
+    fronts = [_one(spark, source), _one(spark, target)]
+    seen, sizes = list(fronts), [1, 1]
+    met = fronts[0].join(fronts[1].withColumnRenamed("path", "back"), "node")
+    while met.isEmpty():
+        side = 0 if sizes[0] <= sizes[1] else 1
+        stepped = links.join(fronts[side], "node").groupBy(F.col("other").alias("node")).agg(F.min("path").alias("path"))
+        stepped = stepped.join(seen[side], "node", "left_anti")
+        fronts[side] = cut_lineage(stepped.select("node", F.array_append("path", F.col("node")).alias("path")))
+        sizes[side] = fronts[side].count()
+        if not sizes[side]:
             break
-        visited = visited.unionByName(frontier.select("node"))
-        found = frontier.filter(F.col("node") == target)
-    query = spark.range(1).select(F.lit(source).alias("source_id"), F.lit(target).alias("target_id"))
-    return query.join(found.select(F.col("node").alias("target_id"), "path"), "target_id", "left").select(
-        "source_id",
-        "target_id",
-        F.coalesce(F.size("path") - 1, F.lit(-1)).alias("path_length"),
-        F.array_join("path", ">").alias("path_nodes"),
+        seen[side] = seen[side].unionByName(fronts[side])
+        ahead, behind = (fronts[0], seen[1]) if side == 0 else (seen[0], fronts[1])
+        met = ahead.join(behind.withColumnRenamed("path", "back"), "node")
+    # The way back ends where the way there ends.
+    whole = F.concat("path", F.slice(F.reverse("back"), F.lit(2), F.greatest(F.size("back") - 1, F.lit(0))))
+    best = met.select(F.struct(F.size(whole).alias("n"), whole.alias("path")).alias("r")).agg(F.min("r").getField("path").alias("path"))
+    return best.select(
+        F.lit(source).alias("source_id"), F.lit(target).alias("target_id"),
+        F.coalesce(F.size("path") - 1, F.lit(-1)).alias("path_length"), F.array_join("path", ">").alias("path_nodes"),
     )
 
 
@@ -294,11 +307,15 @@ def entity_detail(nodes: DataFrame, provenance: DataFrame, case_id: str, entity_
     return review_overlay(joined, "id", review)
 
 
-def relationship_detail(relationships: DataFrame, consolidated: DataFrame, case_id: str, lookup: str) -> DataFrame:
-    """Provenance chain of a relationship, found by relationship id or by edge id."""
-    edge = consolidated.filter((F.col("case_id") == case_id) & ((F.col("edge_id") == lookup) | (F.col("rel_id") == lookup)))
-    direct = relationships.filter((F.col("case_id") == case_id) & (F.col("rel_id") == lookup)).select("case_id", "rel_id")
-    wanted = edge.select("case_id", "rel_id").unionByName(direct).distinct()
+def relationship_detail(relationships: DataFrame, consolidated: DataFrame, case_id: str, lookup: str | DataFrame) -> DataFrame:
+    """Provenance chain of a relationship, found by relationship id or by edge id.
+
+    ``lookup`` is an id or a table with a column ``lookup`` of ids.
+    """
+    asked = lookup if isinstance(lookup, DataFrame) else relationships.sparkSession.range(1).select(F.lit(lookup).alias("lookup"))
+    edges = consolidated.filter(F.col("case_id") == case_id).select("case_id", "rel_id", F.explode(F.array("edge_id", "rel_id")).alias("lookup"))
+    direct = relationships.filter(F.col("case_id") == case_id).select("case_id", "rel_id", F.col("rel_id").alias("lookup"))
+    wanted = edges.unionByName(direct).join(asked, "lookup", "left_semi").select("case_id", "rel_id").distinct()
     chain = ["evidence_id", "artifact_id", "observation_id", "job_id", "source_location", "extraction_method"]
     available = [name for name in chain if name in relationships.columns]
     return relationships.join(wanted, ["case_id", "rel_id"], "left_semi").select(

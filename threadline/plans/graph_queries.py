@@ -185,24 +185,24 @@ def _(t: Inputs) -> DataFrame:
 @query("k_hop_undirected", f"""SELECT case_id, id, CAST(min(d) AS INT) AS distance FROM (WITH RECURSIVE hop(case_id, id, d) AS (SELECT DISTINCT case_id, 'C-5', 0 FROM order_links
       UNION SELECT l.case_id, l.b, d + 1 FROM hop JOIN ({_OBOTH}) l ON l.case_id = hop.case_id AND l.a = hop.id WHERE d < 3) SELECT * FROM hop) h WHERE id <> 'C-5' GROUP BY 1, 2""", "order_links")
 def _(t: Inputs) -> DataFrame:
-    pairs = _pairs(t, "order_links")
-    starts = pairs.select("case_id").distinct().withColumn("id", F.lit("C-5"))
-    return graph.k_hop_undirected(pairs, starts, 3)
+    links = t.bound("order_links")
+    starts = links.select("case_id").distinct().withColumn("id", F.lit("C-5"))
+    return graph.k_hop_undirected(links, starts, 3)
 
 
 @query("k_hop_directed", f"""WITH p AS ({_PAIRS}), one AS (SELECT DISTINCT case_id, tgt_id AS id FROM p WHERE src_id = 'P-5'),
       two AS (SELECT DISTINCT p.case_id, p.tgt_id AS id FROM p JOIN one ON p.case_id = one.case_id AND p.src_id = one.id)
     SELECT DISTINCT p.case_id, p.tgt_id AS id FROM p JOIN two ON p.case_id = two.case_id AND p.src_id = two.id""", "links")
 def _(t: Inputs) -> DataFrame:
-    pairs = _pairs(t)
-    starts = pairs.select("case_id").distinct().withColumn("id", F.lit("P-5"))
-    return graph.k_hop_directed(pairs, starts, 3)
+    links = t.bound("links")
+    starts = links.select("case_id").distinct().withColumn("id", F.lit("P-5"))
+    return graph.k_hop_directed(links, starts, 3)
 
 
 @query("shortest_path_unweighted", f"""SELECT 'P-3' AS source_id, 'P-90' AS target_id, CAST(coalesce(min(d), -1) AS INT) AS path_length FROM (WITH RECURSIVE hop(id, d) AS (SELECT 'P-3', 0
       UNION SELECT l.b, d + 1 FROM hop JOIN ({_BOTH}) l ON l.a = hop.id AND l.case_id = 'CASE-O' WHERE d < 6) SELECT * FROM hop) h WHERE id = 'P-90'""", "links")
 def _(t: Inputs) -> DataFrame:
-    return graph.shortest_path_unweighted(_pairs(t), "P-3", "P-90", "CASE-O").select("source_id", "target_id", "path_length")
+    return graph.shortest_path_unweighted(t.bound("links"), "P-3", "P-90", "CASE-O").select("source_id", "target_id", "path_length")
 
 
 # --- lookups and overlays ------------------------------------------------------
@@ -222,9 +222,9 @@ def _(t: Inputs) -> DataFrame:
     WHERE case_id = 'CASE-O' AND rel_id = (SELECT min(rel_id) FROM links WHERE case_id = 'CASE-O' AND src_id = 'S-3' AND tgt_id = (SELECT min(tgt_id) FROM links WHERE case_id = 'CASE-O' AND src_id = 'S-3'))""", "links")
 def _(t: Inputs) -> DataFrame:
     links = t.bound("links")
-    consolidated = graph.case_edges(links)
-    edge = consolidated.filter("case_id = 'CASE-O' and src_id = 'S-3'").agg(F.min(F.struct("tgt_id", "edge_id")).alias("e")).first()
-    wanted = edge["e"]["edge_id"] if edge["e"] else ""
+    # Only the edges of one source are consolidated.
+    consolidated = graph.case_edges(links.filter("case_id = 'CASE-O' and src_id = 'S-3'"))
+    wanted = consolidated.agg(F.min_by("edge_id", "tgt_id").alias("lookup"))
     return graph.relationship_detail(links, consolidated, "CASE-O", wanted)
 
 
@@ -485,9 +485,9 @@ def _(t: Inputs) -> DataFrame:
       two AS (SELECT DISTINCT p.case_id, p.tgt_id AS id FROM p JOIN one ON p.case_id = one.case_id AND p.src_id = one.id WHERE p.tgt_id <> 'S-4' AND NOT EXISTS (SELECT 1 FROM one o WHERE o.case_id = p.case_id AND o.id = p.tgt_id))
     SELECT case_id, id, CAST(1 AS INT) AS hop FROM one UNION ALL SELECT case_id, id, 2 FROM two""", "links")
 def _(t: Inputs) -> DataFrame:
-    pairs = _pairs(t)
-    egos = pairs.select("case_id").distinct().withColumn("id", F.lit("S-4"))
-    return analytics.k_hop_neighbors(pairs, egos).drop("ego_id")
+    links = t.bound("links")
+    egos = links.select("case_id").distinct().withColumn("id", F.lit("S-4"))
+    return analytics.k_hop_neighbors(links, egos).drop("ego_id")
 
 
 _STAMPS = "SELECT 'CASE-' || (user_id % 5) AS case_id, CASE WHEN event_type = 'error' THEN 0 ELSE 1700000000 + event_id * 3611 END AS epoch FROM {events}"
