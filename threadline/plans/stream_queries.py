@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadline.plans.registry import Inputs, query
 from threadline.plans.text_queries import _EMAIL_RE, _PHONE_RE, _matches
+from threadline.session import ensure_checkpoint_dir
 from threadline.streaming.signals import stream_edge_counts, stream_signals
-from threadline.streaming.sinks import run_to_table
 
 
-def _stream(t: Inputs, table: str) -> DataFrame:
-    schema = t.table(table).schema
-    return t.spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(t.path)
+def _stream(t: Inputs, table: str, key: str) -> DataFrame:
+    """The table as four files of rows in no order of time, one for each micro-batch."""
+    rows = t.table(table)
+    path = f"{ensure_checkpoint_dir(t.spark)}/threadline/arrivals-{uuid.uuid4().hex}"
+    rows.repartition(4, F.pmod(F.xxhash64(key), F.lit(64))).write.parquet(path)
+    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 @query("stream_signals", f"""SELECT DISTINCT observation_id, 'Email' AS entity_type, lower(raw) AS normalized_value FROM {_matches('doc_obs', _EMAIL_RE)} m
@@ -22,7 +27,7 @@ def _stream(t: Inputs, table: str) -> DataFrame:
       WHERE length(d) + CASE WHEN length(d) < 10 AND raw LIKE '+%' THEN 1 ELSE 0 END >= 10""", "doc_obs")
 def _(t: Inputs) -> DataFrame:
     """Documents as they arrive, to distinct signals."""
-    documents = _stream(t, "documents")
+    documents = _stream(t, "documents", "doc_id")
     observations = documents.select(
         F.concat(F.lit("CASE-"), "source").alias("case_id"), F.concat(F.lit("EV-"), "source").alias("evidence_id"),
         F.concat(F.lit("ART-"), "doc_id").alias("artifact_id"), F.concat(F.lit("JOB-"), "lang").alias("job_id"),
@@ -31,20 +36,16 @@ def _(t: Inputs) -> DataFrame:
         F.lit(1.0).alias("confidence"), F.lit("page 1").alias("provenance_note"),
         F.timestamp_seconds(F.lit(1700000000) + F.col("doc_id")).alias("observed_at"),
     )
-    signals = stream_signals(observations, "30 days")
-    result = run_to_table(signals.drop("position", "next_blank", "row_index"), ["signal_key"])
-    return result.filter("entity_type in ('Email', 'PhoneNumber')").select("observation_id", "entity_type", "normalized_value")
+    return stream_signals(observations).filter("entity_type in ('Email', 'PhoneNumber')").select("observation_id", "entity_type", "normalized_value")
 
 
 @query("stream_edge_counts", """SELECT 'CASE-' || l_linestatus AS case_id, 'P-' || l_partkey AS src_id, 'S-' || l_suppkey AS tgt_id,
       strftime(date_trunc('day', l_shipdate), '%Y-%m-%d') AS day, count(*) AS interactions FROM lineitem GROUP BY 1, 2, 3, 4""")
 def _(t: Inputs) -> DataFrame:
     """Pair counts per day over the order lines as they arrive."""
-    lines = _stream(t, "lineitem")
+    lines = _stream(t, "lineitem", "l_orderkey")
     edges = lines.select(
         F.concat(F.lit("CASE-"), "l_linestatus").alias("case_id"), F.concat(F.lit("P-"), "l_partkey").alias("src_id"),
         F.concat(F.lit("S-"), "l_suppkey").alias("tgt_id"), F.col("l_shipdate").cast("timestamp").alias("observed_at"),
     )
-    counts = stream_edge_counts(edges, "1 day", "1 hour")
-    result = run_to_table(counts, ["case_id", "src_id", "tgt_id", "window_start"], "update")
-    return result.select("case_id", "src_id", "tgt_id", F.date_format("window_start", "yyyy-MM-dd").alias("day"), "interactions")
+    return stream_edge_counts(edges, "1 day").select("case_id", "src_id", "tgt_id", F.date_format("window_start", "yyyy-MM-dd").alias("day"), "interactions")

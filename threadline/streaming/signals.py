@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from threadline.operators.signals import extract_signals
 from threadline.schemas import OBSERVATION
+from threadline.streaming.sinks import run_partials
 
 
 def read_observation_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -19,18 +20,31 @@ def read_observation_stream(spark: SparkSession, path: str, files_per_trigger: i
     return reader.parquet(path)
 
 
-def stream_signals(observations: DataFrame, lateness: str = "1 hour") -> DataFrame:
-    """Signals of a stream, each once within the watermark."""
-    timed = observations.withWatermark("observed_at", lateness)
-    return extract_signals(timed, keep=["observed_at"]).dropDuplicatesWithinWatermark(["signal_key"])
+def stream_signals(observations: DataFrame) -> DataFrame:
+    """Signals of everything the stream holds now, each once, however late a row arrives.
 
+    A micro-batch drops its own repeats; repeats between batches meet on reading.
+    """
+    partial = run_partials(observations, lambda batch: extract_signals(batch, keep=["observed_at"]).dropDuplicates(["signal_key"]))
+    return partial.dropDuplicates(["signal_key"])
 
-def stream_edge_counts(edges: DataFrame, window: str = "1 day", lateness: str = "1 hour") -> DataFrame:
-    """Edge counts per pair and time window of (case_id, src_id, tgt_id, observed_at)."""
-    timed = edges.withWatermark("observed_at", lateness)
-    counts = timed.groupBy(F.window("observed_at", window), "case_id", "src_id", "tgt_id").agg(
+
+def edge_counts(edges: DataFrame, window: str = "1 day") -> DataFrame:
+    """Edge counts per pair and time window of (case_id, src_id, tgt_id, observed_at), of a table or one micro-batch."""
+    counts = edges.groupBy(F.window("observed_at", window), "case_id", "src_id", "tgt_id").agg(
         F.count(F.lit(1)).alias("interactions")
     )
     return counts.select(
         "case_id", "src_id", "tgt_id", F.col("window.start").alias("window_start"), "interactions"
     )
+
+
+def stream_edge_counts(edges: DataFrame, window: str = "1 day") -> DataFrame:
+    """Edge counts of everything the stream holds now, however late a row arrives.
+
+    Each micro-batch is counted by itself and its counts are added up on reading, so no
+    state is kept between batches and no watermark drops a row.
+    """
+    partial = run_partials(edges, lambda batch: edge_counts(batch, window))
+    keys = ["case_id", "src_id", "tgt_id", "window_start"]
+    return partial.groupBy(*keys).agg(F.sum("interactions").alias("interactions"))

@@ -1,35 +1,33 @@
-"""Running bounded streams to completion into keyed tables."""
+"""Draining streams into partial results that add up."""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from threadline.session import ensure_checkpoint_dir
-from threadline.sources.keyed import keyed_upsert
 
 
-def run_to_table(stream: DataFrame, keys: list[str], mode: str = "append") -> DataFrame:
-    """Drain what the stream holds now and return its keyed result.
+def run_partials(stream: DataFrame, summarise: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Drain what the stream holds now; the summaries of its micro-batches, one after another.
 
-    Every micro-batch is written under its own batch number, so a re-run batch
-    replaces its files instead of adding to them; the newest batch wins per key.
+    A summary is written under its batch number, so a batch that is run again after a
+    failure replaces its files instead of adding to them.
     """
     spark = stream.sparkSession
     root = f"{ensure_checkpoint_dir(spark)}/threadline/stream-{uuid.uuid4().hex}"
+    summarise(spark.createDataFrame([], stream.schema)).write.parquet(f"{root}/table/batch=none")
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{root}/table/part={number}")
+        summarise(batch).write.mode("overwrite").parquet(f"{root}/table/batch={number}")
 
     running = (
-        stream.writeStream.outputMode(mode)
-        .foreachBatch(write)
+        stream.writeStream.foreachBatch(write)
         .option("checkpointLocation", f"{root}/state")
         .trigger(availableNow=True)
         .start()
     )
     running.awaitTermination()
-    written = spark.read.parquet(f"{root}/table").drop("part")
-    return keyed_upsert(written, written.limit(0), keys, "batch").drop("batch")
+    return spark.read.parquet(f"{root}/table").drop("batch")
