@@ -57,9 +57,13 @@ def initials_agree(left: Column, right: Column) -> Column:
     )
 
 
-def initial_match(left: Column, right: Column) -> Column:
-    """One name is the other with its first name cut to the initial."""
-    return initials_agree(left, right) & (similarity(_last(left), _last(right)) >= HIGH)
+def initial_match(left: Column, right: Column, could: Column | None = None) -> Column:
+    """One name is the other with its first name cut to the initial.
+
+    Rows that cannot match hand nulls to the ratio, which costs nothing there.
+    """
+    could = initials_agree(left, right) if could is None else could & initials_agree(left, right)
+    return could & (similarity(F.when(could, _last(left)), F.when(could, _last(right))) >= HIGH)
 
 
 def match_class(left: Column, right: Column, entity_type: Column, ratio: Column, initial: Column) -> Column:

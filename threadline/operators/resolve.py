@@ -162,8 +162,7 @@ def candidate_pairs(values: DataFrame, threshold: float, against: DataFrame | No
 def classify_pairs(pairs: DataFrame, left: str = "later", right: str = "earlier") -> DataFrame:
     """Add match_class, confidence and rule to value pairs."""
     scored = pairs.withColumn("ratio", similarity(F.col(left), F.col(right)))
-    could = (F.upper("entity_type") == "PERSON") & initials_agree(F.col(left), F.col(right))
-    initial = could & initial_match(F.col(left), F.col(right))
+    initial = initial_match(F.col(left), F.col(right), F.upper("entity_type") == "PERSON")
     verdict = match_class(F.col(left), F.col(right), F.col("entity_type"), F.col("ratio"), initial)
     return scored.withColumn("verdict", verdict).select(
         *pairs.columns, "ratio", "verdict.match_class", "verdict.confidence", "verdict.rule"

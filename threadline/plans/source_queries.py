@@ -313,6 +313,20 @@ def _(t: Inputs) -> DataFrame:
     return files.master_digest(rows, "owner")
 
 
+def _tree(levels: int) -> str:
+    text = "SELECT source AS owner, row_number() OVER (PARTITION BY source ORDER BY 'doc/' || doc_id) - 1 AS place, sha256(text) AS digest FROM documents"
+    for _ in range(levels):
+        text = f"""SELECT owner, place // 4 AS place, CASE WHEN any_value(n) = 1 THEN any_value(digest) ELSE sha256(string_agg(digest, '' ORDER BY place)) END AS digest
+            FROM (SELECT *, count(*) OVER (PARTITION BY owner) AS n FROM ({text}) t) c GROUP BY owner, place // 4"""
+    return text
+
+
+@query("tree_digest", f"SELECT owner, digest AS tree_digest, files FROM ({_tree(8)}) d JOIN (SELECT source, count(*) AS files FROM documents GROUP BY 1) n ON n.source = owner")
+def _(t: Inputs) -> DataFrame:
+    rows = t.sql("SELECT source AS owner, 'doc/' || doc_id AS path, sha2(text, 256) AS sha256 FROM {documents}")
+    return files.tree_digest(rows, "owner", 4)
+
+
 @query("segment_gap_check", """SELECT directory, name, CAST(previous AS INT) AS previous, CAST(segment AS INT) AS segment FROM (
       SELECT directory, name, segment, lag(segment) OVER (PARTITION BY directory ORDER BY segment) AS previous FROM (
         SELECT 'D' || l_suppkey AS directory, 'set.E' || CASE WHEN l_partkey < 10 THEN '0' ELSE '' END || l_partkey AS name, l_partkey AS segment FROM lineitem GROUP BY ALL) s) r

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadline.functions.ordered import with_previous
+from threadline.functions.ordered import with_previous, with_row_number
+from threadline.session import cut_lineage
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -49,6 +50,29 @@ def master_digest(manifest: DataFrame, owner: str) -> DataFrame:
     return ordered.mapInPandas(fold, f"`{owner}` string, master_digest string, files bigint")
 
 
+def tree_digest(manifest: DataFrame, owner: str, fan: int = 1024) -> DataFrame:
+    """Digest of each owner as a tree over its digests in path order: ``fan`` neighbours make one node.
+
+    Every node is a bounded group and all nodes of a level are hashed in parallel, so one
+    large owner is spread over many tasks; a single remaining node is the digest.
+    """
+    nodes = with_row_number(manifest.select(owner, "path", "sha256"), [owner], ["path"], "place")
+    nodes = cut_lineage(nodes.select(owner, (F.col("place") - 1).alias("place"), F.col("sha256").alias("digest")))
+    files = nodes.groupBy(owner).agg(F.count(F.lit(1)).alias("files"))
+    finished = None
+    level = nodes
+    while True:
+        sizes = level.groupBy(owner).agg(F.count(F.lit(1)).alias("n"))
+        counted = level.join(sizes, owner)
+        ready = cut_lineage(counted.filter("n = 1").select(owner, F.col("digest").alias("tree_digest")))
+        finished = ready if finished is None else finished.unionByName(ready)
+        parent = F.floor(F.col("place") / fan)
+        grouped = counted.filter("n > 1").groupBy(owner, parent.alias("place")).agg(F.array_sort(F.collect_list(F.struct("place", "digest"))).alias("d"))
+        level = cut_lineage(grouped.select(owner, "place", F.sha2(F.array_join("d.digest", ""), 256).alias("digest")))
+        if level.isEmpty():
+            return finished.join(files, owner)
+
+
 def _digested(files: DataFrame, existing: DataFrame) -> DataFrame:
     stored = existing.select("case_id", "filename", F.lit(True).alias("stored")).distinct()
     narrow = files.select(
