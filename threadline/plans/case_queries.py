@@ -211,16 +211,20 @@ def _(t: Inputs) -> DataFrame:
 # --- reports and integrity -----------------------------------------------------
 
 
-@query("report_stats", """SELECT c.case_id, a.n AS total_artifacts, a.d AS deleted_artifacts, a.n - a.d AS allocated_artifacts, b.txt AS category_breakdown, coalesce(o.n, 0) AS parsed_observations_count
-    FROM (SELECT DISTINCT case_id FROM artifacts) c
-    JOIN (SELECT case_id, count(*) AS n, count(*) FILTER (allocation_status = 'DELETED' OR category IN ('DELETED', 'DELETED_FILE')) AS d FROM artifacts GROUP BY 1) a ON a.case_id = c.case_id
-    JOIN (SELECT case_id, string_agg(category || '=' || n, ',' ORDER BY category || '=' || n) AS txt FROM (SELECT case_id, category, count(*) AS n FROM artifacts GROUP BY 1, 2) k GROUP BY 1) b ON b.case_id = c.case_id
-    LEFT JOIN (SELECT case_id, count(*) AS n FROM doc_obs GROUP BY 1) o ON o.case_id = c.case_id""", "artifacts doc_obs")
+@query("report_stats", """SELECT c.case_id, coalesce(a.n, 0) AS total_artifacts, coalesce(a.d, 0) AS deleted_artifacts, coalesce(a.n - a.d, 0) AS allocated_artifacts, coalesce(b.txt, '') AS category_breakdown, coalesce(o.n, 0) AS parsed_observations_count,
+      coalesce(e.n, 0) AS total_entities, coalesce(r.n, 0) AS total_relationships
+    FROM (SELECT DISTINCT case_id FROM artifacts UNION SELECT 'CASE-O') c
+    LEFT JOIN (SELECT case_id, count(*) AS n FROM nodes GROUP BY 1) e ON e.case_id = c.case_id LEFT JOIN (SELECT case_id, count(*) AS n FROM links GROUP BY 1) r ON r.case_id = c.case_id
+    LEFT JOIN (SELECT case_id, count(*) AS n, count(*) FILTER (allocation_status = 'DELETED' OR category IN ('DELETED', 'DELETED_FILE')) AS d FROM artifacts GROUP BY 1) a ON a.case_id = c.case_id
+    LEFT JOIN (SELECT case_id, string_agg(category || '=' || n, ',' ORDER BY category || '=' || n) AS txt FROM (SELECT case_id, category, count(*) AS n FROM artifacts GROUP BY 1, 2) k GROUP BY 1) b ON b.case_id = c.case_id
+    LEFT JOIN (SELECT case_id, count(*) AS n FROM doc_obs GROUP BY 1) o ON o.case_id = c.case_id""", "artifacts doc_obs nodes links")
 def _(t: Inputs) -> DataFrame:
+    """Cases with artifacts, and one that has entities and relationships instead."""
     artifacts = t.bound("artifacts")
-    cases = artifacts.select("case_id").distinct().withColumn("anchor_id", F.lit(None).cast("string"))
+    graph_case = t.bound("nodes").filter("case_id = 'CASE-O'").select("case_id")
+    cases = artifacts.select("case_id").unionByName(graph_case).distinct().withColumn("anchor_id", F.lit(None).cast("string"))
     found = gov.report_stats(artifacts, t.bound("nodes"), t.bound("links"), t.bound("doc_obs"), cases)
-    return found.drop("anchor_id", "total_entities", "total_relationships")
+    return found.drop("anchor_id")
 
 
 @query("report_samples", "SELECT case_id, artifact_id, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY artifact_id) AS rank FROM artifacts) a WHERE rank <= 15", "artifacts")

@@ -102,16 +102,15 @@ def _(t: Inputs) -> DataFrame:
     return graph.edge_schema_check(links, known).select("rel_id", "reject_reason")
 
 
-@query("provenance_records", """SELECT resource_type, count(*) AS records, count(DISTINCT case_id || resource_id) AS resources FROM (
-      SELECT 'ENTITY' AS resource_type, case_id, id AS resource_id FROM nodes
-      UNION ALL SELECT 'RELATIONSHIP', case_id, rel_id FROM (SELECT DISTINCT case_id, rel_id FROM links)
-      UNION ALL SELECT 'RELATIONSHIP_PAIR', case_id, 'PAIR:' || src_id || '->' || tgt_id FROM (SELECT DISTINCT case_id, src_id, tgt_id FROM links)) r GROUP BY 1""", "links nodes")
+@query("provenance_records", """SELECT 'ENTITY' AS resource_type, case_id, id AS resource_id, id AS named, NULL AS evidence_id FROM nodes
+      UNION ALL SELECT 'RELATIONSHIP', case_id, rel_id, rel_id, min(evidence_id) FROM links GROUP BY case_id, rel_id
+      UNION ALL SELECT 'RELATIONSHIP_PAIR', case_id, 'PAIR:' || src_id || '->' || tgt_id, min(rel_id), arg_min(evidence_id, rel_id) FROM links GROUP BY case_id, src_id, tgt_id""", "links nodes")
 def _(t: Inputs) -> DataFrame:
     entities = t.bound("nodes").withColumnRenamed("id", "canonical_entity_id")
     found = graph.provenance_records(entities, t.bound("links"))
-    return found.groupBy("resource_type").agg(
-        F.count(F.lit(1)).alias("records"), F.count_distinct(F.concat("case_id", "resource_id")).alias("resources")
-    )
+    part = lambda name: F.get_json_object("provenance", f"$.{name}")
+    named = F.when(F.col("resource_type") == "ENTITY", part("canonical_entity_id")).otherwise(part("rel_id"))
+    return found.select("resource_type", "case_id", "resource_id", named.alias("named"), part("evidence_id").alias("evidence_id"))
 
 
 @query("pair_provenance", """SELECT case_id, 'PAIR:' || src_id || '->' || tgt_id AS resource_id, min(rel_id) AS rel_id FROM links GROUP BY 1, 2""", "links")
@@ -310,11 +309,12 @@ def _(t: Inputs) -> DataFrame:
 
 @query("score_explain", f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 'Relationship Type Weight: ' || rel_type || ' (Base: ' || CASE rel_type WHEN 'CALLED' THEN 100 WHEN 'USED_PHONE' THEN 80 WHEN 'USED_VEHICLE' THEN 75 WHEN 'ASSOCIATED_WITH' THEN 65
       WHEN 'CONNECTED_TO' THEN 50 ELSE 40 END || '%)|Frequency Count: ' || frequency || ' interactions recorded|Recency: Recorded ' || printf('%.1f', days_elapsed) || ' days ago (Decay: '
-      || CAST(round_even(exp(-days_elapsed / 30e0) * 100, 0) AS INT) || '%)|Independent Sources: ' || source_count || ' distinct artifacts' AS explanation FROM ({_IN}) i""")
+      || CAST(round_even(exp(-days_elapsed / 30e0) * 100, 0) AS INT) || '%)|Independent Sources: ' || source_count || ' distinct artifacts|Entity Resolution Match Confidence: ' || CAST(round_even(er_confidence * 100, 0) AS INT)
+      || '%|Provenance Integrity: ' || CASE WHEN provenance_valid THEN 'Verified Cryptographic SHA-256' ELSE 'Unverified / Degraded' END AS explanation FROM ({_IN}) i""")
 def _(t: Inputs) -> DataFrame:
     names = ("rel_type", "frequency", "days_elapsed", "source_count", "er_confidence", "provenance_valid")
     lines = scoring.score_explain(*[F.col(name) for name in names])
-    return t.sql(_INPUTS).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.array_join(F.slice(lines, 1, 4), "|").alias("explanation"))
+    return t.sql(_INPUTS).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.array_join(lines, "|").alias("explanation"))
 
 
 @query("score_evaluate", f"""SELECT count(*) AS cases, count(*) FILTER (ok) AS passed, round(avg(ok::INT), 6) AS pass_rate FROM (SELECT {_ring('score')} = CASE WHEN rel_type = 'CALLED' THEN 'YELLOW' ELSE 'GREEN' END AND score >= 20 AS ok
@@ -501,9 +501,10 @@ def _(t: Inputs) -> DataFrame:
 
 
 @query("timestamp_summary", f"""SELECT case_id, count(*) AS total_events, CAST(min(epoch) AS BIGINT) AS earliest_timestamp, CAST(max(epoch) AS BIGINT) AS latest_timestamp,
-      strftime(to_timestamp(min(epoch)) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S') || '+00:00' AS earliest_iso FROM ({_STAMPS.replace('{events}', 'events')}) s WHERE epoch > 0 GROUP BY 1""")
+      strftime(to_timestamp(min(epoch)) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S') || '+00:00' AS earliest_iso,
+      strftime(to_timestamp(max(epoch)) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S') || '+00:00' AS latest_iso FROM ({_STAMPS.replace('{events}', 'events')}) s WHERE epoch > 0 GROUP BY 1""")
 def _(t: Inputs) -> DataFrame:
-    return analytics.timestamp_summary(t.sql(_STAMPS)).drop("latest_iso")
+    return analytics.timestamp_summary(t.sql(_STAMPS))
 
 
 @query("empty_case_summary", """SELECT c.case_id, n.n IS NULL OR e.e IS NULL AS is_empty, coalesce(n.n, 0) AS total_nodes, coalesce(e.e, 0) AS total_raw_edges,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -238,6 +240,18 @@ def _(t: Inputs) -> DataFrame:
     return edges.select("rel_id", "src_id", "tgt_id", "src_label", "tgt_label", "rel_label")
 
 
+@query("truth_graph_nodes", """SELECT 'P-' || p_partkey AS id, CASE WHEN p_size % 2 = 0 THEN 'Organization' ELSE 'Person' END AS entity_type, p_name AS canonical_name, CAST(1 AS BIGINT) AS observed_count FROM part
+    UNION ALL SELECT 'S-' || l_suppkey, 'Person', 'S-' || l_suppkey, 1 FROM lineitem GROUP BY l_suppkey""")
+def _(t: Inputs) -> DataFrame:
+    """Entities of the sheet, and the ends of relationships that it does not name."""
+    entities = t.sql("SELECT 'C' AS case_id, ' P-' || p_partkey AS entity_id, p_name || ' ' AS canonical_name, CASE WHEN p_size % 2 = 0 THEN 'Company' ELSE 'Person' END AS entity_type FROM {part}")
+    relations = t.sql("""SELECT 'C' AS case_id, 'R-' || l_orderkey AS relationship_id, 'P-' || l_partkey AS source_entity, 'S-' || l_suppkey AS target_entity,
+        'KNOWS' AS relationship_type, '' AS expected_confidence, 'EV' AS evidence_id FROM {lineitem} WHERE l_partkey IN (SELECT p_partkey FROM {part})
+        UNION ALL SELECT 'C', 'R-x', 'S-' || l_suppkey, 'S-' || l_suppkey, 'KNOWS', '', 'EV' FROM {lineitem}""")
+    nodes, _ = ledgers.truth_graph_load(entities, relations)
+    return nodes.select("id", "entity_type", "canonical_name", "observed_count")
+
+
 # --- keyed tables --------------------------------------------------------------
 
 
@@ -262,12 +276,22 @@ def _(t: Inputs) -> DataFrame:
 
 
 @query("delete_cascade", """SELECT 'artifacts' AS table_name, artifact_id AS row_id FROM artifacts WHERE case_id NOT IN ('CASE-src3', 'CASE-src7')
-    UNION ALL SELECT 'observations', observation_id FROM doc_obs WHERE case_id NOT IN ('CASE-src3', 'CASE-src7')""", "artifacts doc_obs")
+    UNION ALL SELECT 'observations', observation_id FROM doc_obs WHERE case_id NOT IN ('CASE-src3', 'CASE-src7')
+    UNION ALL SELECT 'jobs', 'JOB-' || doc_id FROM documents WHERE source NOT IN ('src3', 'src7')
+    UNION ALL SELECT 'evidence', 'EV-' || doc_id FROM documents WHERE source NOT IN ('src3', 'src7')
+    UNION ALL SELECT 'cases', 'CASE-' || source FROM documents WHERE source NOT IN ('src3', 'src7') GROUP BY source""", "artifacts doc_obs")
 def _(t: Inputs) -> DataFrame:
     gone = t.sql("SELECT DISTINCT 'CASE-' || source AS case_id FROM {documents} WHERE source IN ('src3', 'src7')")
-    kept = keyed.delete_cascade({"artifacts": t.bound("artifacts"), "observations": t.bound("doc_obs")}, gone)
-    left = kept["artifacts"].select(F.lit("artifacts").alias("table_name"), F.col("artifact_id").alias("row_id"))
-    return left.unionByName(kept["observations"].select(F.lit("observations").alias("table_name"), F.col("observation_id").alias("row_id")))
+    tables = {
+        "artifacts": t.bound("artifacts").select("case_id", F.col("artifact_id").alias("row_id")),
+        "observations": t.bound("doc_obs").select("case_id", F.col("observation_id").alias("row_id")),
+        "jobs": t.sql("SELECT 'CASE-' || source AS case_id, 'JOB-' || doc_id AS row_id FROM {documents}"),
+        "evidence": t.sql("SELECT 'CASE-' || source AS case_id, 'EV-' || doc_id AS row_id FROM {documents}"),
+        "cases": t.sql("SELECT DISTINCT 'CASE-' || source AS case_id, 'CASE-' || source AS row_id FROM {documents}"),
+    }
+    kept = keyed.delete_cascade(tables, gone)
+    parts = [df.select(F.lit(name).alias("table_name"), "row_id") for name, df in kept.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("delete_by_job", "SELECT artifact_id, nullif(processing_job_id, 'JOB-src6') AS processing_job_id FROM artifacts WHERE processing_job_id <> 'JOB-src5'", "artifacts")
@@ -288,14 +312,18 @@ def _(t: Inputs) -> DataFrame:
     return keyed.newest_per_owner(t.table("orders"), "o_custkey", "o_orderdate", "o_orderkey", 3).select("o_custkey", "o_orderkey", "rank")
 
 
-@query("bulk_graph_write", "SELECT rel_label, count(*) AS edges FROM links GROUP BY rel_label", "links")
+@query("bulk_graph_write", """SELECT 'edges' AS part, rel_label AS label, count(*) AS n, count(DISTINCT src_id || '>' || tgt_id) AS ids FROM links GROUP BY rel_label
+    UNION ALL SELECT 'nodes', entity_type, count(*), count(DISTINCT id) FROM nodes GROUP BY entity_type""", "links nodes")
 def _(t: Inputs) -> DataFrame:
     """Write the graph partitioned by label, read it back and count."""
     import uuid
 
     path = f"{ensure_checkpoint_dir(t.spark)}/threadline/graph-{uuid.uuid4().hex}"
     keyed.bulk_graph_write(t.bound("nodes"), t.bound("links"), path)
-    return t.spark.read.parquet(f"{path}/edges").groupBy("rel_label").agg(F.count(F.lit(1)).alias("edges"))
+    read = lambda part: t.spark.read.parquet(f"{path}/{part}")
+    edges = read("edges").select(F.lit("edges").alias("part"), F.col("rel_label").alias("label"), F.concat("src_id", F.lit(">"), "tgt_id").alias("id"))
+    nodes = read("nodes").select(F.lit("nodes").alias("part"), F.col("entity_type").alias("label"), "id")
+    return edges.unionByName(nodes).groupBy("part", "label").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids"))
 
 
 # --- files ---------------------------------------------------------------------
