@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threadline.functions.ordered import with_previous, with_row_number
+from threadline.session import cut_lineage
 from threadline.sources.keyed import keyed_upsert
 
 GENESIS = "0" * 64
@@ -216,6 +217,21 @@ def audit_append(events: DataFrame, chain: str, order: str, heads: DataFrame | N
     return ordered.mapInPandas(fold, out)
 
 
+def audit_append_segments(events: DataFrame, chain: str, segment: str, order: str) -> tuple[DataFrame, DataFrame]:
+    """Chain the events of every segment of a chain, and the segments among themselves.
+
+    A segment (a day, say) starts from the genesis hash and is one stream, so a long chain
+    is spread over as many tasks as it has segments.  The second table has one event per
+    segment, whose payload names the segment and its last hash; it is chained in order of
+    the segments and seals them.  Both tables can be verified in parallel.
+    """
+    key = F.to_json(F.struct(chain, segment))
+    log = cut_lineage(audit_append(events.withColumn("_segment_key", key), "_segment_key", order))
+    last = log.groupBy(chain, segment).agg(F.max_by("event_hash", order).alias("last_hash"), F.count(F.lit(1)).alias("events"))
+    seals = last.withColumn("payload", F.concat_ws(":", F.col(segment).cast("string"), F.col("events").cast("string"), "last_hash"))
+    return log.drop("_segment_key"), audit_append(seals, chain, segment)
+
+
 def audit_verify(log: DataFrame, chain: str, order: str) -> DataFrame:
     """Per chain: events, broken links, wrong hashes and validity; fully parallel."""
     linked = with_previous(log, [chain], [F.asc(order)], {"expected_previous": "event_hash"})
