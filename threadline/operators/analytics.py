@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadline.functions.ordered import with_row_number
-from threadline.session import bucketed, cut_lineage, discard
+from threadline.session import Pile, bucketed, cut_lineage, discard
 
 PAIR = ["case_id", "src_id", "tgt_id"]
 NODE = ["case_id", "id"]
@@ -235,7 +235,7 @@ def strong_labels(pairs: DataFrame, nodes: DataFrame | None = None) -> DataFrame
     open_nodes = cut_lineage(everyone)
     links = pairs.filter(F.col("src_id") != F.col("tgt_id")).select("case_id", F.col("src_id").alias("from_id"), F.col("tgt_id").alias("to_id"))
     links = cut_lineage(links)
-    parts = []
+    pile = Pile(everyone.select(*NODE, F.col("id").alias("component")))
     while not open_nodes.isEmpty():
         # Peel.
         while True:
@@ -245,7 +245,7 @@ def strong_labels(pairs: DataFrame, nodes: DataFrame | None = None) -> DataFrame
             peeled = cut_lineage(open_nodes.join(kept, NODE, "left_anti"))
             if peeled.isEmpty():
                 break
-            parts.append(peeled.select(*NODE, F.col("id").alias("component")))
+            pile.add(peeled.select(*NODE, F.col("id").alias("component")))
             open_nodes = kept
             links = _inside(links, kept)
         if open_nodes.isEmpty():
@@ -258,13 +258,10 @@ def strong_labels(pairs: DataFrame, nodes: DataFrame | None = None) -> DataFrame
         seed = colour.select(*NODE, F.when(F.col("id") == F.col("label"), 1).otherwise(0).alias("label"))
         back = _spread(seed, within, "max").filter("label = 1").select(*NODE)
         taken = cut_lineage(colour.join(back, NODE, "left_semi").select(*NODE, F.col("label").alias("component")))
-        parts.append(taken)
+        pile.add(taken)
         open_nodes = cut_lineage(open_nodes.join(taken, NODE, "left_anti"))
         links = _inside(links, open_nodes)
-    result = parts[0] if parts else everyone.select(*NODE, F.col("id").alias("component"))
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    return pile.rows()
 
 
 def _inside(links: DataFrame, nodes: DataFrame) -> DataFrame:

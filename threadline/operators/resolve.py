@@ -24,7 +24,7 @@ from threadline.functions.similarity import (
     match_class,
     similarity,
 )
-from threadline.session import cut_lineage
+from threadline.session import Pile, cut_lineage, discard
 
 GROUP = ["case_id", "entity_type"]
 # Below this threshold the edit budget exceeds what segments can cover.
@@ -176,7 +176,8 @@ def _find_roots(values: DataFrame, links: DataFrame) -> DataFrame:
     roots = values.select(*key).join(later, key, "left_anti")
     fresh = roots
     open_links = links.select(*GROUP, "later", "earlier")
-    rounds = []
+    pile = Pile(roots)
+    pile.add(roots)
     while not open_links.isEmpty():
         heads = fresh.withColumnRenamed("value", "earlier")
         joined = open_links.join(heads, [*GROUP, "earlier"], "left_semi")
@@ -186,12 +187,11 @@ def _find_roots(values: DataFrame, links: DataFrame) -> DataFrame:
         rest = open_links.join(merged.withColumnRenamed("value", "later"), [*GROUP, "later"], "left_anti")
         rest = cut_lineage(rest.join(merged.withColumnRenamed("value", "earlier"), [*GROUP, "earlier"], "left_anti"))
         waiting = rest.select(*GROUP, F.col("later").alias("value")).distinct()
-        fresh = cut_lineage(undecided.join(waiting, key, "left_anti"))
-        rounds.append(fresh)
+        before, fresh = fresh, cut_lineage(undecided.join(waiting, key, "left_anti"))
+        pile.add(fresh)
+        discard(before, open_links)
         open_links = rest
-    for part in rounds:
-        roots = roots.unionByName(part)
-    return roots
+    return pile.rows()
 
 
 def resolve_values(values: DataFrame, fuzzy_types: Sequence[str] | None = None) -> DataFrame:

@@ -81,6 +81,26 @@ def bucketed(df: DataFrame, *keys: str) -> DataFrame:
     return written
 
 
+class Pile:
+    """Rows gathered round by round in one folder and read back as one table.
+
+    However many rounds a loop takes, the plan of the result is a single scan.
+    """
+
+    def __init__(self, like: DataFrame) -> None:
+        self.spark, self.schema = like.sparkSession, like.schema
+        self.path = f"{_state_root(self.spark)}/{uuid.uuid4().hex}"
+        like.limit(0).write.parquet(self.path)
+
+    def add(self, rows: DataFrame) -> None:
+        rows.select(*self.schema.names).write.mode("append").parquet(self.path)
+
+    def rows(self) -> DataFrame:
+        gathered = self.spark.read.schema(self.schema).parquet(self.path)
+        gathered.state_path = self.path
+        return gathered
+
+
 def discard(*states: DataFrame) -> None:
     """Delete the written copies of states that were replaced; others are left alone."""
     for state in states:
