@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadline.session import cut_lineage
+from threadline.session import cut_lineage, discard
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -29,7 +29,8 @@ def components(links: DataFrame) -> DataFrame:
         stars = small.select(F.col("m").alias("a"), F.col("v").alias("b")).unionByName(
             least.select(F.col("m").alias("a"), F.col("u").alias("b"))
         )
-        links = cut_lineage(stars.filter("a <> b").distinct())
+        before, links = links, cut_lineage(stars.filter("a <> b").distinct())
+        discard(before)
         seen = links.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("h")).first()
         if seen == mark:
             break
