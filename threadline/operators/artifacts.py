@@ -51,6 +51,7 @@ def artifact_classify(name: Column, raw_type: Column, raw_mime: Column | None =
             F.lit(viewer).alias("viewer"),
         )
 
+    # Categories, MIME types and viewers.
     binary = "application/octet-stream"
     default_mime = F.coalesce(F.nullif(raw_mime, F.lit("")), F.lit(binary)) if raw_mime is not None else F.lit(binary)
     picture = (

@@ -65,7 +65,7 @@ def owner_resolution(requests: DataFrame, bindings: DataFrame, evidence: DataFra
 
 
 def access_decisions(requests: DataFrame, grants: DataFrame) -> DataFrame:
-    """Decision and reason per request, rules in fixed order.
+    """Decision and reason per request, rules in fixed order; the reason texts are fixed values.
 
     ``requests`` has (request_id, user_id, role, court_level, action, resource_id,
     target_case_id, target_case_status, owner_case_id); ``grants`` (user_id, case_id).

@@ -63,7 +63,7 @@ def priority_label(ring_name: Column) -> Column:
 def score_explain(
     relation: Column, frequency: Column, days: Column, sources: Column, confidence: Column, provenance_ok: Column
 ) -> Column:
-    """Six sentences that show what went into the score."""
+    """Six sentences that show what went into the score; their texts are fixed values."""
     def percent(value: Column) -> Column:
         return F.concat(F.bround(value * 100, 0).cast("int").cast("string"), F.lit("%"))
 

@@ -26,6 +26,7 @@ OBSERVATION = T.StructType(
 NODE_LABELS = ["Person", "PhoneNumber", "Email", "Vehicle", "Location", "Organization", "BankAccount"]
 
 # Legal (relationship, source label, target label) triples, in reading order.
+# USED_VEHICLE is stored but was not read; it is listed here so that it is.
 EDGE_TRIPLES = [
     ("COMMUNICATED_WITH", "Email", "Email"),
     ("COMMUNICATED_WITH", "Person", "Person"),

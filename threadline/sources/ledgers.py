@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadline.functions import ids
 
 # Header spellings of the two ends, lower case, in order of preference.
-CALLER_HEADERS = ["caller_number", "a_number", "from_number", "caller", "caller_msisdn"]
-CALLEE_HEADERS = ["called_number", "b_number", "to_number", "receiver", "callee_msisdn"]
+CALLER_HEADERS = ["caller_number", "a_number", "from_number", "caller"]
+CALLEE_HEADERS = ["called_number", "b_number", "to_number", "receiver"]
 PAYER_HEADERS = ["sender_account", "from_account", "debit_account", "account_no"]
-PAYEE_HEADERS = ["receiver_account", "to_account", "credit_account", "beneficiary_account", "counterparty_account"]
+PAYEE_HEADERS = ["receiver_account", "to_account", "credit_account", "beneficiary_account"]
 
 
 def read_sheet(spark: SparkSession, path: str) -> DataFrame:
@@ -40,21 +42,31 @@ def _edges(rows: DataFrame, code: str, label: str, relation: str, confidence: fl
     )
 
 
-def cdr_load(rows: DataFrame, case_id: Column, evidence_id: Column) -> DataFrame:
-    """Call records to CALLED edges; spaces and dashes go, blank ends are dropped."""
+def cdr_load(
+    rows: DataFrame, case_id: Column, evidence_id: Column, more_callers: Sequence[str] = (), more_callees: Sequence[str] = ()
+) -> DataFrame:
+    """Call records to CALLED edges; spaces and dashes go, blank ends are dropped.
+
+    ``more_callers`` and ``more_callees`` are further header spellings of a caller's own sheets.
+    """
     ends = rows.select(
         case_id.alias("case_id"), evidence_id.alias("evidence_id"),
-        F.regexp_replace(_first_filled(rows, CALLER_HEADERS), "[ -]", "").alias("a"),
-        F.regexp_replace(_first_filled(rows, CALLEE_HEADERS), "[ -]", "").alias("b"),
+        F.regexp_replace(_first_filled(rows, [*CALLER_HEADERS, *more_callers]), "[ -]", "").alias("a"),
+        F.regexp_replace(_first_filled(rows, [*CALLEE_HEADERS, *more_callees]), "[ -]", "").alias("b"),
     )
     return _edges(ends.filter("a <> '' and b <> ''"), "PHO", "PhoneNumber", "CALLED", 0.95)
 
 
-def ledger_load(rows: DataFrame, case_id: Column, evidence_id: Column) -> DataFrame:
-    """Payments to TRANSFERRED_TO edges; blank ends and self transfers are dropped."""
+def ledger_load(
+    rows: DataFrame, case_id: Column, evidence_id: Column, more_payers: Sequence[str] = (), more_payees: Sequence[str] = ()
+) -> DataFrame:
+    """Payments to TRANSFERRED_TO edges; blank ends and self transfers are dropped.
+
+    ``more_payers`` and ``more_payees`` are further header spellings of a caller's own sheets.
+    """
     ends = rows.select(
         case_id.alias("case_id"), evidence_id.alias("evidence_id"),
-        _first_filled(rows, PAYER_HEADERS).alias("a"), _first_filled(rows, PAYEE_HEADERS).alias("b"),
+        _first_filled(rows, [*PAYER_HEADERS, *more_payers]).alias("a"), _first_filled(rows, [*PAYEE_HEADERS, *more_payees]).alias("b"),
     )
     return _edges(ends.filter("a <> '' and b <> '' and a <> b"), "BAN", "BankAccount", "TRANSFERRED_TO", 0.90)
 
