@@ -3,9 +3,10 @@
 Two heads share the method: ``poor`` (label quality 0) and ``toxic`` (label toxic 1).
 
 1. Evidence of a document: marks are its distinct words and the bins of a few ratios.
-   Log-likelihood ratios of the marks come from labelled documents; only marks whose
-   rates differ significantly between the classes count.  They are fitted on a bounded
-   sample of labelled documents (``FIT_ROWS`` expected, chosen by a hash of the id).
+   Marks whose rates differ significantly between the classes enter a ridge logistic
+   regression, which weighs marks that come together only once; its log-odds less those
+   of the sample's rate are the evidence.  It is fitted on a bounded sample of labelled
+   documents (``FIT_ROWS`` expected, chosen by a hash of the id).
 2. Sites: a host (default: the source) holds paths (default: source and language).  Every document
    counts for its host and path, with its label if it has one, else with its evidence at
    a lower weight.  The spread between hosts, and between paths of a host, gives the
@@ -29,22 +30,25 @@ import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threadline.llm.common import logit, named, same, whole_row
-from threadline.session import cut_lineage
+from threadline.llm.common import logit, named, same, small_batches, whole_row
+from threadline.session import cut_lineage, discard
 
 #: Expected number of labelled documents the marks are fitted on.
 FIT_ROWS = 20_000
 #: Most marks kept for a head, the most significant first.
-MARKS = 20_000
+MARKS = 4_000
 #: A word counts if its rates differ by so many standard errors; bins are few and need less.
 SIGNIFICANT, BIN_SIGNIFICANT = 5.0, 3.0
-#: Largest log-likelihood ratio of one mark and of one document.
-MARK_BOUND, DOC_BOUND = 6.0, 12.0
+#: Largest evidence of one document.
+DOC_BOUND = 12.0
+#: Ridge penalty and passes of the regression.
+RIDGE, PASSES = 0.2, 300
 #: Weight of an unlabelled document in its site's counts.
 SOFT = 0.25
 #: Rejected above this posterior.
@@ -87,9 +91,13 @@ def _marks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 @dataclass
 class Model:
-    """Log-likelihood ratios of the marks, and the global rate, of each head; a head that cannot be fitted is None."""
+    """For each head the weights of the marks, the evidence of a document without any, and the global rate.
 
-    ratios: dict[str, dict[str, float]]
+    A head that cannot be fitted has no rate.
+    """
+
+    weights: dict[str, dict[str, float]]
+    base: dict[str, float]
     rates: dict[str, float | None]
 
 
@@ -117,28 +125,60 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
         F.count(F.lit(1)).alias("n"), *[F.sum(h).alias(h) for h in HEADS]
     )
     counts = cut_lineage(counts.filter("n >= 5"))
-    ratios: dict[str, dict[str, float]] = {}
+    chosen_marks: dict[str, list[str]] = {}
     for h in HEADS:
         n1, n0 = sizes[h], sizes["n"] - sizes[h]
         if not n1 or not n0:
-            ratios[h], rates[h] = {}, None
+            chosen_marks[h], rates[h] = [], None
             continue
         p1 = (F.col(h) + 0.5) / F.lit(n1 + 1.0)
         p0 = (F.col("n") - F.col(h) + 0.5) / F.lit(n0 + 1.0)
         both = (F.col("n") + 1.0) / F.lit(sizes["n"] + 2.0)
         z = F.abs(p1 - p0) / F.sqrt(both * (F.lit(1.0) - both) * F.lit(1 / n1 + 1 / n0))
-        ratio = F.greatest(F.lit(-MARK_BOUND), F.least(F.lit(MARK_BOUND), F.log(p1 / p0)))
-        best = counts.select("mark", z.alias("z"), ratio.alias("ratio")).filter(
-            F.col("z") >= F.when(F.col("mark").startswith(" "), F.lit(BIN_SIGNIFICANT)).otherwise(F.lit(SIGNIFICANT))
-        )
-        best = best.orderBy(F.desc("z"), "mark").limit(MARKS)
-        ratios[h] = {row["mark"]: row["ratio"] for row in best.collect()}
-    return Model(ratios, rates)
+        least = F.when(F.col("mark").startswith(" "), F.lit(BIN_SIGNIFICANT)).otherwise(F.lit(SIGNIFICANT))
+        best = counts.select("mark", z.alias("z")).filter(F.col("z") >= least).orderBy(F.desc("z"), "mark").limit(MARKS)
+        chosen_marks[h] = [row["mark"] for row in best.collect()]
+    places = {mark: i for i, mark in enumerate(sorted({m for marks in chosen_marks.values() for m in marks}))}
+
+    @F.pandas_udf("array<int>")
+    def placed(marks: pd.Series) -> pd.Series:
+        return pd.Series([sorted(places[m] for m in row if m in places) for row in marks], dtype=object)
+
+    # The bounded sample, as places of its marks.
+    rows_ = seen.select(*HEADS, placed("marks").alias("at")).collect()
+    at = [row["at"] for row in rows_]
+    model = Model({}, {}, rates)
+    for h in HEADS:
+        own = {places[m] for m in chosen_marks[h]}
+        weights, bias = ({}, 0.0) if rates[h] is None else _regress(at, [row[h] for row in rows_], own)
+        names = list(places)
+        model.weights[h] = {names[i]: w for i, w in weights.items()}
+        model.base[h] = bias - _odds(sizes[h] / sizes["n"]) if rates[h] is not None else 0.0
+    discard(seen, counts)
+    return model
+
+
+def _regress(at: list[list[int]], outcomes: list[int], own: set[int]) -> tuple[dict[int, float], float]:
+    """Weights by place and bias of a ridge logistic regression on 0/1 marks, by Adam over the whole sample."""
+    column = {place: i for i, place in enumerate(sorted(own))}
+    pairs = [(r, column[p]) for r, places in enumerate(at) for p in places if p in column]
+    row, col = (np.array(x, np.int64) for x in (zip(*pairs, strict=True) if pairs else ((), ())))
+    y, n, width = np.asarray(outcomes, float), len(at), len(column)
+    w = np.zeros(width + 1)
+    w[-1] = _odds(y.mean())
+    first, second = np.zeros(width + 1), np.zeros(width + 1)
+    for step in range(1, PASSES + 1):
+        odds = w[-1] + np.bincount(row, w[col], n)
+        miss = 1 / (1 + np.exp(-np.clip(odds, -30, 30))) - y
+        slope = np.append(np.bincount(col, miss[row], width) + RIDGE * w[:-1], miss.sum()) / n
+        first, second = 0.9 * first + 0.1 * slope, 0.99 * second + 0.01 * slope * slope
+        w -= 0.1 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
+    return {place: float(w[i]) for place, i in column.items()}, float(w[-1])
 
 
 def evidence(docs: DataFrame, model: Model, keep: Sequence[str] | None, text_column: str = "text", **keys: Column) -> DataFrame:
-    """(doc, the keys, one log-likelihood ratio per head)."""
-    ratios = model.ratios
+    """(doc, the keys, one evidence per head)."""
+    weights, base = model.weights, model.base
 
     @F.pandas_udf(", ".join(f"{h} double" for h in HEADS))
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -146,7 +186,7 @@ def evidence(docs: DataFrame, model: Model, keep: Sequence[str] | None, text_col
             found = []
             for text in texts:
                 marks = marks_of(text)
-                sums = [math.fsum(map(ratios[h].get, filter(ratios[h].__contains__, marks))) for h in HEADS]
+                sums = [base[h] + math.fsum(map(weights[h].get, filter(weights[h].__contains__, marks))) for h in HEADS]
                 found.append([max(-DOC_BOUND, min(DOC_BOUND, s)) for s in sums])
             yield pd.DataFrame(found, columns=list(HEADS), dtype="float64")
 
@@ -215,6 +255,7 @@ def classify(
     ``narrow`` writes the evidence of the kept columns once.  Without it the evidence is
     computed again when the verdict is read, so that no text is written or shuffled.
     """
+    small_batches(docs.sparkSession)
     host = named("source") if host is None else host
     path = named("lang") if path is None else path
     model = fit(docs, labels, id_column, text_column, rows)
