@@ -109,11 +109,20 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     revisits = heads.filter("revisit").select("id", "key", "lines")
     linked = revisits.alias("v").join(asof.distinct().alias("a"), F.col("v.id").eqNullSafe(F.col("a.id")), "left")
     linked = linked.select("v.id", "v.key", "v.lines", "a.refers_to")
+    linked = cut_lineage(linked)
     stored = records.filter(F.coalesce(full, F.lit(False))).select(
         F.col("record_id").alias("refers_to"), lines.alias("stored"), "payload"
     )
-    stored = stored.dropDuplicates(["refers_to"])
-    joined = linked.join(stored, "refers_to", "left")
+    # Only ids that do repeat pass an aggregation; the join after it stays one that Spark can split
+    # where very many revisits refer to one response.
+    repeated = cut_lineage(stored.groupBy("refers_to").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("refers_to"))
+    once = stored.join(repeated, "refers_to", "left_anti").unionByName(
+        stored.join(repeated, "refers_to", "left_semi").dropDuplicates(["refers_to"])
+    )
+    # Orphans stay out of the join: as null keys they would all meet in one task.
+    joined = linked.filter("refers_to is not null").join(once, "refers_to", "left")
+    orphans = linked.filter("refers_to is null")
+    joined = joined.unionByName(orphans, allowMissingColumns=True)
     tag = lambda c: F.regexp_replace(header(F.col(c), "etag"), r"^W/", "")
     since = lambda c: header(F.col(c), "last-modified")
     agrees = F.coalesce(tag("lines") == tag("stored"), since("lines") == since("stored"))
