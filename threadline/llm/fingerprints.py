@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadline.llm.common import named
+from threadline.llm.common import named, small_batches
 from threadline.session import cut_lineage
 
 RADIUS = 3
@@ -135,6 +135,7 @@ def fingerprint_pairs(docs: DataFrame, id_column: str = "doc_id", text_column: s
 
     ``slices`` is a number of tasks, four for each shuffle partition if not given.  Ids are integers.
     """
+    small_batches(docs.sparkSession)
     slices = slices or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return _dealt(docs, id_column, text_column, slices).mapInArrow(_pair_batches, PAIR_SCHEMA)
 
@@ -171,5 +172,7 @@ def near_counts(pairs: DataFrame, asked: Column, radius: int = RADIUS, blocks: i
     prints = cut_lineage(pairs.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.max(asked).alias("asked")))
     found = search(prints.select("fp"), prints.filter("asked").select(F.col("fp").alias("query")), radius, blocks)
     counted = found.join(prints.select("fp", "n"), "fp").groupBy("query").agg((F.sum("n") - 1).alias("n_near"))
-    joined = pairs.withColumn("query", F.when(asked, F.col("fp"))).join(counted, "query", "left")
-    return joined.drop("query")
+    # Rows not asked for stay out of the join: as null keys they would all meet in one task.
+    answered = pairs.filter(asked).join(counted.withColumnRenamed("query", "fp"), "fp", "left").select(*pairs.columns, "n_near")
+    rest = pairs.filter(~F.coalesce(asked, F.lit(False))).withColumn("n_near", F.lit(None).cast("long"))
+    return answered.unionByName(rest)
