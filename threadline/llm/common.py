@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space; everything between is a word.
@@ -36,5 +36,15 @@ def same(left: str, right: str, columns: Iterable[str]) -> Column:
     return condition
 
 
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Hand at most so many texts to a Python worker at a time, so that its memory stays small.
+
+    A session that asks for fewer keeps its own number.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def logit(p: Column) -> Column:
     return F.log(p / (F.lit(1.0) - p))

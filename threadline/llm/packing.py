@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadline.llm.common import named, same, whole_row
+from threadline.llm.common import named, same, small_batches, whole_row
 from threadline.llm.tokens import encoder
 from threadline.session import cut_lineage
 
@@ -38,6 +38,7 @@ def token_pieces(
     text_column: str = "text",
 ) -> DataFrame:
     """(doc, piece, start, length, ids): documents as pieces of at most ``capacity`` ids, little-endian 32-bit."""
+    small_batches(docs.sparkSession)
     end = end_id.to_bytes(4, "little")
 
     @F.pandas_udf("binary")

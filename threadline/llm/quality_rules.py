@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threadline.llm.common import BLANKS, named, same, whole_row
+from threadline.llm.common import BLANKS, named, same, small_batches, whole_row
 from threadline.session import cut_lineage
 
 RISK = 0.02
@@ -151,6 +151,7 @@ def judge(
     ``narrow`` writes the counts of the kept columns once; without it, texts are carried
     along and measured again when the verdict is read, so that none is written twice.
     """
+    small_batches(docs.sparkSession)
     columns = list(docs.columns if keep is None else keep)
     rows = docs.select(
         F.struct(*[named(c) for c in columns]).alias("doc"), named(id_column).alias("id"),

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threadline.llm.common import named, same, whole_row
+from threadline.llm.common import named, same, small_batches, whole_row
 from threadline.llm.components import components
 from threadline.session import cut_lineage
 
@@ -107,6 +107,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     (component_id, first_fp) names one document of the component: the smallest id and
     the smallest fingerprint under that id.
     """
+    small_batches(docs.sparkSession)
     rows = cut_lineage(docs.select(named(id_column).alias("doc_id"), fingerprint(named(text_column)).alias("fp")))
     # Nulls go last, so that a component with any id is named by one.
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp"))

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadline.llm.common import named, whole_row
+from threadline.llm.common import named, small_batches, whole_row
 from threadline.llm.tokens import counter
 
 LIMIT = 512
@@ -42,6 +42,7 @@ def count_tokens(
     docs: DataFrame, path: str, keep: Sequence[str] | None = None, limit: int = LIMIT, text_column: str = "text"
 ) -> DataFrame:
     """(doc, n_bytes, n_tokens, over_limit); ``doc`` holds the columns named by ``keep``, default all."""
+    small_batches(docs.sparkSession)
     text = F.coalesce(named(text_column), F.lit(""))
     counted = docs.select(
         whole_row(docs, keep).alias("doc"), F.octet_length(text).cast("long").alias("n_bytes"), token_counter(path)(text).alias("n_tokens")
