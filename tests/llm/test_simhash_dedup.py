@@ -93,6 +93,14 @@ def test_long_text_in_blocks(spark):
     assert dedup.fingerprint_of(text) & (2**64 - 1) == print_by_hand(text)
 
 
+def test_no_shingle_is_lost_between_blocks():
+    # Seeds whose bits are so even that one shingle less after a block changes the fingerprint.
+    for n, seed in ((dedup.BLOCK + 1, 3), (dedup.BLOCK + 1, 9), (2 * dedup.BLOCK + 2, 9), (2 * dedup.BLOCK + 2, 30)):
+        rng = random.Random(seed)
+        text = " ".join(f"w{rng.randrange(10**6)}" for _ in range(n + 2))
+        assert dedup.fingerprint_of(text) & (2**64 - 1) == print_by_hand(text), n
+
+
 def test_null_ids_only(spark):
     frame = spark.createDataFrame([(None, "a b c d"), (None, "a b c d"), (None, "z")], "doc_id long, text string")
     found = dedup.near_duplicates(frame).collect()

@@ -22,6 +22,7 @@ Defined results
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -55,7 +56,7 @@ def fingerprint_of(text: str | None) -> int:
     if not words:
         return 0
     hashes, counts, n = _hashes(words), np.zeros(64, np.int64), 0
-    while len(block := np.fromiter((h for h, _ in zip(hashes, range(BLOCK))), np.uint64)):  # noqa: B905
+    while len(block := np.fromiter(islice(hashes, BLOCK), np.uint64)):
         counts += np.unpackbits(block.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
         n += len(block)
         if len(block) < BLOCK:
