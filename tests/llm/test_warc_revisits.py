@@ -57,6 +57,18 @@ def test_hot_url_over_many_slices(spark):
     assert all(r.outcome == "resolved" and r.payload == f"p{int(k[1:])}" for k, r in found.items())
 
 
+def test_null_and_repeated_ids(spark):
+    rows = [full("r1", "http://a.org/", 1, 'ETag: "a"', "old"), full(None, "http://a.org/", 2, 'ETag: "a"', "new")]
+    rows += [full(None, "http://b.org/", 1, 'ETag: "b"', "other")]
+    rows += [again(None, "http://a.org/", 5, 'ETag: "a"'), again(None, "http://b.org/", 5, 'ETag: "b"')]
+    rows += [again("v", "http://a.org/", 6, 'ETag: "a"'), again("v", "http://b.org/", 6, 'ETag: "b"'), again("v", "http://c.org/", 6, "")]
+    found = warc.resolve_revisits(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r.record_id or "", r.url_key, r.outcome, r.payload or "") for r in found) == [
+        ("", "a.org", "resolved", "new"), ("", "b.org", "resolved", "other"),
+        ("v", "a.org", "resolved", "new"), ("v", "b.org", "resolved", "other"), ("v", "c.org", "orphan", ""),
+    ]
+
+
 def test_empty(spark):
     assert resolved(spark, []) == {}
 

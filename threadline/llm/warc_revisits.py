@@ -14,6 +14,7 @@ Defined results
   ``orphan``: no earlier response.  Only ``resolved`` revisits get payload and headers.
 * A null URL or date makes an orphan.  Malformed header lines are left out; of repeated
   header names all lines count when merging, the first as validator.
+* Ids may be null or repeat: revisits and responses are told apart by URL, date and id.
 * A repeated response counts once; repeated revisits are resolved one by one; an empty table gives an empty result.
 """
 
@@ -72,7 +73,8 @@ def merged_headers(stored: Column, fresh: Column) -> Column:
 
 
 def latest_earlier(rows: DataFrame) -> DataFrame:
-    """``rows`` (key, date, full, id, ...) with ``target``: id of the last full row of the key with a smaller date.
+    """``rows`` (key, date, full, id, ...) with ``found``, ``target_date``, ``target``: is there a full row of
+    the key with a smaller date, and the date and id of the last.
 
     Keys are cut into slices of the date order, so a hot key spans many tasks; each
     slice hands its last full row to the next.
@@ -87,8 +89,10 @@ def latest_earlier(rows: DataFrame) -> DataFrame:
     across = Window.partitionBy("key").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     ends = ends.select(*group, F.last("end", ignorenulls=True).over(across).alias("before"))
     joined = parts.withColumn("local", local).alias("r").join(ends.alias("e"), same("r", "e", group))
-    target = F.coalesce(F.col("r.local.id"), F.col("e.before.id"))
-    return joined.select(*[F.col(f"r.{c}") for c in rows.columns], target.alias("target"))
+    # The structs tell whether there is a response, also where its id is null.
+    of = lambda c: F.when(F.col("r.local").isNotNull(), F.col(f"r.local.{c}")).otherwise(F.col(f"e.before.{c}"))
+    found = F.col("r.local").isNotNull() | F.col("e.before").isNotNull()
+    return joined.select(*[F.col(f"r.{c}") for c in rows.columns], found.alias("found"), of("date").alias("target_date"), of("id").alias("target"))
 
 
 def resolve_revisits(records: DataFrame) -> DataFrame:
@@ -105,29 +109,40 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     )
     timed = heads.filter("(full or revisit) and key is not null and date is not null")
     asof = latest_earlier(timed.select("key", "date", "full", "id", "revisit"))
-    asof = asof.filter("revisit").select("id", F.col("target").alias("refers_to"))
-    revisits = heads.filter("revisit").select("id", "key", "lines")
-    linked = revisits.alias("v").join(asof.distinct().alias("a"), F.col("v.id").eqNullSafe(F.col("a.id")), "left")
-    linked = linked.select("v.id", "v.key", "v.lines", "a.refers_to")
+    # Revisits of one key, date and id have one response, so they may share its row.
+    asof = asof.filter("revisit").select("key", "date", "id", "found", F.col("target_date").alias("stored_date"), F.col("target").alias("refers_to")).distinct()
+    revisits = heads.filter("revisit").select("key", "date", "id", "lines")
+    linked = revisits.alias("v").join(
+        asof.alias("a"),
+        (F.col("v.key") == F.col("a.key")) & (F.col("v.date") == F.col("a.date")) & F.col("v.id").eqNullSafe(F.col("a.id")), "left",
+    )
+    linked = linked.select("v.id", "v.key", "v.lines", F.coalesce("a.found", F.lit(False)).alias("found"), "a.stored_date", "a.refers_to")
     linked = cut_lineage(linked)
     stored = records.filter(F.coalesce(full, F.lit(False))).select(
-        F.col("record_id").alias("refers_to"), lines.alias("stored"), "payload"
-    )
-    # Only ids that do repeat pass an aggregation; the join after it stays one that Spark can split
+        canonical_url(F.col("target_uri")).alias("stored_key"), F.col("date").alias("stored_date"), F.col("record_id").alias("refers_to"),
+        lines.alias("stored"), "payload",
+    ).filter("stored_key is not null and stored_date is not null")
+    # Only responses that do repeat pass an aggregation; the join after it stays one that Spark can split
     # where very many revisits refer to one response.
-    repeated = cut_lineage(stored.groupBy("refers_to").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("refers_to"))
-    once = stored.join(repeated, "refers_to", "left_anti").unionByName(
-        stored.join(repeated, "refers_to", "left_semi").dropDuplicates(["refers_to"])
+    place = ["stored_key", "stored_date", "refers_to"]
+    repeated = cut_lineage(stored.groupBy(*place).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*place))
+    again = same("s", "t", place)
+    once = stored.alias("s").join(repeated.alias("t"), again, "left_anti").unionByName(
+        stored.alias("s").join(repeated.alias("t"), again, "left_semi").dropDuplicates(place)
     )
     # Orphans stay out of the join: as null keys they would all meet in one task.
-    joined = linked.filter("refers_to is not null").join(once, "refers_to", "left")
-    orphans = linked.filter("refers_to is null")
+    joined = linked.filter("found").alias("l").join(
+        once.alias("s"),
+        (F.col("l.key") == F.col("s.stored_key")) & (F.col("l.stored_date") == F.col("s.stored_date"))
+        & F.col("l.refers_to").eqNullSafe(F.col("s.refers_to")), "left",
+    ).select("l.id", "l.key", "l.lines", "l.found", "l.refers_to", "s.stored", "s.payload")
+    orphans = linked.filter("not found").drop("stored_date")
     joined = joined.unionByName(orphans, allowMissingColumns=True)
     tag = lambda c: F.regexp_replace(header(F.col(c), "etag"), r"^W/", "")
     since = lambda c: header(F.col(c), "last-modified")
     agrees = F.coalesce(tag("lines") == tag("stored"), since("lines") == since("stored"))
     outcome = (
-        F.when(F.col("refers_to").isNull(), "orphan").when(agrees.isNull(), "unverified").when(agrees, "resolved").otherwise("changed")
+        F.when(~F.col("found"), "orphan").when(agrees.isNull(), "unverified").when(agrees, "resolved").otherwise("changed")
     )
     joined = joined.withColumn("outcome", outcome)
     ok = F.col("outcome") == "resolved"
