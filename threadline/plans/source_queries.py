@@ -366,7 +366,7 @@ def _(t: Inputs) -> DataFrame:
 
 _INCOMING = """SELECT 'CASE-' || source AS case_id, 'EV-' || doc_id AS evidence_id, 'f' || (doc_id - doc_id % 40) AS filename,
     CAST(CASE WHEN doc_id % 9 = 0 THEN '' ELSE text END AS BINARY) AS content FROM {documents}"""
-_STORED = "SELECT 'CASE-' || source AS case_id, 'f' || (doc_id - doc_id % 40) AS filename FROM {documents} WHERE doc_id % 7 = 0"
+_STORED_FILES = "SELECT 'CASE-' || source AS case_id, 'f' || (doc_id - doc_id % 40) AS filename FROM {documents} WHERE doc_id % 7 = 0"
 _NEW_FILES = """(SELECT d.*, s.doc_id IS NOT NULL AS stored, row_number() OVER (PARTITION BY d.source, d.doc_id - d.doc_id % 40 ORDER BY d.doc_id % 9 = 0, 'EV-' || d.doc_id) AS n
     FROM documents d LEFT JOIN (SELECT source, doc_id - doc_id % 40 AS k, min(doc_id) AS doc_id FROM documents WHERE doc_id % 7 = 0 GROUP BY 1, 2) s
       ON s.source = d.source AND s.k = d.doc_id - d.doc_id % 40) f"""
@@ -376,13 +376,13 @@ _NEW_FILES = """(SELECT d.*, s.doc_id IS NOT NULL AS stored, row_number() OVER (
     FROM {_NEW_FILES} WHERE NOT stored AND doc_id % 9 <> 0 AND n = 1""")
 def _(t: Inputs) -> DataFrame:
     """Several new files share a name, some are empty, some names are stored already."""
-    return files.evidence_register(t.sql(_INCOMING), t.sql(_STORED)).select("evidence_id", "size_bytes", "sha256", "md5")
+    return files.evidence_register(t.sql(_INCOMING), t.sql(_STORED_FILES)).select("evidence_id", "size_bytes", "sha256", "md5")
 
 
 @query("evidence_rejects", f"""SELECT 'EV-' || doc_id AS evidence_id, CASE WHEN doc_id % 9 = 0 THEN 'EMPTY' WHEN stored THEN 'ALREADY_STORED' ELSE 'SAME_NAME_IN_BATCH' END AS reason
     FROM {_NEW_FILES} WHERE stored OR doc_id % 9 = 0 OR n > 1""")
 def _(t: Inputs) -> DataFrame:
-    return files.evidence_rejects(t.sql(_INCOMING), t.sql(_STORED)).select("evidence_id", "reason")
+    return files.evidence_rejects(t.sql(_INCOMING), t.sql(_STORED_FILES)).select("evidence_id", "reason")
 
 
 @query("candidate_sets", """SELECT 'cand_set_' || p_name_u AS candidate_id, directory, segment_count, total_size_bytes, format FROM (
