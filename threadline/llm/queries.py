@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 from threadline.llm import (
     chat_format,
     fingerprints,
+    hard_negatives,
     mixing,
     packing,
     quality_classifier,
     quality_rules,
     simhash_dedup,
+    spelling_variants,
     token_counts,
+    toxicity,
     url_filter,
     warc_revisits,
 )
@@ -126,9 +129,26 @@ def op10_quality_rules(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def op11_toxicity(spark: SparkSession, path: str) -> DataFrame:
+    judged = toxicity.judge(_table(spark, path, "documents"), _table(spark, path, "labels"), ["doc_id"])
+    return judged.select("doc.doc_id", "held_out", "score", "predicted")
+
+
+def op12_spelling_variants(spark: SparkSession, path: str) -> DataFrame:
+    words = spelling_variants.damaged_words(_table(spark, path, "documents"))
+    return spelling_variants.group_variants(words)
+
+
+def op13_hard_negatives(spark: SparkSession, path: str) -> DataFrame:
+    vec_id, label = named("vec_id"), named("label")
+    shifted = F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives.mine(_table(spark, path, "embeddings"), vec_id % 100 == 0, shifted)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_quality_classifier, op2_mixing, op3_chat_format, op4_simhash_dedup, op5_token_counts, op6_packing, op7_warc_revisits,
         op8_fingerprints, op9_url_filter, op10_quality_rules,
+        op11_toxicity, op12_spelling_variants, op13_hard_negatives,
     ]
     return {function.__name__: function for function in found}

@@ -128,5 +128,22 @@ SELECT r.page_id, r.host, r.path, r.rule, CASE
 FROM r CROSS JOIN cut LEFT JOIN (SELECT url, score FROM scores WHERE side IS NULL) AS s ON s.url = r.url"""
 
 
+OP13 = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS z, row_number() OVER () AS r
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND NOT list_contains(list_transform(embedding, lambda x: coalesce(isfinite(x), false)), false)),
+s AS (
+  SELECT a.vec_id AS anchor_id, a.r AS anchor, x.vec_id AS id, x.r, x.label = a.label AS positive, list_inner_product(a.z, x.z)::BIGINT AS score
+  FROM v AS a JOIN v AS x ON a.r <> x.r WHERE a.vec_id % 100 = 0),
+p AS (SELECT * FROM s WHERE positive QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id NULLS LAST) <= 5)
+SELECT p.anchor_id, p.id AS positive_id,
+  row_number() OVER (PARTITION BY p.anchor, p.r ORDER BY n.score DESC, n.id NULLS LAST)::INTEGER AS rank,
+  n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s AS n ON n.anchor = p.anchor AND NOT n.positive AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+QUALIFY rank <= 10"""
+
+
 def sql() -> dict[str, str]:
-    return {"op2_mixing": OP2, "op3_chat_format": OP3, "op7_warc_revisits": OP7, "op9_url_filter": OP9}
+    return {"op2_mixing": OP2, "op3_chat_format": OP3, "op7_warc_revisits": OP7, "op9_url_filter": OP9, "op13_hard_negatives": OP13}
