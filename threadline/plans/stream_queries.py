@@ -10,7 +10,11 @@ from pyspark.sql import functions as F
 from threadline.plans.registry import Inputs, query
 from threadline.plans.text_queries import _EMAIL_RE, _PHONE_RE, _matches
 from threadline.session import ensure_checkpoint_dir
-from threadline.streaming.signals import stream_edge_counts, stream_signals
+from threadline.streaming.signals import EdgeCountStream, SignalStream
+
+
+def _root(t: Inputs) -> str:
+    return f"{ensure_checkpoint_dir(t.spark)}/threadline/stream-{uuid.uuid4().hex}"
 
 
 def _stream(t: Inputs, table: str, key: str) -> DataFrame:
@@ -36,7 +40,9 @@ def _(t: Inputs) -> DataFrame:
         F.lit(1.0).alias("confidence"), F.lit("page 1").alias("provenance_note"),
         F.timestamp_seconds(F.lit(1700000000) + F.col("doc_id")).alias("observed_at"),
     )
-    return stream_signals(observations).filter("entity_type in ('Email', 'PhoneNumber')").select("observation_id", "entity_type", "normalized_value")
+    stream = SignalStream(t.spark, _root(t), delay=600)
+    stream.drain(observations, files_per_trigger=1)
+    return stream.rebuild().filter("entity_type in ('Email', 'PhoneNumber')").select("observation_id", "entity_type", "normalized_value")
 
 
 @query("stream_edge_counts", """SELECT 'CASE-' || l_linestatus AS case_id, 'P-' || l_partkey AS src_id, 'S-' || l_suppkey AS tgt_id,
@@ -48,4 +54,7 @@ def _(t: Inputs) -> DataFrame:
         F.concat(F.lit("CASE-"), "l_linestatus").alias("case_id"), F.concat(F.lit("P-"), "l_partkey").alias("src_id"),
         F.concat(F.lit("S-"), "l_suppkey").alias("tgt_id"), F.col("l_shipdate").cast("timestamp").alias("observed_at"),
     )
-    return stream_edge_counts(edges, "1 day").select("case_id", "src_id", "tgt_id", F.date_format("window_start", "yyyy-MM-dd").alias("day"), "interactions")
+    stream = EdgeCountStream(t.spark, _root(t), "1 day", delay=200 * 86_400)
+    stream.drain(edges)
+    stream.merge_late()
+    return stream.counts().select("case_id", "src_id", "tgt_id", F.date_format("window_start", "yyyy-MM-dd").alias("day"), "interactions")

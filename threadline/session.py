@@ -44,9 +44,20 @@ def _state_root(spark: SparkSession) -> str:
     return f"{ensure_checkpoint_dir(spark)}/threadline/{spark.sparkContext.applicationId}"
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def _located(spark: SparkSession, path: str) -> tuple:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder of any store Spark reaches; nothing happens if there is none."""
+    store, target = _located(spark, path)
+    store.delete(target, True)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    store, target = _located(spark, path)
+    return store.exists(target)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -108,9 +119,9 @@ def discard(*states: DataFrame) -> None:
         if getattr(state, "state_table", None):
             state.sparkSession.sql(f"DROP TABLE IF EXISTS {state.state_table}")
         if path:
-            _delete(state.sparkSession, path)
+            delete_path(state.sparkSession, path)
 
 
 def clear_states(spark: SparkSession) -> None:
     """Delete every written copy of this application; results that still read one must be consumed before."""
-    _delete(spark, _state_root(spark))
+    delete_path(spark, _state_root(spark))
