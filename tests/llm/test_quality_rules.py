@@ -1,8 +1,11 @@
 import math
 import random
 import re
+import struct
 from collections import Counter
 
+import xxhash
+
 import __spark_entry__ as contract
 from threadline.llm import quality_rules as rules
 
@@ -44,22 +47,65 @@ def test_query_against_brute_force(spark, data):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == (n, chars, symbols, dup, repeat, failed)
         values = [symbols / chars, dup / lines, repeat / n, chars / n, n / chars] if n else [0] * 5
         measured[i] = (doc.lang, failed, dict(zip(rules.CUTOFFS, values, strict=True)))
-    good = [measured[i] for i, y in labels.items() if i in measured and y.quality == 1 and not y.toxic and not measured[i][1]]
-    strata = {g[0] for g in good}
-    cut = {}
-    for s in strata:
-        mine = [g[2] for g in good if g[0] == s]
-        for name, candidates in rules.CUTOFFS.items():
-            for c in candidates:
-                k, p = sum(m[name] > c for m in mine), rules.RISK / 5
-                if sum(math.comb(len(mine), i) * p**i * (1 - p) ** (len(mine) - i) for i in range(k + 1)) > rules.LEVEL / (5 * len(strata)):
-                    break
-                cut[s, name] = c
+    cut = cutoffs_by_hand(measured, labels)
     for i, (lang, failed, values) in measured.items():
-        beyond = [n for n in values if values[n] > cut.get((lang, n), math.inf)]
+        beyond = [n for n in values if values[n] > cut.get(lang, {}).get(n, math.inf)]
         assert found[i].kept == (not failed and not beyond)
 
 
+def in_fold(i):
+    h = xxhash.xxh64_intdigest(struct.pack("<q", i), 42)
+    return (h - (1 << 64) if h >> 63 else h) % rules.FOLD == 0
+
+
+def cutoffs_by_hand(measured, labels):
+    """lang -> cutoffs, from id -> (lang, base_failed, values): the path by trying every next step on every document."""
+    known = [(i, *measured[i], y.quality == 1 and not y.toxic) for i, y in labels.items() if i in measured and not measured[i][1]]
+    fold = [k for k in known if in_fold(k[0])]
+    now, path = {}, []
+    beyond = lambda values, cuts: any(values[n] > c for n, c in cuts.items())
+    while True:
+        best = None
+        for m, (name, candidates) in enumerate(rules.CUTOFFS.items()):
+            tried = candidates.index(now[name]) + 1 if name in now else 0
+            alike = {}
+            for c in candidates[tried:]:
+                fresh = [k for k in fold if not beyond(k[3], now) and k[3][name] > c]
+                alike.setdefault((sum(not k[4] for k in fresh), sum(k[4] for k in fresh)), []).append(c)
+            for (gain, loss), cuts in alike.items():
+                if gain and (best is None or (gain / (loss + 0.5), gain, -m) > best[0]):
+                    best = (gain / (loss + 0.5), gain, -m), name, cuts[len(cuts) // 2]
+        if best is None:
+            break
+        now = {**now, best[1]: best[2]}
+        if sum(k[4] for k in fold if beyond(k[3], now)) > 2 * rules.RISK * sum(k[4] for k in fold):
+            break
+        path.append(now)
+    test = [k for k in known if k[4] and not in_fold(k[0])]
+    strata, chosen, p = {k[1] for k in test}, {}, rules.RISK
+    for s in strata:
+        mine = [k[3] for k in test if k[1] == s]
+        for cuts in path:
+            k, n = sum(beyond(v, cuts) for v in mine), len(mine)
+            if sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)) > rules.LEVEL / len(strata):
+                break
+            chosen[s] = cuts
+    return chosen
+
+
+def test_every_language_gets_cutoffs_on_enough_labels(spark):
+    data = "/root/testdata/sf0.1"
+    docs = {r.doc_id: r.lang for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "lang").collect()}
+    labels = {r.doc_id: r for r in spark.read.parquet(f"{data}/labels.parquet").collect()}
+    found = {r.doc_id: r for r in contract.queries()["op10_quality_rules"](spark, data).collect()}
+    passed = {i for i, r in found.items() if not r.base_failed}
+    poor = {s: [i for i, y in labels.items() if docs.get(i) == s and y.quality == 0 and i in passed] for s in ("en", "de", "fr", "es")}
+    good = {s: [i for i, y in labels.items() if docs.get(i) == s and y.quality == 1 and not y.toxic and i in passed] for s in poor}
+    for s in poor:
+        assert sum(not found[i].kept for i in poor[s]) >= 0.9 * len(poor[s])
+        assert sum(not found[i].kept for i in good[s]) <= rules.RISK * len(good[s])
+
+
 def test_cutoffs_control_the_risk(spark, docs_of, labels_of):
     rng = random.Random(4)
 

@@ -100,6 +100,18 @@ def test_exact_fills():
     assert packing.plan_patterns({512: 3}) == [((512, 512), 1), ((512,), 1)]
 
 
+@pytest.mark.parametrize(("scale", "most"), [("sf0.01", 964), ("sf0.1", 9872)])
+def test_pairs_and_triples_reach_the_plan(spark, scale, most):
+    docs = spark.read.parquet(f"/root/testdata/{scale}/documents.parquet")
+    pieces = packing.token_pieces(docs.repartition(8), PATH, []).groupBy("length").count()
+    counts = {r["length"]: r["count"] for r in pieces.collect()}
+    fixed, combined, residue = packing.plan_parts(counts)
+    assert sum(t for part in (fixed, combined, residue) for _, t in part) <= most
+    assert sum(t for _, t in combined) >= most // 100
+    assert all(sum(lengths) == 1024 and len(lengths) in (3, 4) for lengths, _ in combined)
+    assert all(sum(lengths) == 1024 for lengths, _ in fixed)
+
+
 def checked_packing(rows, texts, plain, capacity=1024):
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for r in rows:

@@ -9,21 +9,20 @@ from threadline.llm import toxicity as tx
 INSULTS, GROUPS = ["vile", "nasty", "awful", "foul"], ["northerners", "bakers", "cyclists", "tenants"]
 
 
-def corpus(n=4000, seed=3):
-    """Toxic is an insult with a group; either alone is as common among clean texts."""
+def corpus(n=6000, seed=3):
+    """Toxic is an insult with a group of its own half of the lists; other pairs, and either alone, are clean."""
     rng = random.Random(seed)
-    vocabulary = [f"word{i}" for i in range(300)]
+    vocabulary = [f"word{i}" for i in range(200)]
     rows, labels = [], []
     for i in range(n):
-        words = rng.choices(vocabulary, k=rng.randrange(30, 80))
-        kind = i % 4
-        if kind in (1, 3):
-            words[rng.randrange(len(words))] = rng.choice(INSULTS)
-        if kind in (2, 3):
-            words[rng.randrange(15)] = rng.choice(GROUPS).capitalize() + ","
-        toxic = int(kind == 3 and {w.strip(",").lower() for w in words} & set(INSULTS) != set())
+        words = rng.choices(vocabulary, k=rng.randrange(15, 40))
+        kind, insult, group = i % 3, rng.randrange(4), rng.randrange(4)
+        if kind != 1:
+            words[rng.randrange(5)] = INSULTS[insult]
+        if kind != 2:
+            words[5 + rng.randrange(5)] = GROUPS[group].capitalize() + ","
         rows.append((i, " ".join(words), "en", "a"))
-        labels.append((i, 1, toxic))
+        labels.append((i, 1, int(kind == 0 and insult // 2 == group // 2)))
     return rows, labels
 
 
@@ -38,7 +37,7 @@ def test_pairs_are_learnt_on_held_out_rows(spark, docs_of, labels_of):
     truth = {i: y for i, _, y in labels}
     test = [i for i in found if held(i)]
     right = sum(found[i].predicted == truth[i] for i in test) / len(test)
-    assert right >= 0.97
+    assert right >= 0.95
     # Without factors the same terms cannot tell the pair from its parts so well.
     texts = {i: t for i, t, *_ in rows}
     train = [i for i in texts if not held(i)]
@@ -49,7 +48,7 @@ def test_pairs_are_learnt_on_held_out_rows(spark, docs_of, labels_of):
     y = np.array([truth[i] for i in test])
     scores = np.argsort(np.argsort([found[i].score for i in test])) + 1
     area = lambda r: (r[y == 1].sum() - y.sum() * (y.sum() + 1) / 2) / (y.sum() * (1 - y).sum())
-    assert area(scores) > 0.99 and area(scores) > area(ranks)
+    assert area(scores) > 0.98 and area(ranks) < 0.95
 
 
 def test_labels_held_out_are_never_read(spark, docs_of, labels_of):

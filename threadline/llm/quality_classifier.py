@@ -37,18 +37,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threadline.llm.common import logit, named, same, small_batches, whole_row
+from threadline.llm.descent import descend
 from threadline.session import cut_lineage, discard
 
 #: Expected number of labelled documents the marks are fitted on.
 FIT_ROWS = 20_000
-#: Most marks kept for a head, the most significant first.
-MARKS = 4_000
 #: A word counts if its rates differ by so many standard errors; bins are few and need less.
 SIGNIFICANT, BIN_SIGNIFICANT = 5.0, 3.0
 #: Largest evidence of one document.
 DOC_BOUND = 12.0
-#: Ridge penalty and passes of the regression.
-RIDGE, PASSES = 0.2, 300
+#: Ridge penalty of the regression, and the share by which five steps lower its loss at the end.
+RIDGE, SETTLED = 0.2, 1e-4
 #: Weight of an unlabelled document in its site's counts.
 SOFT = 0.25
 #: Rejected above this posterior.
@@ -136,8 +135,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
         both = (F.col("n") + 1.0) / F.lit(sizes["n"] + 2.0)
         z = F.abs(p1 - p0) / F.sqrt(both * (F.lit(1.0) - both) * F.lit(1 / n1 + 1 / n0))
         least = F.when(F.col("mark").startswith(" "), F.lit(BIN_SIGNIFICANT)).otherwise(F.lit(SIGNIFICANT))
-        best = counts.select("mark", z.alias("z")).filter(F.col("z") >= least).orderBy(F.desc("z"), "mark").limit(MARKS)
-        chosen_marks[h] = [row["mark"] for row in best.collect()]
+        best = counts.select("mark", z.alias("z")).filter(F.col("z") >= least)
+        # All significant marks; the bounded sample bounds them.
+        chosen_marks[h] = sorted(row["mark"] for row in best.collect())
     places = {mark: i for i, mark in enumerate(sorted({m for marks in chosen_marks.values() for m in marks}))}
 
     @F.pandas_udf("array<int>")
@@ -159,23 +159,27 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
 
 
 def _regress(at: list[list[int]], outcomes: list[int], own: set[int]) -> tuple[dict[int, float], float]:
-    """Weights by place and bias of a ridge logistic regression on 0/1 marks, by Adam over the whole sample."""
+    """Weights by place and bias of a ridge logistic regression on 0/1 marks over the whole sample, settled."""
     column = {place: i for i, place in enumerate(sorted(own))}
     pairs = [(r, column[p]) for r, places in enumerate(at) for p in places if p in column]
     row, col = (np.array(x, np.int64) for x in (zip(*pairs, strict=True) if pairs else ((), ())))
-    y, n, width = np.asarray(outcomes, float), len(at), len(column)
-    w = np.zeros(width + 1)
-    w[-1] = _odds(y.mean())
-    first, second = np.zeros(width + 1), np.zeros(width + 1)
-    for step in range(1, PASSES + 1):
-        odds = w[-1] + np.bincount(row, w[col], n)
-        miss = 1 / (1 + np.exp(-np.clip(odds, -30, 30))) - y
-        slope = np.append(np.bincount(col, miss[row], width) + RIDGE * w[:-1], miss.sum()) / n
-        first, second = 0.9 * first + 0.1 * slope, 0.99 * second + 0.01 * slope * slope
-        w -= 0.1 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
+    y = np.asarray(outcomes, float)
+    start = np.zeros(len(column) + 1)
+    start[-1] = _odds(y.mean())
+    w = descend(lambda w: logistic_loss(w, row, col, y), start, SETTLED)
     return {place: float(w[i]) for place, i in column.items()}, float(w[-1])
 
 
+def logistic_loss(w: np.ndarray, row: np.ndarray, col: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
+    """Mean penalised loss of weights and bias, and its gradient; (row, col) are the marks held."""
+    n, width = len(y), len(w) - 1
+    odds = w[-1] + np.bincount(row, w[col], n)
+    loss = np.logaddexp(0, odds).sum() - y @ odds + 0.5 * RIDGE * w[:-1] @ w[:-1]
+    miss = np.exp(-np.logaddexp(0, -odds)) - y
+    slope = np.append(np.bincount(col, miss[row], width) + RIDGE * w[:-1], miss.sum())
+    return loss / n, slope / n
+
+
 def evidence(docs: DataFrame, model: Model, keep: Sequence[str] | None, text_column: str = "text", **keys: Column) -> DataFrame:
     """(doc, the keys, one evidence per head)."""
     weights, base = model.weights, model.base

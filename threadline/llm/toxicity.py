@@ -31,7 +31,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,6 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threadline.llm.common import named, small_batches, whole_row
+from threadline.llm.descent import descend
 
 #: Expected number of labelled documents the machine is fitted on.
 FIT_ROWS = 10_000
@@ -133,7 +134,7 @@ def learn(held: Sequence[np.ndarray], outcomes: np.ndarray, least: int = LEAST)
     start = np.random.default_rng(42).normal(0, 0.01, (1 + FACTORS, width))
     start[0] = 0
     start = np.append(start.ravel(), math.log(outcomes.mean() / (1 - outcomes.mean())))
-    theta = descend(lambda at: loss_and_slope(at, row, column, outcomes, loudness), start)
+    theta = descend(lambda at: loss_and_slope(at, row, column, outcomes, loudness), start, SETTLED)
     weights = np.zeros((1 + FACTORS, 1 << BITS), np.float32)
     weights[:, frequent] = theta[:-1].reshape(1 + FACTORS, width) * loudness
     return Machine(float(theta[-1]), weights)
@@ -169,31 +170,6 @@ def loss_and_slope(
     return loss / n, np.append(slope.ravel(), miss.sum()) / n
 
 
-def descend(target: Callable[[np.ndarray], tuple[float, np.ndarray]], at: np.ndarray, memory: int = 8) -> np.ndarray:
-    """A minimum by limited-memory quasi-Newton steps; every step lowers the loss, the last five by less than ``SETTLED``."""
-    loss, slope = target(at)
-    losses, moves, turns = [loss], [], []
-    while len(losses) <= 5 or losses[-6] - losses[-1] > SETTLED * losses[-6]:
-        way, shares = slope.copy(), []
-        for move, turn in zip(reversed(moves), reversed(turns), strict=True):
-            shares.append(move @ way / (move @ turn))
-            way -= shares[-1] * turn
-        way *= moves[-1] @ turns[-1] / (turns[-1] @ turns[-1]) if moves else 1 / max(1.0, float(np.linalg.norm(slope)))
-        for move, turn, share in zip(moves, turns, reversed(shares), strict=True):
-            way += (share - turn @ way / (move @ turn)) * move
-        fall, size = slope @ way, 1.0
-        while size > 1e-10 and not (found := target(at - size * way))[0] <= loss - 1e-4 * size * fall:
-            size /= 2
-        if size <= 1e-10:  # no lower point in this direction: the bottom, as far as numbers tell
-            break
-        move, turn = -size * way, found[1] - slope
-        at, (loss, slope) = at + move, found
-        losses.append(loss)
-        if move @ turn > 1e-12:
-            moves, turns = [*moves[1 - memory :], move], [*turns[1 - memory :], turn]
-    return at
-
-
 def score(docs: DataFrame, machine: Machine, keep: Sequence[str] | None = None, text_column: str = "text", **keys: Column) -> DataFrame:
     """(doc, the keys, score) for every row; ``keep`` names the columns of ``doc``, all by default."""
 
