@@ -36,14 +36,17 @@ def same(left: str, right: str, columns: Iterable[str]) -> Column:
     return condition
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Hand at most so many texts to a Python worker at a time, so that its memory stays small.
+def small_batches(spark: SparkSession, rows: int = 250, megabytes: int = 8) -> None:
+    """Hand at most so many texts, and about so many bytes of them, to a Python worker at a time.
 
-    A session that asks for fewer keeps its own number.
+    So its memory stays small however long the texts are.  The settings belong to the
+    session and stay, since frames run later than they are built; a session that asks for
+    fewer rows keeps its own numbers.
     """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, str(rows))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{megabytes}m")
 
 
 def logit(p: Column) -> Column:

@@ -25,6 +25,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -210,8 +211,10 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     # At most ``capacity`` rows.
     counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     ranges = rank_ranges(plan_patterns(counts, capacity))
-    columns = "length long, low long, high long, each long, first_sequence long, place long"
-    table = pieces.sparkSession.createDataFrame(ranges, columns)
+    columns = ["length", "low", "high", "each", "first_sequence", "place"]
+    # An Arrow table needs no Python worker to become rows.
+    table = pa.table({name: pa.array([row[i] for row in ranges], pa.int64()) for i, name in enumerate(columns)})
+    table = pieces.sparkSession.createDataFrame(table)
     earlier = Window.partitionBy("length").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     before = parts.select("length", "slice", "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     ranked = placed.withColumn("slice", slice_).alias("d").join(before.alias("p"), same("d", "p", ["length", "slice"]))

@@ -114,11 +114,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
     rates = {h: total[h] / total["n"] if total["n"] and 0 < total[h] < total["n"] else None for h in HEADS}
     share = min(1.0, rows / max(1, total["n"]))
     chosen = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(1 << 20)) < math.ceil(share * (1 << 20))
-    sample = docs.filter(chosen(named(id_column))).select(
-        named(id_column).cast("long").alias("id"), _marks(F.coalesce(named(text_column), F.lit(""))).alias("marks")
-    )
-    sample = sample.join(known.filter(chosen(F.col("id"))), "id").select("id", *HEADS, "marks")
-    seen = cut_lineage(sample)
+    # The chosen labels are some ``rows`` narrow rows whatever the input, so every task may hold them; no text is shuffled.
+    sample = docs.filter(chosen(named(id_column))).select(named(id_column).cast("long").alias("id"), F.coalesce(named(text_column), F.lit("")).alias("text"))
+    sample = sample.join(F.broadcast(known.filter(chosen(F.col("id")))), "id")
+    seen = cut_lineage(sample.select("id", *HEADS, _marks("text").alias("marks")))
     sizes = seen.agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(h), F.lit(0)).alias(h) for h in HEADS]).first()
     counts = seen.select(*HEADS, F.explode("marks").alias("mark")).groupBy("mark").agg(
         F.count(F.lit(1)).alias("n"), *[F.sum(h).alias(h) for h in HEADS]
@@ -194,6 +193,8 @@ def evidence(docs: DataFrame, model: Model, keep: Sequence[str] | None, text_col
                 found.append([max(-DOC_BOUND, min(DOC_BOUND, s)) for s in sums])
             yield pd.DataFrame(found, columns=list(HEADS), dtype="float64")
 
+    # Called not deterministic, so that a filter on the verdict does not make Spark score every text twice.
+    score = score.asNondeterministic()
     rows = docs.select(
         whole_row(docs, keep).alias("doc"), *[c.alias(name) for name, c in keys.items()],
         score(F.coalesce(named(text_column), F.lit(""))).alias("e"),

@@ -82,6 +82,10 @@ def _counts(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([text_counts(text) for text in texts], columns=COUNTS, dtype="int64")
 
 
+# Called not deterministic, so that a filter on the counts does not make Spark count every text twice.
+_counts = _counts.asNondeterministic()
+
+
 def counted(docs: DataFrame, keep: Sequence[str] | None = None, text_column: str = "text") -> DataFrame:
     """(doc, the counts, base_failed)."""
     rows = docs.select(whole_row(docs, keep).alias("doc"), _counts(F.coalesce(named(text_column), F.lit(""))).alias("c"))

@@ -109,7 +109,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
     chosen = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << 20)) < math.ceil(share * (1 << 20))
     ident = named(id_column).cast("long")
     sample = docs.select(ident.alias("id"), F.coalesce(named(text_column), F.lit("")).alias("text")).filter(chosen(F.col("id")))
-    sample = sample.join(known.filter(chosen(F.col("id"))), "id").select("id", "toxic", _buckets("text").alias("held"))
+    # The chosen labels are some ``rows`` narrow rows whatever the input, so every task may hold them; no text is shuffled.
+    sample = sample.join(F.broadcast(known.filter(chosen(F.col("id")))), "id").select("id", "toxic", _buckets("text").alias("held"))
     sample = sample.groupBy("id").agg(F.first("toxic").alias("toxic"), F.min("held").alias("held"))
     # The bounded sample: ids of buckets only.
     drawn = sorted(sample.select("id", "toxic", "held").collect(), key=lambda row: row["id"])
@@ -179,6 +180,8 @@ def score(docs: DataFrame, machine: Machine, keep: Sequence[str] | None = None,
             odds = np.array([machine.odds(buckets_of(text)) for text in texts], np.float64)
             yield pd.Series(np.exp(-np.logaddexp(0, -odds)), dtype="float64")
 
+    # Called not deterministic, so that a filter on the score does not make Spark score every text twice.
+    likelihood = likelihood.asNondeterministic()
     return docs.select(
         whole_row(docs, keep).alias("doc"), *[c.alias(name) for name, c in keys.items()],
         likelihood(F.coalesce(named(text_column), F.lit(""))).alias("score"),
