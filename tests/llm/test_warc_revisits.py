@@ -82,3 +82,36 @@ def test_canonical_url(spark):
 def test_twin(spark, data):
     status, _, note = check(spark, connect(data), data, "op7_warc_revisits")
     assert status == "ok", note
+
+
+def test_identical_payload_is_not_a_304(spark):
+    rows = [full("r1", "http://a.org/", 1, 'ETag: "a"')]
+    rows += [("v1", "revisit", "http://a.org/", at(2), 'HTTP/1.1 200 OK\r\nETag: "a"\r\nX-New: 1\r\n\r\n', None, "k", 1)]
+    rows += [("v2", "revisit", "http://a.org/", at(2), 'ETag: "a"\r\n', None, "k", 1), ("v3", "revisit", "http://b.org/", at(2), "HTTP/1.1 200 OK", None, "k", 1)]
+    found = resolved(spark, rows)
+    assert {k: (r.outcome, r.refers_to, r.http_status) for k, r in found.items()} == {
+        "v1": ("not_304", "r1", None), "v2": ("resolved", "r1", 200), "v3": ("orphan", None, None),
+    }
+    assert found["v1"].headers is None and found["v1"].payload is None
+
+
+def test_equal_responses_in_any_order(spark):
+    rows = [full("r1", "http://a.org/", 1, f'ETag: "{tag}"', body) for tag, body in (("a", "x"), ("b", "y"), ("b", "z"))]
+    asked = [again("v1", "http://a.org/", 5, 'ETag: "b"'), again("v2", "http://a.org/", 5, 'ETag: "a"')]
+    for order in ((0, 1, 2), (2, 1, 0), (1, 2, 0)):
+        found = resolved(spark, [*asked, *[rows[i] for i in order]])
+        assert (found["v1"].outcome, found["v1"].payload, found["v2"].outcome) == ("resolved", "z", "changed")
+
+
+def test_very_long_payload(spark):
+    body = "long " * 1_000_000
+    found = resolved(spark, [full("r1", "http://a.org/", 1, 'ETag: "a"', body), again("v1", "http://a.org/", 2, 'ETag: "a"')])
+    assert found["v1"].payload == body
+
+
+def test_urls_told_apart(spark):
+    rows = [full("r1", "http://a.org:80/", 1, 'ETag: "a"'), again("v1", "https://www.a.org/", 2, 'ETag: "a"')]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    outcome = lambda **how: warc.resolve_revisits(frame, **how).first().outcome
+    assert outcome() == "resolved"
+    assert outcome(scheme=True) == outcome(www=True) == outcome(ports=()) == "orphan"
