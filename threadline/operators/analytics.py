@@ -227,27 +227,36 @@ def _spread(seed: DataFrame, links: DataFrame, better: str) -> DataFrame:
 def strong_labels(pairs: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """Strong component of every node.
 
-    Rounds of: peel nodes with no way in or no way out (each is a component), colour
-    the rest with the largest id that reaches them, and take from each colour the
-    nodes that can walk back to that id.
+    Rounds of: contract chains (nodes with one way in and one out) to one link each, by
+    doubling; peel nodes with no way in or no way out (each is a component); colour the
+    rest with the largest id that reaches them, and take from each colour the nodes that
+    can walk back to that id, so that every colour is a pivot.  In the end the nodes of a
+    chain join the component of its two ends, if that is one, and else are their own.
     """
     everyone = project_nodes(nodes, pairs).select(*NODE)
     open_nodes = cut_lineage(everyone)
     links = pairs.filter(F.col("src_id") != F.col("tgt_id")).select("case_id", F.col("src_id").alias("from_id"), F.col("tgt_id").alias("to_id"))
     links = cut_lineage(links)
     pile = Pile(everyone.select(*NODE, F.col("id").alias("component")))
+    chains: list[DataFrame] = []
     while not open_nodes.isEmpty():
-        # Peel.
-        while True:
-            heads = links.select("case_id", F.col("from_id").alias("id")).distinct()
-            tails = links.select("case_id", F.col("to_id").alias("id")).distinct()
-            kept = cut_lineage(open_nodes.join(heads, NODE, "left_semi").join(tails, NODE, "left_semi"))
-            peeled = cut_lineage(open_nodes.join(kept, NODE, "left_anti"))
-            if peeled.isEmpty():
-                break
-            pile.add(peeled.select(*NODE, F.col("id").alias("component")))
-            open_nodes = kept
-            links = _inside(links, kept)
+        hung, rings, links = _contract_chains(links)
+        if hung is not None:
+            chains.append(hung)
+            pile.add(rings)
+            gone = hung.select(*NODE).unionByName(rings.select(*NODE))
+            open_nodes = cut_lineage(open_nodes.join(gone, NODE, "left_anti"))
+        # Peel: a link stays while its start has a way in and its end a way out.
+        size = None
+        while (rows := links.count()) != size:
+            size = rows
+            starts = links.select("case_id", F.col("from_id").alias("to_id")).distinct()
+            ends = links.select("case_id", F.col("to_id").alias("from_id")).distinct()
+            before, links = links, cut_lineage(links.join(starts, ["case_id", "to_id"], "left_semi").join(ends, ["case_id", "from_id"], "left_semi"))
+            discard(before)
+        kept = cut_lineage(links.select("case_id", F.col("from_id").alias("id")).distinct())
+        pile.add(open_nodes.join(kept, NODE, "left_anti").select(*NODE, F.col("id").alias("component")))
+        open_nodes = kept
         if open_nodes.isEmpty():
             break
         colour = _spread(open_nodes.select(*NODE, F.col("id").alias("label")), links, "max")
@@ -261,9 +270,53 @@ def strong_labels(pairs: DataFrame, nodes: DataFrame | None = None) -> DataFrame
         pile.add(taken)
         open_nodes = cut_lineage(open_nodes.join(taken, NODE, "left_anti"))
         links = _inside(links, open_nodes)
+    for hung in reversed(chains):
+        known = pile.rows()
+        head = known.select("case_id", F.col("id").alias("head"), F.col("component").alias("h"))
+        tail = known.select("case_id", F.col("id").alias("tail"), F.col("component").alias("t"))
+        placed = hung.join(head, ["case_id", "head"]).join(tail, ["case_id", "tail"])
+        pile.add(cut_lineage(placed.select(*NODE, F.when(F.col("h") == F.col("t"), F.col("h")).otherwise(F.col("id")).alias("component"))))
     return pile.rows()
 
 
+def _contract_chains(links: DataFrame) -> tuple[DataFrame | None, DataFrame | None, DataFrame]:
+    """Nodes of chains with the chain's ends (case_id, id, head, tail), rings with their component, and the links left.
+
+    Pointers to both ends double their reach with each round, so a chain takes as many
+    rounds as its length has binary digits.  A ring has no ends: its pointers go round
+    until the largest id on their way stops growing.
+    """
+    ways = links.select("case_id", F.col("from_id").alias("id"), F.col("to_id").alias("tail"), F.lit(None).cast("string").alias("head"))
+    ways = ways.unionByName(links.select("case_id", F.col("to_id").alias("id"), F.lit(None).cast("string").alias("tail"), F.col("from_id").alias("head")))
+    degrees = ways.groupBy(*NODE).agg(F.count("tail").alias("o"), F.count("head").alias("i"), F.first("tail", True).alias("tail"), F.first("head", True).alias("head"))
+    inner = cut_lineage(degrees.filter("o = 1 and i = 1").select(*NODE, "head", "tail"))
+    if inner.isEmpty():
+        return None, None, links
+    state = cut_lineage(inner.select(*NODE, "head", "tail", F.col("id").alias("high"), F.lit(True).alias("open")))
+    while True:
+        forward = state.select("case_id", F.col("id").alias("tail"), F.col("tail").alias("tail_next"), F.col("high").alias("high_next"))
+        backward = state.select("case_id", F.col("id").alias("head"), F.col("head").alias("head_next"))
+        joined = state.join(forward, ["case_id", "tail"], "left").join(backward, ["case_id", "head"], "left")
+        high = F.greatest("high", F.coalesce("high_next", "high"))
+        still = F.col("tail_next").isNotNull() | F.col("head_next").isNotNull()
+        joined = joined.select(
+            *NODE, F.coalesce("head_next", "head").alias("head"), F.coalesce("tail_next", "tail").alias("tail"), high.alias("high"), still.alias("open"),
+            (still & (high > F.col("high")) | (F.col("open") & ~still)).alias("moved"),
+        )
+        before, state = state, cut_lineage(joined)
+        discard(before)
+        if state.filter("moved").isEmpty():
+            break
+    # What is open when nothing moves goes round in a ring.
+    rings = state.filter("open").select(*NODE, F.col("high").alias("component"))
+    hung = cut_lineage(state.filter("not open").select(*NODE, "head", "tail"))
+    rest = links
+    for end in ("from_id", "to_id"):
+        rest = rest.join(inner.select("case_id", F.col("id").alias(end)), ["case_id", end], "left_anti")
+    bridges = hung.filter("head <> tail").select("case_id", F.col("head").alias("from_id"), F.col("tail").alias("to_id"))
+    return hung, rings, cut_lineage(rest.select("case_id", "from_id", "to_id").unionByName(bridges).distinct())
+
+
 def _inside(links: DataFrame, nodes: DataFrame) -> DataFrame:
     kept = links.join(nodes.select("case_id", F.col("id").alias("from_id")), ["case_id", "from_id"], "left_semi")
     kept = kept.join(nodes.select("case_id", F.col("id").alias("to_id")), ["case_id", "to_id"], "left_semi")

@@ -414,7 +414,28 @@ def _(t: Inputs) -> DataFrame:
     return analytics.strong_components(_pairs(t), t.bound("nodes"))
 
 
-@query("betweenness_brands")
+_BETWEENNESS = """WITH RECURSIVE p AS (SELECT case_id, src_id, tgt_id, 1e0 / count(*) AS d FROM brand_links WHERE src_id <> tgt_id GROUP BY 1, 2, 3),
+      v AS (SELECT case_id, src_id AS id FROM brand_links UNION SELECT case_id, tgt_id FROM brand_links), nn AS (SELECT case_id, count(*)::DOUBLE AS n FROM v GROUP BY 1),
+      sp(step, case_id, s, id, c) AS (SELECT 0, case_id, id, id, 0e0 FROM v
+        UNION ALL SELECT any_value(step) + 1, case_id, s, id, min(c) FROM (
+          SELECT sp.step, p.case_id, sp.s, p.tgt_id AS id, round(sp.c + p.d, 10) AS c FROM sp JOIN p ON p.case_id = sp.case_id AND p.src_id = sp.id UNION ALL SELECT * FROM sp) x
+        WHERE step < 14 GROUP BY case_id, s, id),
+      d AS (SELECT case_id, s, id, c FROM sp WHERE step = 14),
+      tight AS (SELECT a.case_id, a.s, p.src_id, p.tgt_id FROM d a JOIN p ON p.case_id = a.case_id AND p.src_id = a.id
+        JOIN d b ON b.case_id = a.case_id AND b.s = a.s AND b.id = p.tgt_id WHERE abs(a.c + p.d - b.c) < 1e-9),
+      sig(step, case_id, s, id, n) AS (SELECT 0, case_id, id, id, 1e0 FROM v
+        UNION ALL SELECT any_value(g.step) + 1, g.case_id, g.s, t.tgt_id, sum(g.n) FROM sig g JOIN tight t ON t.case_id = g.case_id AND t.s = g.s AND t.src_id = g.id
+        GROUP BY g.case_id, g.s, t.tgt_id),
+      q AS (SELECT case_id, s, id, sum(n) AS n FROM sig GROUP BY 1, 2, 3),
+      share AS (SELECT t.*, a.n / b.n AS f FROM tight t JOIN q a ON a.case_id = t.case_id AND a.s = t.s AND a.id = t.src_id JOIN q b ON b.case_id = t.case_id AND b.s = t.s AND b.id = t.tgt_id),
+      dep(step, case_id, s, id, part) AS (SELECT 0, case_id, s, id, 1e0 FROM d
+        UNION ALL SELECT any_value(e.step) + 1, e.case_id, e.s, h.src_id, sum(e.part * h.f) FROM dep e JOIN share h ON h.case_id = e.case_id AND h.s = e.s AND h.tgt_id = e.id
+        GROUP BY e.case_id, e.s, h.src_id)
+    SELECT v.case_id, v.id, CASE WHEN n > 2 THEN round(coalesce(raw, 0) / ((n - 1) * (n - 2)), 6) ELSE 0 END AS betweenness FROM v JOIN nn ON nn.case_id = v.case_id
+      LEFT JOIN (SELECT case_id, id, sum(part) AS raw FROM dep WHERE step > 0 AND id <> s GROUP BY 1, 2) r ON r.case_id = v.case_id AND r.id = v.id"""
+
+
+@query("betweenness_brands", _BETWEENNESS, "brand_links")
 def _(t: Inputs) -> DataFrame:
     return centrality.betweenness(_pairs(t, "brand_links")).withColumn("betweenness", F.round("betweenness", 6))
 

@@ -106,8 +106,14 @@ class Pile:
     def add(self, rows: DataFrame) -> None:
         rows.select(*self.schema.names).write.mode("append").parquet(self.path)
 
+    def add_part(self, rows: DataFrame) -> DataFrame:
+        """Add rows, written once, and read back just these."""
+        part = f"{self.path}/part-{uuid.uuid4().hex}"
+        rows.select(*self.schema.names).write.parquet(part)
+        return self.spark.read.schema(self.schema).parquet(part)
+
     def rows(self) -> DataFrame:
-        gathered = self.spark.read.schema(self.schema).parquet(self.path)
+        gathered = self.spark.read.option("recursiveFileLookup", "true").schema(self.schema).parquet(self.path)
         gathered.state_path = self.path
         return gathered
 
