@@ -310,14 +310,20 @@ for _rule in (
 
 
 def extract_signals(
-    observations: DataFrame, rules: list[str] | None = None, keep: list[str] | None = None
+    observations: DataFrame, rules: list[str] | None = None, keep: list[str] | None = None, partitions: int | None = None
 ) -> DataFrame:
     """All signals of the observations.
 
+    Extraction has as many tasks as its input has partitions.  Tables that lie in few files
+    or row groups need ``partitions``: observations are then dealt once by case and
+    observation, the key that every relationship rule joins on, into so many.
+
     ``rules`` picks rules by name (default: all registered); ``keep`` names further
     observation columns to carry along, such as an event time.
     """
     carried = keep or []
+    if partitions:
+        observations = observations.repartition(partitions, "case_id", "observation_id")
     extra = {"sig_text_org": sig_text_org}
     chosen = [{**extra, **_extractors}[name] for name in (rules or list(_extractors))]
     matches = F.concat(*[rule() for rule in chosen]) if len(chosen) > 1 else chosen[0]()

@@ -162,8 +162,13 @@ def _(t: Inputs) -> DataFrame:
 _SIGNAL = ["signal_id", "observation_id", "entity_type", "observed_value", "normalized_value", "extraction_method", "confidence"]
 
 
+def _tasks(t: Inputs) -> int:
+    """The given tables lie in one file and row group each; extraction is dealt over the session's cores."""
+    return t.spark.sparkContext.defaultParallelism
+
+
 def _signals(t: Inputs, binding: str, *rules: str) -> DataFrame:
-    return extract_signals(t.bound(binding), list(rules)).select(*_SIGNAL)
+    return extract_signals(t.bound(binding), list(rules), partitions=_tasks(t)).select(*_SIGNAL)
 
 
 def _signal_sql(source: str, entity: str, observed: str, normalized: str, method: str, score: float, suffix: str = "''", where: str = "true") -> str:
@@ -321,7 +326,7 @@ _REL = ["observation_id", "source_label", "target_label", "rel_label", "extracti
 
 def _related(t: Inputs, binding: str, rule, *rules: str) -> DataFrame:
     """Relationships of a binding, with the signals' values in place of their ids."""
-    signals = cut_lineage(extract_signals(t.bound(binding), list(rules) or None))
+    signals = cut_lineage(extract_signals(t.bound(binding), list(rules) or None, partitions=_tasks(t)))
     found = rule(signals)
     value = signals.select("signal_key", "normalized_value").distinct()
     named = found.join(value.select(F.col("signal_key").alias("source_signal_key"), F.col("normalized_value").alias("source")), "source_signal_key")
@@ -571,7 +576,7 @@ def _(t: Inputs) -> DataFrame:
 
 
 def _canonical(t: Inputs) -> DataFrame:
-    signals = cut_lineage(extract_signals(t.bound("comm_obs"), ["sig_comm_pair"]))
+    signals = cut_lineage(extract_signals(t.bound("comm_obs"), ["sig_comm_pair"], partitions=_tasks(t)))
     values = resolve.resolve_values(resolve.distinct_values(signals, "signal_key"), fuzzy_types=["Person"])
     return resolve.canonicalize_relationships(rel.rel_account_comm(signals), resolve.signal_to_entity(signals, values))
 
@@ -616,7 +621,7 @@ def _(t: Inputs) -> DataFrame:
         UNION SELECT case_id, evidence_id, 'COMMUNICATED_WITH', {_FROM_NAME}, {_TO_NAME} FROM {_MAIL}) e) g GROUP BY 1, 2""", "mail_obs")
 def _(t: Inputs) -> DataFrame:
     """Messages to a case graph, fuzzy merging off so that SQL can check it."""
-    built = build_case_graph(t.bound("mail_obs"), fuzzy_types=["Organization"])
+    built = build_case_graph(t.bound("mail_obs"), fuzzy_types=["Organization"], partitions=_tasks(t))
     nodes = built.nodes.groupBy(F.lit("NODE").alias("kind"), F.col("entity_type").alias("label")).agg(F.count(F.lit(1)).alias("rows"))
     edges = built.edges.groupBy(F.lit("EDGE").alias("kind"), F.col("rel_label").alias("label")).agg(F.count(F.lit(1)).alias("rows"))
     return nodes.unionByName(edges)
