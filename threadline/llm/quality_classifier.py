@@ -139,13 +139,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
         chosen_marks[h] = sorted(row["mark"] for row in best.collect())
     places = {mark: i for i, mark in enumerate(sorted({m for marks in chosen_marks.values() for m in marks}))}
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf("binary")
     def placed(marks: pd.Series) -> pd.Series:
-        return pd.Series([sorted(places[m] for m in row if m in places) for row in marks], dtype=object)
+        return pd.Series([np.array(sorted(places[m] for m in row if m in places), np.int32).tobytes() for row in marks], dtype=object)
 
-    # The bounded sample, as places of its marks.
+    # The bounded sample, as places of its marks, packed so that the driver holds little.
     rows_ = seen.select(*HEADS, placed("marks").alias("at")).collect()
-    at = [row["at"] for row in rows_]
+    at = [np.frombuffer(row["at"], np.int32) for row in rows_]
     model = Model({}, {}, rates)
     for h in HEADS:
         own = {places[m] for m in chosen_marks[h]}
@@ -157,16 +157,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
     return model
 
 
-def _regress(at: list[list[int]], outcomes: list[int], own: set[int]) -> tuple[dict[int, float], float]:
+def _regress(at: Sequence[Sequence[int]], outcomes: Sequence[int], own: set[int]) -> tuple[dict[int, float], float]:
     """Weights by place and bias of a ridge logistic regression on 0/1 marks over the whole sample, settled."""
-    column = {place: i for i, place in enumerate(sorted(own))}
-    pairs = [(r, column[p]) for r, places in enumerate(at) for p in places if p in column]
-    row, col = (np.array(x, np.int64) for x in (zip(*pairs, strict=True) if pairs else ((), ())))
+    kept = np.array(sorted(own), np.int32)
+    places = np.concatenate([np.asarray(part, np.int32) for part in at]) if len(at) else np.zeros(0, np.int32)
+    row = np.repeat(np.arange(len(at), dtype=np.int32), [len(part) for part in at])
+    mine = np.isin(places, kept)
+    row, col = row[mine], np.searchsorted(kept, places[mine]).astype(np.int32)
     y = np.asarray(outcomes, float)
-    start = np.zeros(len(column) + 1)
+    start = np.zeros(len(kept) + 1)
     start[-1] = _odds(y.mean())
     w = descend(lambda w: logistic_loss(w, row, col, y), start, SETTLED)
-    return {place: float(w[i]) for place, i in column.items()}, float(w[-1])
+    return {int(place): float(w[i]) for i, place in enumerate(kept)}, float(w[-1])
 
 
 def logistic_loss(w: np.ndarray, row: np.ndarray, col: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
