@@ -26,3 +26,40 @@ def test_one_hot_chain_in_segments(spark):
     assert [r.payload for r in sealed] == ends and [r.event_hash for r in sealed] == list(chained(ends))
     assert {r.actor: r.is_valid for r in gov.audit_verify(seals, "actor", "day").collect()} == {"hot": True, "cold": True}
     assert log.select("actor", "seq").distinct().count() == 401
+
+
+def tree_by_hand(payloads, fanout):
+    level = [hashlib.sha256(f"0:{p}".encode()).hexdigest() for p in payloads]
+    levels = 0
+    while len(level) > 1:
+        groups = [level[i : i + fanout] for i in range(0, len(level), fanout)]
+        level, levels = [hashlib.sha256(("1:" + ",".join(g)).encode()).hexdigest() for g in groups], levels + 1
+    return levels, level[0]
+
+
+def test_hash_tree_of_a_hot_chain(spark):
+    sizes = {"hot": 700, "one": 1, "four": 4, "five": 5}
+    rows = [(actor, n, f"p{actor}{n}") for actor, size in sizes.items() for n in range(size)]
+    events = spark.createDataFrame(rows, "actor string, seq long, payload string").repartition(5)
+    numbered, nodes = gov.audit_tree(events, "actor", "seq", fanout=4)
+    roots = gov.audit_roots(nodes, "actor")
+    expected = {a: tree_by_hand([f"p{a}{n}" for n in range(size)], 4) for a, size in sizes.items()}
+    assert {r.actor: (r.levels, r.root) for r in roots.collect()} == expected
+    proofs = gov.audit_proofs(numbered, nodes, "actor", fanout=4)
+    assert proofs.count() == sum(sizes.values())
+    assert all(len(r.path) == expected[r.actor][0] and all(len(s.children) <= 4 for s in r.path) for r in proofs.collect())
+    proved = gov.audit_proved(proofs, roots, "actor").collect()
+    assert all(r.is_valid for r in proved)
+    # Edited, moved and foreign events are found, each on its own.
+    forged = [(r.actor, r.seq, r.payload + "x" if r.seq == 3 else r.payload, r.place ^ 1 if r.seq == 8 else r.place) for r in proved]
+    forged = spark.createDataFrame(forged, "actor string, seq long, payload string, place long")
+    wrong = {(r.actor, r.seq) for r in gov.audit_proved(gov.audit_proofs(forged, nodes, "actor", fanout=4), roots, "actor").collect() if not r.is_valid}
+    assert wrong == {("hot", 3), ("four", 3), ("five", 3), ("hot", 8)}
+
+
+def test_hot_chain_lies_in_many_slices(spark):
+    events = spark.range(20_000).selectExpr("'hot' AS actor", "id AS seq", "concat('p', id) AS payload")
+    numbered, _ = gov.audit_tree(events, "actor", "seq")
+    sizes = [r["count"] for r in numbered.groupBy("place").count().groupBy("count").count().select("count").collect()]
+    assert sizes == [1]
+    assert numbered.agg({"place": "max"}).first()[0] == 19_999

@@ -72,8 +72,16 @@ def degree_metrics(pairs: DataFrame, nodes: DataFrame | None = None) -> DataFram
 
 
 def degree_centrality(pairs: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    """In plus out edges over the number of other nodes of the case."""
-    degrees = degree_metrics(pairs, nodes)
+    """In plus out edges over the number of other nodes of the case.
+
+    Both ends of a pair are counted in one pass and one aggregation; distinct neighbours,
+    which ``degree_metrics`` adds, take another one and are not needed here.
+    """
+    end = lambda column, out: F.struct(F.col(column).alias("id"), F.lit(out).alias("o"), F.lit(1 - out).alias("i"))
+    rows = pairs.select("case_id", F.inline(F.array(end("src_id", 1), end("tgt_id", 0))))
+    if nodes is not None:
+        rows = rows.unionByName(nodes.select(*NODE, F.lit(0).alias("o"), F.lit(0).alias("i")))
+    degrees = rows.groupBy(*NODE).agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"))
     sizes = degrees.groupBy("case_id").agg(F.count(F.lit(1)).alias("n"))
     share = (F.col("in_degree") + F.col("out_degree")) / (F.col("n") - 1)
     return degrees.join(sizes, "case_id").select(

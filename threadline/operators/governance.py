@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threadline.functions.ordered import with_previous, with_row_number
-from threadline.session import cut_lineage
+from threadline.session import Pile, cut_lineage
 from threadline.sources.keyed import keyed_upsert
 
 GENESIS = "0" * 64
@@ -232,6 +232,79 @@ def audit_append_segments(events: DataFrame, chain: str, segment: str, order: st
     return log.drop("_segment_key"), audit_append(seals, chain, segment)
 
 
+#: Children of a node of the hash tree.
+FANOUT = 16
+
+
+def leaf_hash(payload: Column) -> Column:
+    return F.sha2(F.concat(F.lit("0:"), payload), 256)
+
+
+def node_hash(children: Column) -> Column:
+    """Hash of an inner node; its first letter differs from a leaf's, so that no leaf passes for a node."""
+    return F.sha2(F.concat(F.lit("1:"), F.array_join(children, ",")), 256)
+
+
+def audit_tree(events: DataFrame, chain: str, order: str, fanout: int = FANOUT) -> tuple[DataFrame, DataFrame]:
+    """A hash tree over the events of each chain: numbered events, and (chain, level, place, hash, children) of all nodes.
+
+    Unlike a hash chain a tree is built by many tasks however long one log is: events are
+    numbered in slices, and every level hashes groups of ``fanout`` neighbours.  The node of
+    the highest level is the root; it seals order and content of the whole log.
+    """
+    numbered = cut_lineage(with_row_number(events, [chain], [F.asc(order)], "_n").withColumn("place", F.col("_n") - 1).drop("_n"))
+    none = F.lit(None).cast("array<string>")
+    level = numbered.select(chain, F.lit(0).alias("level"), "place", leaf_hash(F.col("payload")).alias("hash"), none.alias("children"))
+    nodes = Pile(level)
+    level = nodes.add_part(level)
+    number = 0
+    while True:
+        number += 1
+        child = F.struct("place", "hash")
+        # At most ``fanout`` children; a chain with one node left has its root.
+        above = level.groupBy(chain, F.floor(F.col("place") / fanout).alias("up")).agg(F.array_sort(F.collect_list(child)).alias("c"))
+        above = above.filter((F.col("up") > 0) | (F.size("c") > 1))
+        children = F.col("c.hash")
+        # The first group of a chain with further groups has more than one child, unless the chain is done.
+        level = nodes.add_part(above.select(chain, F.lit(number).alias("level"), F.col("up").alias("place"), node_hash(children).alias("hash"), children.alias("children")))
+        if level.isEmpty():
+            return numbered, nodes.rows()
+
+
+def audit_roots(nodes: DataFrame, chain: str) -> DataFrame:
+    """(chain, levels, root) of every tree."""
+    top = nodes.filter("place = 0").groupBy(chain).agg(F.max("level").alias("levels"), F.max_by("hash", "level").alias("root"))
+    return top.select(chain, "levels", "root")
+
+
+def audit_proofs(asked: DataFrame, nodes: DataFrame, chain: str, fanout: int = FANOUT) -> DataFrame:
+    """``asked`` (rows with the chain and ``place``) with ``path``: place among, and hashes of, the children of each node above.
+
+    A path has one step for each level; with the payload it leads to the root.
+    """
+    inner = nodes.filter("level > 0").select(chain, "level", F.col("place").alias("up"), "children")
+    levels = audit_roots(nodes, chain).select(chain, "levels")
+    rows = asked.withColumn("_row", F.monotonically_increasing_id())
+    steps = rows.select("_row", chain, "place").join(levels, chain)
+    steps = steps.select("_row", chain, F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("levels")))).alias("level"), "place", "levels").filter("level <= levels")
+    below = F.floor(F.col("place") / F.pow(F.lit(float(fanout)), F.col("level") - 1)).cast("long")
+    steps = steps.select("_row", chain, "level", (below % fanout).cast("int").alias("at"), F.floor(below / fanout).alias("up"))
+    found = steps.join(inner, [chain, "level", "up"])
+    path = F.array_sort(F.collect_list(F.struct("level", "at", "children"))).alias("path")
+    paths = found.groupBy("_row").agg(path)
+    empty = F.array().cast("array<struct<level: int, at: int, children: array<string>>>")
+    return rows.join(paths, "_row", "left").withColumn("path", F.coalesce("path", empty)).drop("_row")
+
+
+def audit_proved(proofs: DataFrame, roots: DataFrame, chain: str) -> DataFrame:
+    """``proofs`` with ``is_valid``: whether the payload and its path lead to the root of its chain."""
+    climbed = F.aggregate(
+        "path", leaf_hash(F.col("payload")),
+        lambda below, step: F.when(F.get(step["children"], step["at"]) == below, node_hash(step["children"])).otherwise(F.lit("broken")),
+    )
+    return proofs.join(roots.select(chain, "root"), chain).withColumn("is_valid", climbed == F.col("root")).drop("root")
+
+
 def audit_verify(log: DataFrame, chain: str, order: str) -> DataFrame:
     """Per chain: events, broken links, wrong hashes and validity; fully parallel."""
     linked = with_previous(log, [chain], [F.asc(order)], {"expected_previous": "event_hash"})

@@ -202,6 +202,31 @@ def _(t: Inputs) -> DataFrame:
     return gov.audit_verify(log.withColumn("payload", edited), "actor_id", "seq")
 
 
+_TREE = """WITH RECURSIVE e AS (SELECT actor_id, seq, decision = 'DENY' AND action = 'view' AS edited, sha256('0:' || payload) AS hash,
+        row_number() OVER (PARTITION BY actor_id ORDER BY seq) - 1 AS place FROM audit_events),
+      tree(level, actor_id, place, hash) AS (SELECT 0, actor_id, place, hash FROM e
+        UNION ALL SELECT any_value(level) + 1, actor_id, place // 16, sha256('1:' || string_agg(hash, ',' ORDER BY place))
+        FROM (SELECT *, count(*) OVER (PARTITION BY actor_id) AS m FROM tree) x WHERE m > 1 GROUP BY actor_id, place // 16),
+      roots AS (SELECT actor_id, max(level) AS levels, arg_max(hash, level) AS root FROM tree WHERE place = 0 GROUP BY 1)"""
+
+
+@query("audit_tree_roots", f"{_TREE} SELECT actor_id, CAST(levels AS INT) AS levels, root FROM roots", "audit_events")
+def _(t: Inputs) -> DataFrame:
+    """The root of each actor's log as a hash tree."""
+    _, nodes = gov.audit_tree(t.bound("audit_events"), "actor_id", "seq")
+    return gov.audit_roots(nodes, "actor_id")
+
+
+@query("audit_tree_proofs", f"{_TREE} SELECT e.actor_id, e.seq, e.place, CAST(r.levels AS INT) AS steps, NOT e.edited AS is_valid FROM e JOIN roots r ON r.actor_id = e.actor_id", "audit_events")
+def _(t: Inputs) -> DataFrame:
+    """Inclusion proofs of all events, shown with the events as they are now: denied views were edited after the fact."""
+    numbered, nodes = gov.audit_tree(t.bound("audit_events"), "actor_id", "seq")
+    edited = F.when((F.col("decision") == "DENY") & (F.col("action") == "view"), F.concat("payload", F.lit(" "))).otherwise(F.col("payload"))
+    proofs = gov.audit_proofs(numbered.withColumn("payload", edited), nodes, "actor_id")
+    proved = gov.audit_proved(proofs, gov.audit_roots(nodes, "actor_id"), "actor_id")
+    return proved.select("actor_id", "seq", "place", F.size("path").alias("steps"), "is_valid")
+
+
 @query("audit_summary", """SELECT actor_id, case_id, action, CAST(grouping_id(actor_id, case_id, action) AS INT) AS level, count(*) FILTER (decision = 'ALLOW') AS allowed, count(*) FILTER (decision = 'DENY') AS denied
     FROM audit_events GROUP BY CUBE (actor_id, case_id, action)""", "audit_events")
 def _(t: Inputs) -> DataFrame:

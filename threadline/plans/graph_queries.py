@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadline.operators import analytics, centrality, communities, graph, scoring
+from threadline.operators import analytics, centrality, communities, graph, overview, scoring
 from threadline.plans.registry import Inputs, query
 
 # --- SQL twins of shared steps -------------------------------------------------
@@ -466,6 +466,18 @@ def _(t: Inputs) -> DataFrame:
     return centrality.betweenness(pairs).withColumn("betweenness", F.round("betweenness", 6))
 
 
+@query("case_analytics", """SELECT 'CASE-' || c_custkey // 9 AS case_id, count(*) - 1 AS unique_pairs, CAST(1 AS BIGINT) AS max_frequency, CAST(1 AS BIGINT) AS weak_components,
+      count(*) AS strong_components, round(CASE WHEN count(*) > 2 THEN 2 ELSE 1 END / (count(*) - 1)::DOUBLE, 6) AS top_degree,
+      CASE WHEN count(*) > 2 THEN round(((count(*) - 1) // 2) * (count(*) // 2) / ((count(*) - 1) * (count(*) - 2))::DOUBLE, 6) ELSE 0 END AS top_betweenness
+    FROM customer GROUP BY c_custkey // 9 HAVING count(*) > 1""")
+def _(t: Inputs) -> DataFrame:
+    """One-way chains of nine customers, projected once for all analytics."""
+    edges = t.sql("""SELECT 'CASE-' || (a.c_custkey DIV 9) AS case_id, 'C-' || a.c_custkey AS src_id, 'C-' || b.c_custkey AS tgt_id,
+          'EV-1' AS evidence_id, 'C-' || a.c_custkey AS rel_id
+        FROM {customer} a JOIN {customer} b ON b.c_custkey = a.c_custkey + 1 AND b.c_custkey DIV 9 = a.c_custkey DIV 9""")
+    return overview.CaseAnalytics(edges).summary()
+
+
 @query("communities", """SELECT case_id, id, count(*) OVER (PARTITION BY g) AS size, min(id) OVER (PARTITION BY g) AS head FROM (
       SELECT 'CASE-' || c_custkey // 40 AS case_id, 'C-' || lpad(c_custkey::VARCHAR, 9, '0') AS id, c_custkey // 5 AS g, count(*) OVER (PARTITION BY c_custkey // 5) AS n FROM customer) c WHERE n > 1""")
 def _(t: Inputs) -> DataFrame:
