@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadline.functions import ids
+from threadline.operators.signals import SCOPE
 
-SCOPE = ["case_id", "evidence_id", "artifact_id", "observation_id", "job_id"]
 NEAR = 120
 
 
@@ -26,16 +26,16 @@ def _build(
     confidence: float,
     location: Column,
 ) -> DataFrame:
-    """Rows with ``src`` and ``tgt`` signal structs to relationship rows."""
-    key = ids.digest(F.col("case_id"), F.col("src.signal_id"), F.col("tgt.signal_id"), F.lit(relation))
+    """Rows with the signals' ``src_`` and ``tgt_`` columns to relationship rows."""
+    key = ids.digest(F.col("case_id"), F.col("src_signal_id"), F.col("tgt_signal_id"), F.lit(relation))
     return pairs.withColumn("relationship_key", key).select(
         ids.relationship_id(F.col("relationship_key")).alias("rel_id"),
         "relationship_key",
         *SCOPE,
-        F.col("src.signal_id").alias("source_signal_id"),
-        F.col("tgt.signal_id").alias("target_signal_id"),
-        F.col("src.signal_key").alias("source_signal_key"),
-        F.col("tgt.signal_key").alias("target_signal_key"),
+        F.col("src_signal_id").alias("source_signal_id"),
+        F.col("tgt_signal_id").alias("target_signal_id"),
+        F.col("src_signal_key").alias("source_signal_key"),
+        F.col("tgt_signal_key").alias("target_signal_key"),
         F.lit(source_label).alias("source_label"),
         F.lit(target_label).alias("target_label"),
         F.lit(relation).alias("rel_label"),
@@ -44,13 +44,23 @@ def _build(
         F.lit(confidence).alias("confidence"),
         F.lit("UNDER_REVIEW").alias("human_verification_status"),
         F.lit(None).cast("string").alias("timestamp_observed"),
+        F.col("src_normalized_value").alias("source_value"),
+        F.col("tgt_normalized_value").alias("target_value"),
     )
 
 
+FIELDS = ["signal_id", "signal_key", "source_location", "position", "next_blank", "observed_value", "normalized_value"]
+
+
 def _side(signals: DataFrame, condition: Column, name: str, extra: list[str] | None = None) -> DataFrame:
-    fields = ["signal_id", "signal_key", "source_location", "position", "next_blank", "observed_value"]
-    packed = F.struct(*fields).alias(name)
-    return signals.filter(condition).select(*SCOPE, *(extra or []), packed)
+    """One end's signals, each field a column of its own, so that a join carries only those that are read."""
+    fields = [F.col(field).alias(f"{name}_{field}") for field in FIELDS]
+    return signals.filter(condition).select(*SCOPE, *(extra or []), *fields)
+
+
+def _paired(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs of both sides with equal keys, merged in sorted order: a side's size shows only as it is extracted."""
+    return left.join(right.hint("merge"), keys)
 
 
 def _methods(*names: str) -> Column:
@@ -70,10 +80,10 @@ def rel_row_phone(signals: DataFrame) -> DataFrame:
     """Person and phone in the same row."""
     people = _side(signals, _in_row() & (F.col("entity_type") == "Person"), "src", ["row_index"])
     phones = _side(signals, _in_row() & (F.col("entity_type") == "PhoneNumber"), "tgt", ["row_index"])
-    pairs = people.join(phones, [*SCOPE, "row_index"])
+    pairs = _paired(people, phones, [*SCOPE, "row_index"])
     return _build(
         pairs, "Person", "PhoneNumber", "USED_PHONE", "SQLITE_ROW_CONTACT_BINDING", 1.0,
-        F.col("src.source_location"),
+        F.col("src_source_location"),
     )
 
 
@@ -81,10 +91,10 @@ def rel_row_location(signals: DataFrame) -> DataFrame:
     """Person and place in the same row."""
     people = _side(signals, _in_row() & (F.col("entity_type") == "Person"), "src", ["row_index"])
     places = _side(signals, _in_row() & (F.col("entity_type") == "Location"), "tgt", ["row_index"])
-    pairs = people.join(places, [*SCOPE, "row_index"])
+    pairs = _paired(people, places, [*SCOPE, "row_index"])
     return _build(
         pairs, "Person", "Location", "LOCATED_AT", "SQLITE_ROW_LOCATION_BINDING", 1.0,
-        F.col("src.source_location"),
+        F.col("src_source_location"),
     )
 
 
@@ -97,7 +107,7 @@ def rel_row_called(signals: DataFrame) -> DataFrame:
     method = F.lower("extraction_method")
     directed = method.contains("caller") | method.contains("sender")
     phone = F.struct(
-        "position", "signal_id", "signal_key", "source_location", directed.alias("directed")
+        "position", "signal_id", "signal_key", "source_location", directed.alias("directed"), "normalized_value"
     )
     rows = phones.groupBy(*SCOPE, "row_index").agg(F.array_sort(F.collect_list(phone)).alias("phones"))
     rows = rows.filter(F.size("phones") >= 2)
@@ -108,10 +118,12 @@ def rel_row_called(signals: DataFrame) -> DataFrame:
     callee = F.filter(
         F.col("phones"), lambda item: item.getField("position") != F.col("src").getField("position")
     )
-    pairs = rows.withColumn("tgt", F.get(callee, F.lit(0)))
+    rows = rows.withColumn("tgt", F.get(callee, F.lit(0)))
+    ends = [F.col(end).getField(field).alias(f"{end}_{field}") for end in ("src", "tgt") for field in ("signal_id", "signal_key", "source_location", "normalized_value")]
+    pairs = rows.select(*SCOPE, *ends)
     return _build(
         pairs, "PhoneNumber", "PhoneNumber", "CALLED", "SQLITE_ROW_COMMUNICATION_LOG", 1.0,
-        F.col("src.source_location"),
+        F.col("src_source_location"),
     )
 
 
@@ -124,24 +136,24 @@ def rel_text_proximity(signals: DataFrame) -> DataFrame:
     """
     people = _side(signals, _methods("STRUCTURED_NAME_PREFIX"), "src")
     phones = _side(signals, _methods("REGEX_PHONE_E164"), "tgt")
-    people = people.withColumn("stretch", F.floor(F.col("src.position") / NEAR))
-    own = F.floor(F.col("tgt.position") / NEAR)
+    people = people.withColumn("stretch", F.floor(F.col("src_position") / NEAR))
+    own = F.floor(F.col("tgt_position") / NEAR)
     phones = phones.withColumn("stretch", F.explode(F.array(own - 1, own, own + 1)))
-    low = F.least("src.position", "tgt.position")
-    high = F.greatest("src.position", "tgt.position")
-    blank = F.when(F.col("src.position") <= F.col("tgt.position"), F.col("src.next_blank")).otherwise(
-        F.col("tgt.next_blank")
+    low = F.least("src_position", "tgt_position")
+    high = F.greatest("src_position", "tgt_position")
+    blank = F.when(F.col("src_position") <= F.col("tgt_position"), F.col("src_next_blank")).otherwise(
+        F.col("tgt_next_blank")
     )
-    end = high + F.length("tgt.observed_value")
-    pairs = people.join(phones, [*SCOPE, "stretch"]).filter(
-        (F.col("src.position") >= 0)
-        & (F.col("tgt.position") >= 0)
+    end = high + F.length("tgt_observed_value")
+    pairs = _paired(people, phones, [*SCOPE, "stretch"]).filter(
+        (F.col("src_position") >= 0)
+        & (F.col("tgt_position") >= 0)
         & (high - low < NEAR)
         & ((blank < 0) | (blank + 2 > end))
     )
     return _build(
         pairs, "Person", "PhoneNumber", "USED_PHONE", "DOCUMENT_STRUCTURED_CONTACT_BLOCK", 0.90,
-        F.col("src.source_location"),
+        F.col("src_source_location"),
     )
 
 
@@ -150,8 +162,8 @@ def rel_account_comm(signals: DataFrame) -> DataFrame:
     senders = _side(signals, _methods("AUTOPSY_ACCOUNT_COMM_FROM"), "src")
     receivers = _side(signals, _methods("AUTOPSY_ACCOUNT_COMM_TO"), "tgt")
     return _build(
-        senders.join(receivers, SCOPE), "Email", "Email", "COMMUNICATED_WITH",
-        "AUTOPSY_ACCOUNT_RELATIONSHIP", 1.0, _plain(F.col("src.source_location")),
+        _paired(senders, receivers, SCOPE), "Email", "Email", "COMMUNICATED_WITH",
+        "AUTOPSY_ACCOUNT_RELATIONSHIP", 1.0, _plain(F.col("src_source_location")),
     )
 
 
@@ -161,17 +173,16 @@ def rel_header_used_email(signals: DataFrame, strict: bool = True) -> DataFrame:
     ``strict`` binds a name to the address it stands next to; otherwise every
     recipient name is bound to every recipient address of the message.
     """
-    parts = []
-    for tag in ("FROM", "TO"):
-        keys = [*SCOPE, "slot"] if strict else SCOPE
-        people = _side(signals.withColumn("slot", F.col("position")), _methods(f"AUTOPSY_EMAIL_{tag}_NAME"), "src", ["slot"])
-        boxes = _side(signals.withColumn("slot", F.col("position")), _methods(f"AUTOPSY_EMAIL_{tag}"), "tgt", ["slot"])
-        if not strict:
-            people, boxes = people.drop("slot"), boxes.drop("slot")
-        parts.append(people.join(boxes, keys).drop("slot"))
-    pairs = parts[0].unionByName(parts[1])
+    def tagged(suffix: str) -> DataFrame:
+        tag = F.when(_methods(f"AUTOPSY_EMAIL_FROM{suffix}"), "FROM").when(_methods(f"AUTOPSY_EMAIL_TO{suffix}"), "TO")
+        return signals.withColumn("tag", tag).withColumn("slot", F.col("position"))
+
+    extra = ["tag", "slot"] if strict else ["tag"]
+    people = _side(tagged("_NAME"), F.col("tag").isNotNull(), "src", extra)
+    boxes = _side(tagged(""), F.col("tag").isNotNull(), "tgt", extra)
+    pairs = _paired(people, boxes, [*SCOPE, *extra])
     return _build(
-        pairs, "Person", "Email", "USED_EMAIL", "EMAIL_HEADER_NAME_BINDING", 1.0, F.col("tgt.source_location")
+        pairs, "Person", "Email", "USED_EMAIL", "EMAIL_HEADER_NAME_BINDING", 1.0, F.col("tgt_source_location")
     )
 
 
@@ -180,8 +191,8 @@ def rel_message_comm(signals: DataFrame) -> DataFrame:
     senders = _side(signals, _methods("AUTOPSY_EMAIL_FROM"), "src")
     receivers = _side(signals, _methods("AUTOPSY_EMAIL_TO"), "tgt")
     return _build(
-        senders.join(receivers, SCOPE), "Email", "Email", "COMMUNICATED_WITH",
-        "EMAIL_MESSAGE_COMMUNICATION", 1.0, _plain(F.col("src.source_location")),
+        _paired(senders, receivers, SCOPE), "Email", "Email", "COMMUNICATED_WITH",
+        "EMAIL_MESSAGE_COMMUNICATION", 1.0, _plain(F.col("src_source_location")),
     )
 
 
@@ -190,8 +201,8 @@ def rel_message_person_comm(signals: DataFrame) -> DataFrame:
     senders = _side(signals, _methods("AUTOPSY_EMAIL_FROM_NAME"), "src")
     receivers = _side(signals, _methods("AUTOPSY_EMAIL_TO_NAME"), "tgt")
     return _build(
-        senders.join(receivers, SCOPE), "Person", "Person", "COMMUNICATED_WITH",
-        "EMAIL_MESSAGE_PERSON_COMMUNICATION", 0.95, _plain(F.col("src.source_location")),
+        _paired(senders, receivers, SCOPE), "Person", "Person", "COMMUNICATED_WITH",
+        "EMAIL_MESSAGE_PERSON_COMMUNICATION", 0.95, _plain(F.col("src_source_location")),
     )
 
 

@@ -19,6 +19,9 @@ MATCH = (
     "place:string,trace:string,min_length:int,row_index:int,position:int,next_blank:int,text_key:string>>"
 )
 
+#: What places an observation, and all its signals.
+SCOPE = ["case_id", "evidence_id", "artifact_id", "observation_id", "job_id"]
+
 _extractors: dict[str, Callable[[], Column]] = {}
 
 
@@ -315,15 +318,15 @@ def extract_signals(
     """All signals of the observations.
 
     Extraction has as many tasks as its input has partitions.  Tables that lie in few files
-    or row groups need ``partitions``: observations are then dealt once by case and
-    observation, the key that every relationship rule joins on, into so many.
+    or row groups need ``partitions``: observations are then dealt once by their whole
+    scope, the key that the relationship rules join on, into so many.
 
     ``rules`` picks rules by name (default: all registered); ``keep`` names further
     observation columns to carry along, such as an event time.
     """
     carried = keep or []
     if partitions:
-        observations = observations.repartition(partitions, "case_id", "observation_id")
+        observations = observations.repartition(partitions, *SCOPE)
     extra = {"sig_text_org": sig_text_org}
     chosen = [{**extra, **_extractors}[name] for name in (rules or list(_extractors))]
     matches = F.concat(*[rule() for rule in chosen]) if len(chosen) > 1 else chosen[0]()
