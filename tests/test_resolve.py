@@ -4,6 +4,7 @@ import random
 from difflib import SequenceMatcher
 
 import pytest
+from pyspark.sql import functions as F
 
 from threadline.operators import resolve
 
@@ -94,3 +95,23 @@ def test_evaluation_counts_pairs(spark):
     got = resolve.er_evaluate(truth, guess).first()
     assert (got.true_matches, got.false_matches, got.missed_matches) == (3, 1, 1)
     assert (got.precision, got.recall, got.f1_score) == (0.75, 0.75, 0.75)
+
+
+def test_keys_are_joined_without_a_broadcast(spark, capsys):
+    """The planner's sizes are those of the table, not of the keys made from it."""
+    rows = spark.range(40).select(F.lit("c").alias("case_id"), F.lit("Person").alias("entity_type"), F.concat(F.lit("name of "), "id").alias("value"), F.col("id").alias("seq"))
+    for threshold in (0.85, 0.60):
+        resolve.candidate_pairs(rows, threshold).explain()
+        assert "Broadcast" not in capsys.readouterr().out
+
+
+def test_keys_are_made_for_lengths_that_a_group_has(spark):
+    rows = spark.range(2).select(
+        F.lit("c").alias("case_id"), F.lit("Person").alias("entity_type"), F.col("id").alias("seq"),
+        F.when(F.col("id") == 0, F.repeat(F.lit("abcdefghij"), 3)).otherwise(F.concat(F.repeat(F.lit("abcdefghij"), 3), F.lit("xx"))).alias("value"),
+    )
+    index, probe = resolve._segment_keys(rows, 0.85)
+    pairs = {(30, 30), (30, 32), (32, 32)}
+    assert {tuple(r) for r in index.select("short", "long").distinct().collect()} == pairs
+    assert {tuple(r) for r in probe.select("short", "long").distinct().collect()} == pairs
+    assert resolve.candidate_pairs(rows, 0.85).count() == 1
