@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from threadline.operators import relations as rel
-from threadline.plans import text_queries
+from threadline.plans import catalog, text_queries
 from threadline.operators.signals import extract_signals
 
 MAIL = '{"row_id":"1","email_from":"\\"Ann, Lee\\" <A@x.example>","email_to":"Bo Day <b@x.example>; c@x.example"}'
@@ -46,3 +46,10 @@ def test_written_signals_keep_their_ids(spark):
     signals = mails(spark, ["p", "q"])
     ids = lambda rows: sorted(tuple(r) for r in rows.select("signal_id", "signal_key", "normalized_value").collect())
     assert ids(text_queries._written(signals)) == ids(signals)
+
+
+def test_a_call_has_both_ends_though_rows_come_twice(spark, tmp_path):
+    order = "SELECT 1L AS o_orderkey, 2L AS o_custkey, 'O' AS o_orderstatus, '1-URGENT' AS o_orderpriority"
+    spark.sql(f"{order} UNION ALL {order}").write.parquet(f"{tmp_path}/orders.parquet")
+    calls = catalog.all_queries()["rel_row_called"](spark, str(tmp_path)).select("source", "target").collect()
+    assert [tuple(r) for r in calls] == [("+917000000002", "+918000000001")]

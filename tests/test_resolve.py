@@ -99,7 +99,7 @@ def test_evaluation_counts_pairs(spark):
 
 def test_keys_are_joined_without_a_broadcast(spark, capsys):
     """The planner's sizes are those of the table, not of the keys made from it."""
-    rows = spark.range(40).select(F.lit("c").alias("case_id"), F.lit("Person").alias("entity_type"), F.concat(F.lit("name of "), "id").alias("value"), F.col("id").alias("seq"))
+    rows = spark.range(40).select((F.col("id") % 2).cast("string").alias("case_id"), F.lit("Person").alias("entity_type"), F.concat(F.lit("name of "), "id").alias("value"), F.col("id").alias("seq"))
     for threshold in (0.85, 0.60):
         resolve.candidate_pairs(rows, threshold).explain()
         assert "Broadcast" not in capsys.readouterr().out
