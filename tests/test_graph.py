@@ -178,3 +178,12 @@ def test_paths(spark, pairs):
     asked = spark.createDataFrame([("C", "x1", "x3"), ("C", "x3", "x1")], "case_id string, source_id string, target_id string")
     got = {r.source_id: r for r in analytics.shortest_path_weighted(pairs, asked).collect()}
     assert (got["x1"].hop_count, got["x1"].total_cost, got["x3"].path_exists) == (2, 2.0, False)
+
+
+def test_weighted_frequency_does_not_deal_pairs_by_case(spark, capsys):
+    rows = [("c", f"a{i}", f"b{i}", i, 1, "e") for i in range(4)]
+    pairs = spark.createDataFrame(rows, "case_id string, src_id string, tgt_id string, weight int, evidence_count int, sample_edge_id string")
+    found = analytics.weighted_frequency(pairs)
+    found.explain()
+    assert "SortMergeJoin" not in capsys.readouterr().out
+    assert {(r.unique_pairs, r.max_frequency) for r in found.collect()} == {(4, 3)}
