@@ -61,3 +61,17 @@ def test_events_of_a_hot_chain_are_numbered_without_a_gap(spark):
     events = spark.range(20_000).selectExpr("'hot' AS actor", "id AS seq", "concat('p', id) AS payload")
     numbered, _ = gov.audit_tree(events, "actor", "seq")
     assert numbered.filter("place = seq").count() == numbered.count() == 20_000
+
+
+def test_paths_are_gathered_once_for_all_events_under_a_node(spark):
+    events = spark.range(300).selectExpr("'hot' AS actor", "id AS seq", "concat('p', id) AS payload")
+    numbered, nodes = gov.audit_tree(events, "actor", "seq")
+    asked = numbered.unionByName(numbered.filter("seq < 3"))
+    proofs = gov.audit_proofs(asked, nodes, "actor")
+    plan = proofs._jdf.queryExecution().optimizedPlan().toString()
+    # The steps start from distinct lowest nodes, not from a row for each event.
+    assert "monotonically_increasing_id" not in plan and "_first" in plan
+    found = proofs.collect()
+    assert len(found) == 303 and {s.at for r in found for s in r.path if s.level == 1} == set(range(16))
+    assert all([s.level for s in r.path] == [1, 2, 3] and [s.at for s in r.path] == [r.place % 16, r.place // 16 % 16, r.place // 256] for r in found)
+    assert all(r.is_valid for r in gov.audit_proved(proofs, gov.audit_roots(nodes, "actor"), "actor").collect())

@@ -280,20 +280,26 @@ def audit_roots(nodes: DataFrame, chain: str) -> DataFrame:
 def audit_proofs(asked: DataFrame, nodes: DataFrame, chain: str, fanout: int = FANOUT) -> DataFrame:
     """``asked`` (rows with the chain and ``place``) with ``path``: place among, and hashes of, the children of each node above.
 
-    A path has one step for each level; with the payload it leads to the root.
+    A path has one step for each level; with the payload it leads to the root.  Places under
+    one node of the lowest level share all but their place in it, so a path is gathered once
+    for each such node and handed to its places.
     """
     inner = nodes.filter("level > 0").select(chain, "level", F.col("place").alias("up"), "children")
     levels = audit_roots(nodes, chain).select(chain, "levels")
-    rows = asked.withColumn("_row", F.monotonically_increasing_id())
-    steps = rows.select("_row", chain, "place").join(levels, chain)
-    steps = steps.select("_row", chain, F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("levels")))).alias("level"), "place", "levels").filter("level <= levels")
-    below = F.floor(F.col("place") / F.pow(F.lit(float(fanout)), F.col("level") - 1)).cast("long")
-    steps = steps.select("_row", chain, "level", (below % fanout).cast("int").alias("at"), F.floor(below / fanout).alias("up"))
+    rows = asked.withColumn("_first", F.floor(F.col("place") / fanout))
+    steps = rows.select(chain, "_first").distinct().join(levels, chain)
+    steps = steps.select(chain, "_first", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("levels")))).alias("level"), "levels").filter("level <= levels")
+    above = F.floor(F.col("_first") / F.pow(F.lit(float(fanout)), F.col("level") - 1)).cast("long")
+    below = F.floor(F.col("_first") / F.pow(F.lit(float(fanout)), F.col("level") - 2)).cast("long")
+    steps = steps.select(chain, "_first", "level", F.when(F.col("level") > 1, (below % fanout).cast("int")).alias("at"), above.alias("up"))
     found = steps.join(inner, [chain, "level", "up"])
-    path = F.array_sort(F.collect_list(F.struct("level", "at", "children"))).alias("path")
-    paths = found.groupBy("_row").agg(path)
+    paths = found.groupBy(chain, "_first").agg(F.array_sort(F.collect_list(F.struct("level", "at", "children"))).alias("path"))
+    own = (F.col("place") % fanout).cast("int")
+    path = F.transform("path", lambda step: F.struct(
+        step["level"].alias("level"), F.coalesce(step["at"], own).alias("at"), step["children"].alias("children")
+    ))
     empty = F.array().cast("array<struct<level: int, at: int, children: array<string>>>")
-    return rows.join(paths, "_row", "left").withColumn("path", F.coalesce("path", empty)).drop("_row")
+    return rows.join(paths, [chain, "_first"], "left").select(*asked.columns, F.coalesce(path, empty).alias("path"))
 
 
 def audit_proved(proofs: DataFrame, roots: DataFrame, chain: str) -> DataFrame:

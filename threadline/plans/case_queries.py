@@ -222,9 +222,10 @@ def _(t: Inputs) -> DataFrame:
     """Inclusion proofs of all events, shown with the events as they are now: denied views were edited after the fact."""
     numbered, nodes = gov.audit_tree(t.bound("audit_events"), "actor_id", "seq")
     edited = F.when((F.col("decision") == "DENY") & (F.col("action") == "view"), F.concat("payload", F.lit(" "))).otherwise(F.col("payload"))
-    proofs = gov.audit_proofs(numbered.withColumn("payload", edited), nodes, "actor_id")
+    # Steps are counted before the roots come in, so that no path is shuffled with its event.
+    proofs = gov.audit_proofs(numbered.withColumn("payload", edited), nodes, "actor_id").withColumn("steps", F.size("path"))
     proved = gov.audit_proved(proofs, gov.audit_roots(nodes, "actor_id"), "actor_id")
-    return proved.select("actor_id", "seq", "place", F.size("path").alias("steps"), "is_valid")
+    return proved.select("actor_id", "seq", "place", "steps", "is_valid")
 
 
 @query("audit_summary", """SELECT actor_id, case_id, action, CAST(grouping_id(actor_id, case_id, action) AS INT) AS level, count(*) FILTER (decision = 'ALLOW') AS allowed, count(*) FILTER (decision = 'DENY') AS denied
