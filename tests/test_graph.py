@@ -187,3 +187,24 @@ def test_weighted_frequency_does_not_deal_pairs_by_case(spark, capsys):
     found.explain()
     assert "SortMergeJoin" not in capsys.readouterr().out
     assert {(r.unique_pairs, r.max_frequency) for r in found.collect()} == {(4, 3)}
+
+
+_EDGE = "case_id string, src_id string, tgt_id string, src_label string, tgt_label string, rel_label string, rel_id string, evidence_id string"
+
+
+def test_edges_that_labels_decide_are_not_looked_up(spark):
+    rows = [
+        ("c", "a", "b", "Person", "Person", "COMMUNICATED_WITH", "r1", "e"), ("c", "a", "no", "Person", "Person", "COMMUNICATED_WITH", "r2", "e"),
+        ("c", "no", "no", "Person", "Person", "COMMUNICATED_WITH", "r3", "e"), ("c", "no", "b", "Person", "Person", "CALLED", "r4", "e"),
+        (None, "a", "b", None, "Person", None, "r5", "e"), ("c", "a", "b", "Person", "Person", "CALLED", "r6", None), ("c", None, "b", "Person", "Person", "COMMUNICATED_WITH", "r7", "e"),
+    ]
+    nodes = spark.createDataFrame([("c", "a"), ("c", "b"), ("c", "a")], "case_id string, id string")
+    checked = graph.edge_schema_check(spark.createDataFrame(rows, _EDGE), nodes)
+    assert checked.columns == [*(f.split()[0] for f in _EDGE.split(", ")), "reject_reason"]
+    found = {r.rel_id: r.reject_reason for r in checked.collect()}
+    assert found == {
+        "r1": None, "r2": "UNKNOWN_TARGET", "r3": "UNKNOWN_SOURCE", "r4": "ILLEGAL_TRIPLE", "r5": "ILLEGAL_TRIPLE", "r6": "ILLEGAL_TRIPLE", "r7": "UNKNOWN_SOURCE",
+    }
+    # Illegal edges form a branch of their own, which has no join.
+    plan = checked._jdf.queryExecution().optimizedPlan()
+    assert plan.nodeName() == "Union" and "Join" not in plan.children().last().toString()

@@ -54,17 +54,17 @@ def legal_triple(relation: Column, source: Column, target: Column) -> Column:
 
 def edge_schema_check(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Every edge with a reject reason, null where it may be stored."""
+    legal = legal_triple(F.col("rel_label"), F.col("src_label"), F.col("tgt_label"))
+    # What the labels decide is not looked up.
+    illegal = edges.filter(~legal).select(*edges.columns, F.lit("ILLEGAL_TRIPLE").alias("reject_reason"))
     present = nodes.select("case_id", "id").distinct()
     checked = (
-        edges.join(present.select("case_id", F.col("id").alias("src_id"), F.lit(True).alias("_s")), ["case_id", "src_id"], "left")
+        edges.filter(F.coalesce(legal, F.lit(True)))
+        .join(present.select("case_id", F.col("id").alias("src_id"), F.lit(True).alias("_s")), ["case_id", "src_id"], "left")
         .join(present.select("case_id", F.col("id").alias("tgt_id"), F.lit(True).alias("_t")), ["case_id", "tgt_id"], "left")
     )
-    reason = (
-        F.when(~legal_triple(F.col("rel_label"), F.col("src_label"), F.col("tgt_label")), "ILLEGAL_TRIPLE")
-        .when(F.col("_s").isNull(), "UNKNOWN_SOURCE")
-        .when(F.col("_t").isNull(), "UNKNOWN_TARGET")
-    )
-    return checked.select(*edges.columns, reason.alias("reject_reason"))
+    reason = F.when(F.col("_s").isNull(), "UNKNOWN_SOURCE").when(F.col("_t").isNull(), "UNKNOWN_TARGET")
+    return checked.select(*edges.columns, reason.alias("reject_reason")).unionByName(illegal)
 
 
 def provenance_records(entities: DataFrame, relationships: DataFrame) -> DataFrame:
