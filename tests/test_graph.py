@@ -208,3 +208,21 @@ def test_edges_that_labels_decide_are_not_looked_up(spark):
     # Illegal edges form a branch of their own, which has no join.
     plan = checked._jdf.queryExecution().optimizedPlan()
     assert plan.nodeName() == "Union" and "Join" not in plan.children().last().toString()
+
+
+def test_only_repeated_relationship_ids_are_grouped(spark, monkeypatch):
+    rows = [("c", "a", "b", "Person", "Person", "CALLED", f"r{i}", f"e{i}") for i in range(20)]
+    rows += [("c", "a", "b", "Person", "Person", "CALLED", "r3", "e1"), ("d", "a", "b", "Person", "Person", "CALLED", "r3", "e7")]
+    rows += [(None, "a", "b", "Person", "Person", "CALLED", None, e) for e in ("e9", "e8", "e8")]
+    edges = spark.createDataFrame(rows, _EDGE)
+    entities = spark.createDataFrame([("c", "a")], "case_id string, canonical_entity_id string")
+
+    def records():
+        found = graph.provenance_records(entities, edges).filter("resource_type = 'RELATIONSHIP'")
+        return sorted(((r.case_id or "", r.resource_id or "", r.provenance) for r in found.collect()))
+
+    split = records()
+    assert len(split) == 22 and '"evidence_id":"e1"' in dict(((c, i), p) for c, i, p in split)["c", "r3"]
+    assert '"evidence_id":"e8"' in dict(((c, i), p) for c, i, p in split)["", ""]
+    monkeypatch.setattr(graph, "REPEATED", 0)
+    assert records() == split

@@ -16,6 +16,8 @@ from threadline.session import cut_lineage
 
 NODE_KEY = ["case_id", "id"]
 PAIR_KEY = ["case_id", "src_id", "tgt_id"]
+#: Hashes of repeated relationship ids that are looked up; with more, all rows are grouped.
+REPEATED = 500_000
 
 
 # --- nodes and edges -----------------------------------------------------------
@@ -74,11 +76,7 @@ def provenance_records(entities: DataFrame, relationships: DataFrame) -> DataFra
         F.to_json(F.struct(*[name for name in entities.columns if name != "case_id"])).alias("provenance"),
     )
     payload = [name for name in relationships.columns if name not in ("case_id",)]
-    relation = relationships.select(
-        "case_id", F.col("rel_id").alias("resource_id"), F.lit("RELATIONSHIP").alias("resource_type"),
-        F.to_json(F.struct(*payload)).alias("provenance"),
-    )
-    relation = relation.groupBy("case_id", "resource_id", "resource_type").agg(F.min("provenance").alias("provenance"))
+    relation = _first_records(relationships, payload)
     first = relationships.groupBy(*PAIR_KEY).agg(
         F.min(F.struct("rel_id", *[name for name in payload if name not in ("rel_id", "src_id", "tgt_id")])).alias("r")
     )
@@ -91,6 +89,25 @@ def provenance_records(entities: DataFrame, relationships: DataFrame) -> DataFra
     return entity.unionByName(relation).unionByName(pair)
 
 
+def _first_records(relationships: DataFrame, payload: list[str]) -> DataFrame:
+    """The least record of each relationship id.
+
+    Ids repeat only where evidence was ingested again, so they are told apart by a hash first
+    and just the rows whose hash repeats are grouped, unless those hashes are too many.
+    """
+    key = F.xxhash64("case_id", "rel_id")
+    repeated = cut_lineage(relationships.groupBy(key.alias("_key")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_key"))
+    records = relationships.select(
+        "case_id", F.col("rel_id").alias("resource_id"), F.lit("RELATIONSHIP").alias("resource_type"),
+        F.to_json(F.struct(*payload)).alias("provenance"), key.alias("_key"),
+    )
+    least = lambda rows: rows.groupBy("case_id", "resource_id", "resource_type").agg(F.min("provenance").alias("provenance"))
+    if repeated.limit(REPEATED + 1).count() > REPEATED:
+        return least(records)
+    single = records.join(repeated, "_key", "left_anti").drop("_key")
+    return single.unionByName(least(records.join(repeated, "_key", "left_semi")))
+
+
 def case_nodes(nodes: DataFrame, bindings: DataFrame) -> DataFrame:
     """Nodes bound to their case by the resource table (resource_id, case_id)."""
     owners = bindings.select(F.col("resource_id").alias("id"), "case_id")
