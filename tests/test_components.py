@@ -60,3 +60,23 @@ def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
     found = analytics.strong_components(frame(spark, [*line, (line[-1][1], line[0][0])])).first()
     assert (found.strongly_connected_count, found.largest_component_size) == (1, n)
     assert len(writes) <= 30
+
+
+def test_nodes_that_share_a_number_are_numbered_again(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from threadline.operators import analytics
+
+    real, seeds = analytics._number, []
+
+    def number(end, seed):
+        seeds.append(seed)
+        return real(end, seed) if seed else F.pmod(real(end, seed), F.lit(2))
+
+    monkeypatch.setattr(analytics, "_number", number)
+    rows = [("x", f"n{i}", f"n{i + 1}", 1) for i in range(0, 12, 2)] + [("y", "n3", "n1", 1), ("y", "n1", "n2", 1), (None, "n1", "n2", 1), ("z", "n5", "n5", 1)]
+    pairs = spark.createDataFrame(rows, "case_id string, src_id string, tgt_id string, weight long")
+    found = {(r.case_id, r.id): r.component for r in analytics.component_labels(pairs).collect()}
+    expected = {("x", f"n{i + d}"): f"n{i}" for i in range(0, 12, 2) for d in (0, 1)} | {("x", "n10"): "n10", ("x", "n11"): "n10"}
+    expected |= {("y", n): "n1" for n in ("n1", "n2", "n3")} | {(None, "n1"): "n1", (None, "n2"): "n2", ("z", "n5"): "n5"}
+    assert found == expected and max(seeds) == 1
