@@ -95,3 +95,35 @@ def test_every_pair_at_the_bound_is_found(spark):
     found = {r.doc_id: r.component_id for r in near.near_copies(frame).collect()}
     assert [found[2 * g] == found[2 * g + 1] for g in range(300)] == [wanted[g] for g in range(300)]
     assert 50 < sum(wanted.values()) < 290
+
+
+def test_copies_of_one_text_meet_it_and_not_each_other(spark, monkeypatch):
+    """Copies that are similar to their original alone: pairs decided stay in proportion to the texts."""
+    rng = random.Random(3)
+    base = [f"o{i}" for i in range(150)]
+    texts = {i: " ".join(edited(rng, base, 3)) for i in range(300)} | {300: " ".join(base)}
+    decided = []
+    passed = near._passed
+    monkeypatch.setattr(near, "_passed", lambda pairs, *how: decided.append(pairs.count()) or passed(pairs, *how))
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in near.near_copies(frame).collect()}
+    assert found == groups_by_hand(texts)
+    assert decided[-1] <= len(texts) and sum(decided) <= near.BANDS * len(texts)
+
+
+def test_fingerprints_link_first(spark, monkeypatch):
+    """Pairs within two bits of SimHash are decided before any that min-hashes find."""
+    rng = random.Random(4)
+    bases = [[f"s{g}w{i}" for i in range(400)] for g in range(30)]
+    texts = {}
+    for g, base in enumerate(bases):
+        texts[2 * g], texts[2 * g + 1] = " ".join(base), " ".join([*base, f"more{rng.randrange(10**6)}"])
+    prints = {i: near.set_fingerprint(near.shingle_hashes(near.words_of(t))) for i, t in texts.items()}
+    close = sum((prints[2 * g] ^ prints[2 * g + 1]) & (1 << 64) - 1 in {0} | {1 << i | 1 << j for i in range(64) for j in range(64)} for g in range(30))
+    decided = []
+    passed = near._passed
+    monkeypatch.setattr(near, "_passed", lambda pairs, *how: decided.append(pairs.count()) or passed(pairs, *how))
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in near.near_copies(frame).collect()}
+    assert found == {i: i - i % 2 for i in texts}
+    assert decided[0] == close > 0

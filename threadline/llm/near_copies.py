@@ -1,6 +1,9 @@
-"""Near copies by word shingles: min-hash bands find the pairs, an exact Jaccard check decides.
+"""Near copies by word shingles: SimHash and min-hash bands find the pairs, an exact Jaccard check decides.
 
-Texts with one word sequence (ASCII letters in lower case) are one node.  A node has
+Texts with one word sequence (ASCII letters in lower case) are one node.  Nodes are linked
+first as operator 4 links texts: by SimHash fingerprints, here of the set of shingles, that
+covering masks find within two bits of each other.  Copies at 0.8 differ in up to 11 bits,
+so min-hash bands find the others: a node has
 ``bands`` keys, each of the smallest hashes under ``rows`` hash functions; two nodes of
 similarity s share no key with probability (1 - s ** rows) ** bands, at 0.8 and the given
 numbers 4.7e-8.  Every pair that shares a key is decided by its similarity, unless both
@@ -8,9 +11,11 @@ ends are already connected by pairs that passed or their numbers of shingles are
 apart.  The similarity is that of the sets of 64-bit shingle hashes, which equal those of
 the shingles themselves unless two of a pair's shingles collide; sets meet in the JVM.
 
-In each of ``ROUNDS`` rounds a centre of each bucket, chosen by a hash of node and round, is
-compared with the bucket's nodes of other components; those links join most of a group of
-any size at a cost in proportion to it.  What is left are nodes that share a bucket with
+In each of ``ROUNDS`` rounds a centre of each bucket is compared with the bucket's nodes of
+other components: the node whose buckets hold most nodes, of those that were no centre of it
+before.  Such a node differs least from what its group has in common, so it is similar to
+all that are similar to any of the group but for a few, and those links join most of a group
+of any size at a cost in proportion to it.  What is left are nodes that share a bucket with
 another component.  They are compared by prefixes: two sets of similarity s share one of
 the rarest (1 - s) n + 1 shingles of either, the first one so early that enough can follow, so
 only nodes with such a shingle in common meet.  A text with more shingles of its own than that meets nobody, however much
@@ -41,6 +46,7 @@ from pyspark.sql import types as T
 
 from threadline.llm.common import named, same, small_batches, whole_row
 from threadline.llm.components import components
+from threadline.llm.simhash_dedup import majority_bits, near_links
 from threadline.session import Pile, cut_lineage, discard
 
 SHINGLE = 5
@@ -93,6 +99,11 @@ def keys_of(least: np.ndarray, bands: int, rows: int) -> list[int]:
     return [xxhash.xxh64_intdigest(part.tobytes()) - (1 << 63) for part in least.reshape(bands, rows)]
 
 
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """SimHash of a set of shingle hashes; 0 for none."""
+    return majority_bits(hashes[i : i + BLOCK] for i in range(0, len(hashes), BLOCK))
+
+
 def sketch_of(least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """One bit and eight bits of each min-hash, mixed, as signed longs."""
     mixed = (least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)
@@ -109,7 +120,7 @@ def most_apart(similarity: float, hashes: int, bits: int) -> int:
 
 _SKETCH = T.StructType([
     T.StructField("key", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())),
-    T.StructField("bit", T.ArrayType(T.LongType())), T.StructField("byte", T.ArrayType(T.LongType())),
+    T.StructField("bit", T.ArrayType(T.LongType())), T.StructField("byte", T.ArrayType(T.LongType())), T.StructField("fp", T.LongType()),
 ])
 
 
@@ -123,7 +134,7 @@ def _sketches(size: int, bands: int, rows: int):  # noqa: ANN202
                 hashes = shingle_hashes(words, size)
                 least = min_hashes(hashes, bands * rows)
                 keys = keys_of(least, bands, rows) if words else []
-                found.append((xxhash.xxh3_128_digest(b" ".join(words)), len(hashes), keys, *sketch_of(least)))
+                found.append((xxhash.xxh3_128_digest(b" ".join(words)), len(hashes), keys, *sketch_of(least), set_fingerprint(hashes)))
             yield pd.DataFrame(found, columns=_SKETCH.names)
 
     return sketch
@@ -188,6 +199,20 @@ def _prefixes(rows: DataFrame, similarity: float) -> DataFrame:
     return cut_lineage(kept.join(rows.select("node", "n", "bit", "root"), "node"))
 
 
+def _within_radius(nodes: DataFrame) -> DataFrame:
+    """(a, b) of nodes (node, fp): links that connect just those whose fingerprints are equal or near.
+
+    The first node of a fingerprint stands for it.
+    """
+    heads = cut_lineage(nodes.groupBy("fp").agg(F.min("node").alias("head")))
+    equal = nodes.join(heads, "fp").select("head", "node").filter("head <> node")
+    ends = near_links(heads.select("fp"))
+    for end in ("a", "b"):
+        ends = ends.join(heads.select(F.col("fp").alias(end), F.col("head").alias(f"{end}_node")), end)
+    pairs = equal.toDF("a", "b").unionByName(ends.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")))
+    return cut_lineage(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+
 def near_copies(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = SHINGLE, similarity: float = SIMILARITY,
     bands: int = BANDS, rows: int = ROWS,
@@ -204,15 +229,18 @@ def near_copies(
     sketched = cut_lineage(sketched.select("doc_id", "s.*"))
     # Nulls go last, so that a component with any id is named by one.
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
-    same_words = [F.first(c).alias(c) for c in ("n", "bands", "bit", "byte")]
+    same_words = [F.first(c).alias(c) for c in ("n", "bands", "bit", "byte", "fp")]
     nodes = sketched.groupBy("key").agg(first.alias("first"), *same_words)
     # Written once, the numbers stay as they are.
     nodes = cut_lineage(nodes.withColumn("node", F.monotonically_increasing_id()))
     keyed = nodes.select("node", "n", "bit", F.posexplode("bands").alias("t", "k"))
-    shared = keyed.groupBy("t", "k").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("t", "k")
+    shared = keyed.groupBy("t", "k").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     members = cut_lineage(keyed.join(shared, ["t", "k"]))
+    mates = members.groupBy("node").agg(F.sum("m").alias("mates"))
+    alike = _within_radius(nodes.filter("n > 0"))
     # The set of each node that has a partner, from one of its texts.
-    ends = members.select("node").distinct().join(nodes.select("node", "key", "first.doc_id"), "node")
+    partners = members.select("node").unionByName(alike.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
+    ends = partners.join(nodes.select("node", "key", "first.doc_id"), "node")
     rows_ = docs.select(named(id_column).alias("doc_id"), _keyed_sets(size)(text).alias("s")).select("doc_id", "s.key", "s.hashes")
     held = ends.alias("e").join(rows_.alias("r"), same("e", "r", ["doc_id", "key"])).select("e.node", "r.hashes")
     sets = cut_lineage(held.dropDuplicates(["node"]))
@@ -223,11 +251,9 @@ def near_copies(
     )
     tested = Pile(members.select(F.col("node").alias("a"), F.col("node").alias("b")))
     links = Pile(tested.rows())
-    roots = None
 
     def compare(pairs: DataFrame) -> DataFrame:
-        """Test the pairs (l, r) that were not tested before; the roots of all links so far."""
-        pairs = pairs.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
+        """Test the pairs (a, b) that were not tested before; the roots of all links so far."""
         pairs = tested.add_part(pairs.join(tested.rows(), ["a", "b"], "left_anti"))
         left, right = (bytes_.select(F.col("node").alias(end), F.col("byte").alias(f"{end}_byte")) for end in ("a", "b"))
         close = _apart("a_byte", "b_byte", -(-hashes // 8)) <= most_apart(similarity, hashes, 8)
@@ -235,18 +261,22 @@ def near_copies(
         links.add_part(_passed(pairs, sets, similarity))
         return components(links.rows())
 
+    roots = compare(alike)
+    centres = Pile(members.select("t", "k", "node"))
+    members = cut_lineage(members.join(mates, "node").select("t", "k", "node", "n", "bit", "mates"))
     for turn in range(ROUNDS + 1):
-        root = F.col("node") if roots is None else F.coalesce("root", "node")
-        placed = members if roots is None else members.join(roots, "node", "left")
-        placed = cut_lineage(placed.select("t", "k", "node", "n", "bit", root.alias("root")))
-        centre = F.min_by(F.struct("node", "n", "bit", "root"), F.struct(F.xxhash64(F.col("node"), F.lit(turn)), "node"))
-        mixed = placed.groupBy("t", "k").agg(centre.alias("c"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+        placed = members.join(roots, "node", "left")
+        placed = cut_lineage(placed.select("t", "k", "node", "n", "bit", "mates", F.coalesce("root", "node").alias("root")))
+        mixed = placed.groupBy("t", "k").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("t", "k")
         bucket = (F.col("l.t") == F.col("r.t")) & (F.col("l.k") == F.col("r.k"))
         if turn < ROUNDS:
-            left = mixed.select("t", "k", "c.*")
+            fresh = placed.join(mixed, ["t", "k"], "left_semi").join(centres.rows(), ["t", "k", "node"], "left_anti")
+            centre = F.max_by(F.struct("node", "n", "bit", "root"), F.struct("mates", "node"))
+            left = cut_lineage(fresh.groupBy("t", "k").agg(centre.alias("c")).select("t", "k", "c.*"))
+            centres.add(left)
             pairs = left.alias("l").join(placed.alias("r"), bucket & near)
         else:
-            left_over = placed.join(mixed.select("t", "k"), ["t", "k"], "left_semi").select("node", "n", "bit", "root").distinct()
+            left_over = placed.join(mixed, ["t", "k"], "left_semi").select("node", "n", "bit", "root").distinct()
             prefixes = _prefixes(left_over.join(sets, "node"), similarity)
             # The first shingle that two sets share leaves room for no more than what follows it in both.
             room = F.lit(1) + F.least(F.col("l.n") - F.col("l.rank"), F.col("r.n") - F.col("r.rank"))
@@ -254,7 +284,7 @@ def near_copies(
             pairs = prefixes.alias("l").join(
                 prefixes.alias("r"), (F.col("l.h") == F.col("r.h")) & (F.col("l.node") < F.col("r.node")) & enough & near
             )
-        roots = compare(pairs)
+        roots = compare(pairs.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct())
         discard(placed)
     rooted = nodes.select("node", "key", "first").join(roots, "node", "left")
     rooted = cut_lineage(rooted.select("key", "first", F.coalesce("root", "node").alias("root")))

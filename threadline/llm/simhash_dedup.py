@@ -21,7 +21,7 @@ Defined results
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import islice
 
 import numpy as np
@@ -50,20 +50,26 @@ def _hashes(words: list[bytes]) -> Iterator[int]:
     return (xxhash.xxh64_intdigest(b" ".join(words[i : i + SHINGLE]), SEED) for i in range(len(words) - SHINGLE + 1))
 
 
-def fingerprint_of(text: str | None) -> int:
-    """Signed 64-bit fingerprint: a bit is set if over half of the shingle hashes have it."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    hashes, counts, n = _hashes(words), np.zeros(64, np.int64), 0
+def _blocks(hashes: Iterator[int]) -> Iterator[np.ndarray]:
     while len(block := np.fromiter(islice(hashes, BLOCK), np.uint64)):
+        yield block
+
+
+def majority_bits(blocks: Iterable[np.ndarray]) -> int:
+    """Signed 64-bit fingerprint of unsigned hashes: a bit is set if over half of them have it."""
+    counts, n = np.zeros(64, np.int64), 0
+    for block in blocks:
         counts += np.unpackbits(block.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
         n += len(block)
-        if len(block) < BLOCK:
-            break
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big", signed=True)
 
 
+def fingerprint_of(text: str | None) -> int:
+    """Signed 64-bit fingerprint: a bit is set if over half of the shingle hashes have it."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return majority_bits(_blocks(_hashes(words))) if words else 0
+
+
 @F.pandas_udf(T.LongType())
 def _fingerprints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in batches:
