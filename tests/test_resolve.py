@@ -115,3 +115,18 @@ def test_keys_are_made_for_lengths_that_a_group_has(spark):
     assert {tuple(r) for r in index.select("short", "long").distinct().collect()} == pairs
     assert {tuple(r) for r in probe.select("short", "long").distinct().collect()} == pairs
     assert resolve.candidate_pairs(rows, 0.85).count() == 1
+
+
+@pytest.mark.parametrize("threshold", [0.60, 0.85])
+def test_small_groups_meet_without_keys_and_give_the_same_pairs(spark, monkeypatch, threshold):
+    rng = random.Random(5)
+    rows = [(f"C{rng.randrange(12) if n % 3 else n}", "Person", v, n) for n, v in enumerate(noisy_names(5, 150))]
+    rows += [(None, "Person", "Anita Desai", 1), (None, "Person", "Anita Desay", 2), ("T", "Person", "Ab", 1), ("T", "Person", "aB", 1)]
+    values = resolve.distinct_values(spark.createDataFrame(rows, "case_id string, entity_type string, normalized_value string, seq long"), "seq")
+    found = sorted(tuple(r) for r in resolve.candidate_pairs(values, threshold).collect())
+    assert found == sorted(tuple(r) for r in resolve._keyed(values, threshold).collect())
+    with monkeypatch.context() as patch:
+        # Groups of two or three values make no keys.
+        patch.setattr(resolve, "_keyed", lambda *_: pytest.fail("keys"))
+        few = spark.createDataFrame([(f"C{n}", "Person", v, n) for n in range(9) for v in ("Mohan Lal", "Mohan Lall", "Bo")], "case_id string, entity_type string, value string, seq long")
+        assert resolve.candidate_pairs(few, threshold).count() == 9
