@@ -8,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from threadline.operators.signals import extract_signals
+from threadline.plans import stream_queries
+from threadline.plans.registry import Inputs
 from threadline.schemas import OBSERVATION
 from threadline.streaming.signals import EdgeCountStream, SignalStream, edge_counts, read_observation_stream
 
@@ -146,3 +148,42 @@ def test_reading_costs_one_table(spark, tmp_path):
     assert "Exchange" not in stream.counts()._jdf.queryExecution().executedPlan().toString()
     kept = [p for p in pathlib.Path(f"{tmp_path}/counts/table/rows").rglob("_slot=*") if p.is_dir()]
     assert len(kept) <= 2 * len(files)  # replaced files are deleted
+
+
+def test_late_batches_are_counted_in_one_commit(spark, tmp_path):
+    stream, everything = drained(spark, tmp_path, BATCHES)
+    late = {r.batch for r in stream.split.late(everything.schema).select("batch").distinct().collect()}
+    assert len(late) == 2
+    stream.merge_late()
+    ledger = stream.table._ledger().filter("entry like 'late-%'")
+    assert {r.entry for r in ledger.collect()} == {f"late-{n}" for n in late}
+    assert ledger.select("at").distinct().count() == 1 and all(stream.table.committed(f"late-{n}") for n in late)
+    paths = stream.table.paths()
+    stream.merge_late()
+    assert stream.table.paths() == paths and counted(stream.counts()) == counted(edge_counts(everything))
+
+
+def test_a_batch_of_many_files_loses_no_signal(spark, tmp_path):
+    """Rows of one batch lie far apart in time: none of its files may move the watermark for the others."""
+    source, root = f"{tmp_path}/source", f"{tmp_path}/root"
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in OBSERVATION.fields) + ", observed_at timestamp"
+    rows = [observation(n, f"mail m{n}@x.org", 100 * (40 - n)) for n in range(40)]
+    spark.createDataFrame(rows, schema).repartition(8, "observation_id").write.parquet(source)
+    stream = SignalStream(spark, root, delay=3600)
+    stream.drain(read_observation_stream(spark, source, 8))
+    stream.drain(read_observation_stream(spark, source, 8))
+    assert stream.accepted().count() == 40
+
+
+def test_the_arrivals_are_four_batches_of_many_files(spark, data):
+    conf = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, "16")
+    try:
+        seen = []
+        arrivals = stream_queries._stream(Inputs(spark, data), "documents", "doc_id")
+        running = arrivals.writeStream.foreachBatch(lambda b, n: seen.append((len(b.inputFiles()), b.count()))).trigger(availableNow=True).start()
+        running.awaitTermination()
+    finally:
+        spark.conf.set(conf, before)
+    assert [files for files, _ in seen] == [4] * 4 and sum(n for _, n in seen) == spark.read.parquet(f"{data}/documents.parquet").count()

@@ -18,11 +18,12 @@ def _root(t: Inputs) -> str:
 
 
 def _stream(t: Inputs, table: str, key: str) -> DataFrame:
-    """The table as four files of rows in no order of time, one for each micro-batch."""
+    """The table as files of rows in no order of time; a micro-batch takes a quarter of them, each file is a task."""
     rows = t.table(table)
     path = f"{ensure_checkpoint_dir(t.spark)}/threadline/arrivals-{uuid.uuid4().hex}"
-    rows.repartition(4, F.pmod(F.xxhash64(key), F.lit(64))).write.parquet(path)
-    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    files = max(1, int(t.spark.conf.get("spark.sql.shuffle.partitions")) // 4)
+    rows.repartition(4 * files, F.xxhash64(key)).write.parquet(path)
+    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 @query("stream_signals", f"""SELECT DISTINCT observation_id, 'Email' AS entity_type, lower(raw) AS normalized_value FROM {_matches('doc_obs', _EMAIL_RE)} m
@@ -41,7 +42,7 @@ def _(t: Inputs) -> DataFrame:
         F.timestamp_seconds(F.lit(1700000000) + F.col("doc_id")).alias("observed_at"),
     )
     stream = SignalStream(t.spark, _root(t), delay=600)
-    stream.drain(observations, files_per_trigger=1)
+    stream.drain(observations)
     return stream.rebuild().filter("entity_type in ('Email', 'PhoneNumber')").select("observation_id", "entity_type", "normalized_value")
 
 

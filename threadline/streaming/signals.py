@@ -48,10 +48,10 @@ class SignalStream:
         example = spark.createDataFrame([], T.StructType([*OBSERVATION.fields, T.StructField(TIME, T.TimestampType())]))
         self.schema = _signals(example).schema
 
-    def drain(self, observations: DataFrame, files_per_trigger: int | None = None) -> None:
+    def drain(self, observations: DataFrame) -> None:
         """Take everything the stream of observations holds now."""
         self.split.drain(observations, _signals)
-        timed = self.split.on_time(self.schema, files_per_trigger).withWatermark(TIME, f"{self.delay} seconds")
+        timed = self.split.on_time(self.schema).withWatermark(TIME, f"{self.delay} seconds")
         once = timed.dropDuplicatesWithinWatermark(["signal_key"])
         drain(once, lambda batch, number: batch.write.mode("overwrite").parquet(batch_folder(f"{self.root}/accepted", number)), f"{self.root}/state-once")
 
@@ -147,22 +147,24 @@ class EdgeCountStream:
             F.max_by("counted", "version").alias("counted"), F.max("version").alias("version"), F.sum("late").alias("late")
         )
 
-    def drain(self, edges: DataFrame, files_per_trigger: int | None = None) -> None:
+    def drain(self, edges: DataFrame) -> None:
         """Take everything the stream of edges holds now."""
         schema = T._parse_datatype_string(self.EDGE)
         self.split.drain(edges.select(*schema.names), lambda batch: batch)
-        timed = self.split.on_time(schema, files_per_trigger).withWatermark(TIME, f"{self.delay} seconds")
+        timed = self.split.on_time(schema).withWatermark(TIME, f"{self.delay} seconds")
         drain(edge_counts(timed, self.window), self.take, f"{self.root}/state-counts", "update")
 
     def merge_late(self) -> None:
-        """Count the late edges of batches that were not counted yet."""
+        """Count the late edges of batches that were not counted yet, all of them in one rewrite of the table."""
         late = self.split.late(T._parse_datatype_string(self.EDGE)).filter(f"{TIME} is not null")
-        for number in sorted(row["batch"] for row in late.select("batch").distinct().collect()):
-            if not self.table.committed(f"late-{number}"):
-                counts = edge_counts(late.filter(F.col("batch") == number), self.window)
-                none = F.lit(None).cast("long")
-                rows = counts.select(*self.KEYS, none.alias("counted"), none.alias("version"), F.col("interactions").alias("late"))
-                self.table.commit(f"late-{number}", rows, self._slot(), self._merge)
+        numbers = sorted(row["batch"] for row in late.select("batch").distinct().collect())
+        fresh = [number for number in numbers if not self.table.committed(f"late-{number}")]
+        if fresh:
+            counts = edge_counts(late.filter(F.col("batch").isin(fresh)), self.window)
+            none = F.lit(None).cast("long")
+            rows = counts.select(*self.KEYS, none.alias("counted"), none.alias("version"), F.col("interactions").alias("late"))
+            names = [f"late-{number}" for number in fresh]
+            self.table.commit(names[0], rows, self._slot(), self._merge, names[1:])
 
     def counts(self) -> DataFrame:
         """(case_id, src_id, tgt_id, window_start, interactions): one table, each key once."""

@@ -65,12 +65,12 @@ class LateSplit:
 
         drain(stream, write, f"{self.root}/state-split")
 
-    def on_time(self, schema: T.StructType, files_per_trigger: int | None = None) -> DataFrame:
-        """The rows in time as a stream of their own."""
-        reader = self.spark.readStream.schema(schema).option("recursiveFileLookup", "true")
-        if files_per_trigger:
-            reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-        return reader.parquet(self.on_time_path)
+    def on_time(self, schema: T.StructType) -> DataFrame:
+        """The rows in time as a stream of their own.
+
+        A batch is many files, so their number never ends a batch of this stream.
+        """
+        return self.spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(self.on_time_path)
 
     def late(self, schema: T.StructType) -> DataFrame:
         """The late rows of every batch."""
@@ -97,7 +97,11 @@ class KeyedTable:
         return self.spark.read.schema("entry string, at long, slot string, path string, batch string").parquet(self.ledger_path)
 
     def committed(self, entry: str) -> bool:
-        return path_exists(self.spark, f"{batch_folder(self.ledger_path, entry)}/_SUCCESS")
+        """Whether ``entry`` has its own folder in the ledger, or stands in that of a commit of several."""
+        if path_exists(self.spark, f"{batch_folder(self.ledger_path, entry)}/_SUCCESS"):
+            return True
+        ledger = self._ledger()
+        return ledger is not None and not ledger.filter(F.col("entry") == entry).isEmpty()
 
     def paths(self) -> dict[str, str]:
         """Folder of the rows of each slot, as of the last commit."""
@@ -116,8 +120,8 @@ class KeyedTable:
     def rows(self) -> DataFrame:
         return self._read(sorted(self.paths().values()))
 
-    def commit(self, entry: str, incoming: DataFrame, slot: Column, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
-        """Take ``incoming`` under the name ``entry``, unless it was taken before."""
+    def commit(self, entry: str, incoming: DataFrame, slot: Column, merge: Callable[[DataFrame, DataFrame], DataFrame], also: Sequence[str] = ()) -> None:
+        """Take ``incoming`` under the name ``entry``, unless it was taken before; ``also`` names what else it holds."""
         if self.committed(entry):
             return
         now = self.paths()
@@ -132,6 +136,7 @@ class KeyedTable:
         ledger = self._ledger()
         at = 0 if ledger is None else (ledger.agg(F.max("at").alias("at")).first()["at"] or 0) + 1
         entries = [(entry, at, s, f"{folder}/_slot={s}") for s in touched] or [(entry, at, None, None)]
+        entries += [(name, at, None, None) for name in also]
         schema = "entry string, at long, slot string, path string"
         self.spark.createDataFrame(entries, schema).coalesce(1).write.mode("overwrite").parquet(batch_folder(self.ledger_path, entry))
         self._forget(touched)
