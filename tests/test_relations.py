@@ -53,3 +53,17 @@ def test_a_call_has_both_ends_though_rows_come_twice(spark, tmp_path):
     spark.sql(f"{order} UNION ALL {order}").write.parquet(f"{tmp_path}/orders.parquet")
     calls = catalog.all_queries()["rel_row_called"](spark, str(tmp_path)).select("source", "target").collect()
     assert [tuple(r) for r in calls] == [("+917000000002", "+918000000001")]
+
+
+def test_accounts_of_a_row_meet_without_a_shuffle(spark, tmp_path):
+    """Signals stay in the buckets that they were extracted in; rows that are there twice meet each other."""
+    from threadline.plans import catalog
+
+    lines = [(n, n % 7, n % 5, n % 4, "O" if n % 2 else "F") for n in range(40)] + [(3, 3, 3, 3, "O")] + [(1, None, 1, 1, "O")]
+    table = spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_linestatus string")
+    table.write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = catalog.all_queries()["rel_account_comm"](spark, str(tmp_path))
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    rows = sorted((r.observation_id, r.source, r.target) for r in found.collect())
+    once = [(f"COMM-{o}-{n}-{p}-{s}", f"p{p}@parts.example.com", f"s{s}@supp.example.com") for o, p, s, n, _ in lines[:40]]
+    assert rows == sorted(once + 3 * [once[3]])
