@@ -130,3 +130,32 @@ def test_small_groups_meet_without_keys_and_give_the_same_pairs(spark, monkeypat
         patch.setattr(resolve, "_keyed", lambda *_: pytest.fail("keys"))
         few = spark.createDataFrame([(f"C{n}", "Person", v, n) for n in range(9) for v in ("Mohan Lal", "Mohan Lall", "Bo")], "case_id string, entity_type string, value string, seq long")
         assert resolve.candidate_pairs(few, threshold).count() == 9
+
+
+def test_keys_of_relationships_travel_as_bytes(spark):
+    """Digests and other texts as keys: letter case counts, and a text that looks like the bytes of a digest is another key."""
+    import hashlib
+
+    from threadline.functions import ids
+
+    digest = hashlib.sha256(b"a").hexdigest()
+    keys = [digest, digest.upper(), digest[:32], digest + "\n", "", "short", "0" * 64, "é" * 16]
+    table = spark.createDataFrame([(n, key) for n, key in enumerate([*keys, None])], "n int, key string")
+    packed = table.select("n", "key", ids.packed(F.col("key")).alias("p"))
+    assert {r.n: r.k for r in packed.select("n", ids.unpacked(F.col("p")).alias("k")).collect()} == dict(enumerate([*keys, None]))
+    assert packed.select("p").distinct().count() == len(keys) + 1
+    names = ["rel_id", "rel_label", "evidence_id", "artifact_id", "observation_id", "job_id", "source_location", "extraction_method",
+             "human_verification_status", "source_signal_id", "target_signal_id", "source_label", "target_label"]
+    ends = [(n, keys[a], keys[b]) for n, (a, b) in enumerate([(0, 1), (1, 0), (2, 3), (4, 5), (6, 7), (0, 0), (5, 6)])]
+    found = spark.createDataFrame([("C", str(n), a, b) for n, a, b in ends] + [("C", "x", None, digest), ("D", "y", digest, "short")],
+                                  "case_id string, rel_id string, source_signal_key string, target_signal_key string")
+    found = found.select("*", *[F.lit(name).alias(name) for name in names[1:]], F.lit(1.0).alias("confidence"))
+    # "short" and the zeros are one entity; each signal is mapped twice.
+    entity = lambda key: "same" if key in ("short", "0" * 64) else f"E{key}"
+    mapping = spark.createDataFrame(2 * [("C", key, entity(key), f"CAN-{keys.index(key)}" if entity(key) != "same" else "CAN") for key in keys],
+                                    "case_id string, signal_key string, canonical_key string, canonical_entity_id string")
+    result = resolve.canonicalize_relationships(found, mapping)
+    assert sorted((r.rel_id, r.src_key, r.tgt_key) for r in result.collect()) == sorted(
+        (str(n), entity(a), entity(b)) for n, a, b in ends if entity(a) != entity(b)
+    )
+    assert result._jdf.queryExecution().optimizedPlan().toString().count("unhex(") >= 3
