@@ -80,3 +80,22 @@ def test_nodes_that_share_a_number_are_numbered_again(spark, monkeypatch):
     expected = {("x", f"n{i + d}"): f"n{i}" for i in range(0, 12, 2) for d in (0, 1)} | {("x", "n10"): "n10", ("x", "n11"): "n10"}
     expected |= {("y", n): "n1" for n in ("n1", "n2", "n3")} | {(None, "n1"): "n1", (None, "n2"): "n2", ("z", "n5"): "n5"}
     assert found == expected and max(seeds) == 1
+
+
+def test_strong_rounds_shuffle_labels_not_links(spark, monkeypatch):
+    """Links lie in buckets of 64-bit numbers; nodes of null, of two cases and given twice keep their places."""
+    links = [("C", "a", "b"), ("C", "b", "c"), ("C", "c", "a"), ("C", "a", "c"), ("C", "c", "d"), ("D", "a", "b"), ("D", "b", "a"), ("D", "b", "c"),
+             ("D", "c", "b"), ("D", "z", "z"), (None, "a", "b"), (None, "b", "a"), ("C", None, "a")]
+    pairs = spark.createDataFrame(links, "case_id string, src_id string, tgt_id string")
+    nodes = spark.createDataFrame([("C", "a", "P"), ("C", "lone", "P"), ("C", "lone", "P"), ("E", "x", "P"), ("E", "x", "P"), (None, "x", "P"), ("x", None, "P")],
+                                  "case_id string, id string, entity_type string")
+    seen = []
+    plain = analytics._spread
+    monkeypatch.setattr(analytics, "_spread", lambda seed, links: seen.append((links.state_table, dict(links.dtypes))) or plain(seed, links))
+    labels = {(r.case_id, r.id, r.component) for r in analytics.strong_labels(pairs, nodes).collect()}
+    assert {x for x in labels if x[0] in ("C", "D") and x[1]} == {
+        ("C", "a", "c"), ("C", "b", "c"), ("C", "c", "c"), ("C", "d", "d"), ("C", "lone", "lone"), ("D", "a", "c"), ("D", "b", "c"), ("D", "c", "c"), ("D", "z", "z"),
+    }
+    assert len(seen) >= 2 and all(kinds == {"from_v": "bigint", "to_v": "bigint"} for _, kinds in seen)
+    found = {r.case_id: (r.strongly_connected_count, r.largest_component_size) for r in analytics.strong_components(pairs, nodes).collect()}
+    assert (found["D"], found["E"]) == ((2, 3), (1, 2)) and found["C"][1] == 3
