@@ -107,3 +107,18 @@ def test_ingest_is_repeatable_and_isolated(spark):
     owner = first.nodes.select("id", F.col("case_id").alias("c"))
     crossing = first.edges.join(owner, F.col("src_id") == F.col("id")).filter("c <> case_id")
     assert crossing.count() == 0
+
+
+def test_a_case_graph_writes_lean_signals_only(spark):
+    """Mapping and relationships are not written; signals have all their columns, in buckets or not."""
+    mail = {"email_from": "Ann Lee <al@x.com>", "email_to": "Bob Ray <br@y.org>; cy@z.org"}
+    rows = spark.createDataFrame([obs(n, "FORENSIC_EMAIL_MESSAGE", mail) for n in (1, 2, 3, 3)], OBSERVATION)
+    read = lambda df: sorted(map(repr, df.collect()))
+    plain = extract_signals(rows)
+    found = []
+    for partitions in (None, 3):
+        built = build_case_graph(rows, fuzzy_types=["Organization"], partitions=partitions)
+        assert built.signals.columns == plain.columns and read(built.signals) == read(plain)
+        assert not hasattr(built.mapping, "state_path") and not hasattr(built.relationships, "state_path")
+        found.append([read(df) for df in (built.nodes, built.edges, built.relationships, built.mapping)])
+    assert found[0] == found[1] and len(found[0][1]) == 5
